@@ -42,7 +42,7 @@ def php_trim(c: Column) -> Column:
 
 
 def _iso(s: Column) -> Column:
-    return F.try_to_date(s, F.lit("yyyy-MM-dd"))
+    return F.try_to_date(s, "yyyy-MM-dd")
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
@@ -84,7 +84,7 @@ def csv_date(raw: Column) -> Column:
     us = s.rlike(CSV_US)
     iso = s.rlike(ISO)
     num = s.rlike(NUMERIC)
-    serial = F.try_cast(s, "double")
+    serial = s.try_cast("double")
     serial_int = F.when(F.abs(serial) < 1e15, F.floor(serial).cast("long"))
     is_serial = num & (serial_int > SERIAL_FLOOR)
     in_range = serial_int <= SERIAL_MAX

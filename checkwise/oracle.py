@@ -178,4 +178,90 @@ def oracle_sql() -> dict[str, str]:
     }
     for name, body in ACTIVE.items():
         q[name] = _with() + body
+    q.update(ingest_sql())
     return q
+
+
+# --- ingest (I1, I2) ----------------------------------------------------------
+
+_INGEST_CTES = """ctx AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, r_name
+  FROM orders JOIN customer ON o_custkey = c_custkey
+              JOIN nation ON c_nationkey = n_nationkey
+              JOIN region ON n_regionkey = r_regionkey),
+li AS (
+  SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, i.scope AS iscope,
+         CASE WHEN l_returnflag = 'R' THEN 'no' WHEN l_returnflag = 'A' THEN 'yes'
+              WHEN l_linenumber % 2 = 1 THEN 'yes' END AS chk,
+         CASE CAST(l_quantity AS BIGINT) % 3 WHEN 0 THEN '' WHEN 1 THEN '0' ELSE ' late ' END AS cmt
+  FROM lineitem l JOIN indicators i ON i.id = l.l_partkey + 1),
+items AS (
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, iscope, chk, cmt, 0 AS dup FROM li
+  UNION ALL
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, iscope,
+         CASE WHEN chk = 'yes' THEN 'no' ELSE 'yes' END, cmt, 1 FROM li WHERE l_linenumber = 1),
+present AS (SELECT DISTINCT l_orderkey, l_suppkey AS p_supp FROM lineitem),
+valid AS (SELECT * FROM ctx WHERE o_orderkey % 97 <> 0
+          AND o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+cand AS (
+  SELECT it.*, 'st_' || CAST(p.p_supp AS VARCHAR) AS staff_id, 'Team' AS scope, 1 AS sord
+  FROM items it JOIN present p ON p.l_orderkey = it.l_orderkey WHERE it.iscope = 'Team'
+  UNION ALL
+  SELECT it.*, 'st_' || CAST(it.l_suppkey AS VARCHAR), 'Individual', 2
+  FROM items it WHERE it.iscope = 'Individual'),
+looked AS (
+  SELECT c.*, v.o_orderdate, v.o_orderpriority, v.r_name, v.o_custkey,
+         ind.indicator_text, ind.category, ind.weight
+  FROM cand c JOIN valid v ON v.o_orderkey = c.l_orderkey
+  JOIN indicators ind ON ind.id = c.l_partkey + 1 AND ind.active = 1
+       AND (ind.room_code = v.r_name OR ind.room_code = '*')
+       AND (ind.slot_code = v.o_orderpriority OR ind.slot_code = '*')),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, staff_id, l_partkey
+                               ORDER BY sord, dup, l_linenumber, l_partkey, l_suppkey) AS rn
+  FROM looked),
+stored AS (SELECT batch_id, staff_id, indicator_id FROM kpi_entries WHERE (id // 10) % 10 = 0),
+new_entries AS (
+  SELECT 'B-' || CAST(l_orderkey AS VARCHAR) AS batch_id, CAST(o_orderdate AS DATE) AS entry_date,
+         r_name AS room_code, o_orderpriority AS slot_code, staff_id, scope,
+         l_partkey + 1 AS indicator_id, indicator_text, category,
+         CASE WHEN chk = 'yes' THEN 1 ELSE 0 END AS check_value, weight,
+         CAST(CASE WHEN chk = 'yes' THEN weight ELSE 0 END AS DECIMAL(8,2)) AS earned_points,
+         CAST(weight AS DECIMAL(8,2)) AS possible_points,
+         CASE WHEN trim(cmt) IN ('', '0') THEN NULL ELSE trim(cmt) END AS comment,
+         'mgr_' || CAST(o_custkey % 5 AS VARCHAR) AS submitted_by, l_orderkey
+  FROM ranked r
+  WHERE rn = 1 AND NOT EXISTS (
+    SELECT 1 FROM stored s WHERE s.batch_id = 'B-' || CAST(r.l_orderkey AS VARCHAR)
+      AND s.staff_id = r.staff_id AND s.indicator_id = r.l_partkey + 1))"""
+
+_ENTRY_COLS = ("batch_id, entry_date, room_code, slot_code, staff_id, scope, indicator_id, "
+               "indicator_text, category, check_value, weight, earned_points, possible_points, "
+               "comment, submitted_by")
+
+
+def ingest_sql() -> dict[str, str]:
+    w = _with(_INGEST_CTES)
+    return {
+        "ingest_entries": w + f"SELECT {_ENTRY_COLS} FROM new_entries",
+        "ingest_presence": w + """SELECT DISTINCT 'B-' || CAST(v.o_orderkey AS VARCHAR) AS batch_id,
+  'st_' || CAST(p.p_supp AS VARCHAR) AS staff_id
+FROM valid v JOIN present p ON p.l_orderkey = v.o_orderkey
+WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.batch_id = 'B-' || CAST(v.o_orderkey AS VARCHAR)
+                  AND s.staff_id = 'st_' || CAST(p.p_supp AS VARCHAR))""",
+        "ingest_audit": w + """SELECT 'mgr_' || CAST(v.o_custkey % 5 AS VARCHAR) AS "user",
+  'saveBatch' AS action, 'B-' || CAST(v.o_orderkey AS VARCHAR) AS batch_id,
+  '10.0.0.' || CAST(v.o_custkey % 250 AS VARCHAR) AS ip,
+  (SELECT COUNT(*) FROM new_entries n WHERE n.l_orderkey = v.o_orderkey) AS rows_saved,
+  CAST(NULL AS VARCHAR) AS note
+FROM valid v""",
+        "ingest_rejects": w + """SELECT o_orderkey AS seq, 'B-' || CAST(o_orderkey AS VARCHAR) AS batch_id,
+  'Invalid date format: bad' AS reason
+FROM ctx WHERE o_orderkey % 97 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
+        "batch_exists": _with("""stored_batches AS (
+  SELECT DISTINCT batch_id FROM kpi_entries WHERE (id // 10) % 10 = 0)""") +
+        """SELECT DISTINCT 'B-' || CAST(o_orderkey AS VARCHAR) AS batch_id,
+  CASE WHEN 'B-' || CAST(o_orderkey AS VARCHAR) IN (SELECT batch_id FROM stored_batches)
+       THEN 1 ELSE 0 END AS "exists"
+FROM orders""",
+    }

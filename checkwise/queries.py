@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from checkwise import params as P
-from checkwise.plans import config, reports
+from checkwise.plans import config, ingest, reports
+from checkwise.sources import raw
 from checkwise.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,15 @@ def _bands(spark, sf):
     return reports.kpi_bands(_summary()(spark, sf))
 
 
+def _ingest(spark, sf):
+    return ingest.ingest_submissions(raw.submissions(spark, sf), td.indicators(spark, sf),
+                                     raw.stored_entries(spark, sf), raw.stored_presence(spark, sf))
+
+
+def _batch_exists(spark, sf):
+    return ingest.batch_exists(raw.probe_batches(spark, sf), raw.stored_entries(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return {
         "kpi_summary": _summary(),
@@ -60,4 +70,9 @@ def queries() -> dict[str, Query]:
         "active_slots": lambda s, sf: config.active_slots(td.slots(s, sf)),
         "active_staff": lambda s, sf: config.active_staff(td.staff(s, sf)),
         "active_indicators": lambda s, sf: config.active_indicators(td.indicators(s, sf)),
+        "ingest_entries": lambda s, sf: _ingest(s, sf).entries,
+        "ingest_presence": lambda s, sf: _ingest(s, sf).presence,
+        "ingest_audit": lambda s, sf: _ingest(s, sf).audit,
+        "ingest_rejects": lambda s, sf: _ingest(s, sf).rejects,
+        "batch_exists": _batch_exists,
     }

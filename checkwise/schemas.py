@@ -102,8 +102,10 @@ AUDIT = T.StructType([
 
 # --- raw inputs -------------------------------------------------------------
 
+# indicator_id is read as text and converted with a loose integer cast, so
+# 5, "5" and 5.0 all name indicator 5.
 ITEM = T.StructType([
-    T.StructField("indicator_id", T.LongType(), True),
+    T.StructField("indicator_id", T.StringType(), True),
     T.StructField("check", T.StringType(), True),
     T.StructField("comment", T.StringType(), True),
 ])
