@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from checkwise.operators.sizing import broadcast_if_small
+
 ENTRY_KEY = ["batch_id", "staff_id", "indicator_id"]
 
 
@@ -28,26 +30,27 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
     Planned as hash exchange on the key + sort + ``row_number() == 1``; Spark
     inserts a partial per-key limit before the exchange (window group limit),
-    so duplicates are dropped map-side before shuffling."""
-    has_key = _key_not_null(keys)
+    so duplicates are dropped map-side before shuffling. NULL-key rows are
+    kept by the filter itself, so the input is read once (no union split)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = (rows.where(has_key).withColumn("_rn", F.row_number().over(w))
-              .where(F.col("_rn") == 1).drop("_rn"))
-    return ranked.unionByName(rows.where(~has_key))
+    return (rows.withColumn("_rn", F.row_number().over(w))
+            .where((F.col("_rn") == 1) | ~_key_not_null(keys))
+            .drop("_rn"))
 
 
 def insert_ignore(new_rows: DataFrame, existing: DataFrame, keys: list[str],
-                  narrow_on: str | None = None) -> DataFrame:
-    """Rows of ``new_rows`` whose key is not already in ``existing`` (plus all
-    NULL-key rows). ``new_rows`` must already be unique per key.
-
-    ``narrow_on`` names a key column whose distinct new values are used to
-    semi-join the existing table first, so only the stored rows that can
-    collide (e.g. the same batch ids) take part in the anti-join shuffle."""
-    has_key = _key_not_null(keys)
-    ex = existing.select(*keys).where(has_key)
-    if narrow_on is not None:
-        probe = new_rows.where(has_key).select(narrow_on).distinct()
-        ex = ex.join(probe, narrow_on, "left_semi")
-    kept = new_rows.where(has_key).join(ex, keys, "left_anti")
-    return kept.unionByName(new_rows.where(~has_key))
+                  probe: DataFrame | None = None) -> DataFrame:
+    """Rows of ``new_rows`` whose key is not already in ``existing``.
+    ``new_rows`` must already be unique per key. NULL-key rows are kept: an
+    equality anti-join never matches a NULL, which is exactly the rule.
+
+    ``probe`` (optional) holds the distinct values of one key column that the
+    new rows can have (e.g. the batch ids of the accepted submissions). The
+    stored table is semi-joined with it first, so only stored rows that can
+    collide take part in the anti-join shuffle; the probe side is broadcast
+    only after a row-count check."""
+    ex = existing.select(*keys).where(_key_not_null(keys))
+    if probe is not None:
+        col = probe.columns[0]
+        ex = ex.join(broadcast_if_small(probe), col, "left_semi")
+    return new_rows.join(ex, keys, "left_anti")

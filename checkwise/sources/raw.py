@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkwise.operators.numbering import with_row_number
+from checkwise.sources import store
 from checkwise.sources import testdata as td
 
 # Fixed values of the derivation (FIXTURES §4).
@@ -51,7 +52,18 @@ def _comment_text(qty: Column) -> Column:
     return F.when(q == 0, "").when(q == 1, "0").otherwise(" late ")
 
 
+def _key(sf_dir: str, names: list[str]) -> str:
+    return store.input_key([f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
+
+
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submission log (seq, payload, submitted_by, ip), written once per
+    input folder like a landed request log, then read back."""
+    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    return store.materialize(spark, "submissions", key, lambda: build_submissions(spark, sf_dir))
+
+
+def build_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One submission per order: (seq, payload, submitted_by, ip)."""
     li = td.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
