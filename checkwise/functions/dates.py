@@ -32,13 +32,14 @@ SERIAL_FLOOR = 40000        # integer part must be greater than this
 SERIAL_EPOCH_OFFSET = 25569  # serial of 1970-01-01
 SERIAL_MAX = 2958465         # serial of 9999-12-31
 
-# Characters a PHP-style trim() strips (space, tab, LF, CR, NUL, VT).
-_TRIM_CLASS = "[ \\t\\n\\r\\x00\\x0B]"
+# Fixed value: the characters a PHP-style trim() strips (space, tab, LF, CR,
+# NUL, VT).
+TRIM_CHARS = " \t\n\r\x00\x0b"
 
 
 def php_trim(c: Column) -> Column:
     """trim() over the same character set the reference strips."""
-    return F.regexp_replace(c, f"^{_TRIM_CLASS}+|{_TRIM_CLASS}+$", "")
+    return F.btrim(c, F.lit(TRIM_CHARS))
 
 
 def _iso(s: Column) -> Column:
@@ -65,9 +66,9 @@ def submission_date(raw: Column) -> Column:
     return _result(F.coalesce(us | iso, F.lit(False)), value)
 
 
-def history_date(raw: Column) -> Column:
+def history_date(raw: Column, trimmed: bool = False) -> Column:
     """trimmed MM/DD/YYYY, MM-DD-YYYY (mixed separators) or ISO."""
-    s = php_trim(raw)
+    s = raw if trimmed else php_trim(raw)
     us = s.rlike(HISTORY_US)
     iso = s.rlike(ISO)
     value = (F.when(us, _ymd(F.regexp_extract(s, HISTORY_US, 3),
@@ -77,10 +78,10 @@ def history_date(raw: Column) -> Column:
     return _result(F.coalesce(us | iso, F.lit(False)), value)
 
 
-def csv_date(raw: Column) -> Column:
+def csv_date(raw: Column, trimmed: bool = False) -> Column:
     """trimmed M/D/YYYY (1–2 digit parts), ISO, or serial number > 40000
     (fraction truncated; day 0 of the serial scale is 1899-12-30)."""
-    s = php_trim(raw)
+    s = raw if trimmed else php_trim(raw)
     us = s.rlike(CSV_US)
     iso = s.rlike(ISO)
     num = s.rlike(NUMERIC)

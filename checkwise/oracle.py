@@ -46,7 +46,7 @@ indicators AS (
          CAST(p_partkey % 50 <> 0 AS INTEGER) AS active
   FROM part LEFT JOIN region ON r_regionkey = p_partkey % 5),
 kpi_entries AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id,
+  SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
          'B-' || CAST(l_orderkey AS VARCHAR) AS batch_id,
          CAST(o_orderdate AS DATE) AS entry_date,
          r_name AS room_code, o_orderpriority AS slot_code,
@@ -179,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
     for name, body in ACTIVE.items():
         q[name] = _with() + body
     q.update(ingest_sql())
+    q.update(imports_sql())
     return q
 
 
@@ -220,7 +221,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey, staff_id, l_partkey
                                ORDER BY sord, dup, l_linenumber, l_partkey, l_suppkey) AS rn
   FROM looked),
-stored AS (SELECT batch_id, staff_id, indicator_id FROM kpi_entries WHERE (id // 10) % 10 = 0),
+stored AS (SELECT batch_id, staff_id, indicator_id FROM kpi_entries WHERE CAST(substr(batch_id, 3) AS BIGINT) % 10 = 0),
 new_entries AS (
   SELECT 'B-' || CAST(l_orderkey AS VARCHAR) AS batch_id, CAST(o_orderdate AS DATE) AS entry_date,
          r_name AS room_code, o_orderpriority AS slot_code, staff_id, scope,
@@ -259,9 +260,97 @@ FROM valid v""",
   'Invalid date format: bad' AS reason
 FROM ctx WHERE o_orderkey % 97 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
         "batch_exists": _with("""stored_batches AS (
-  SELECT DISTINCT batch_id FROM kpi_entries WHERE (id // 10) % 10 = 0)""") +
+  SELECT DISTINCT batch_id FROM kpi_entries WHERE CAST(substr(batch_id, 3) AS BIGINT) % 10 = 0)""") +
         """SELECT DISTINCT 'B-' || CAST(o_orderkey AS VARCHAR) AS batch_id,
   CASE WHEN 'B-' || CAST(o_orderkey AS VARCHAR) IN (SELECT batch_id FROM stored_batches)
        THEN 1 ELSE 0 END AS "exists"
 FROM orders""",
     }
+
+
+# --- imports (I3, I4) ---------------------------------------------------------
+
+_IMPORT_CTES = """ctx AS (
+  SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, r_name
+  FROM orders JOIN customer ON o_custkey = c_custkey
+              JOIN nation ON c_nationkey = n_nationkey
+              JOIN region ON n_regionkey = r_regionkey),
+lx AS (
+  SELECT l.l_orderkey AS o, l.l_partkey AS pk, l.l_suppkey AS sk, l.l_linenumber AS ln,
+         CAST(l.l_quantity AS BIGINT) % 3 AS q, l.l_returnflag AS flag,
+         i.scope AS iscope, i.indicator_text, i.category, CAST(i.weight AS INTEGER) AS w,
+         c.o_orderdate, c.o_orderpriority, c.r_name
+  FROM lineitem l JOIN indicators i ON i.id = l.l_partkey + 1
+                  JOIN ctx c ON c.o_orderkey = l.l_orderkey),
+stored_presence AS (
+  SELECT DISTINCT batch_id, staff_id FROM kpi_entries WHERE CAST(substr(batch_id, 3) AS BIGINT) % 10 = 0),
+hj AS (
+  SELECT *, '{' || concat_ws(',',
+      CASE WHEN pk % 2 = 0 THEN '"date":"' || dtext || '"' END,
+      CASE WHEN pk % 2 = 1 THEN '"entry_date":"' || dtext || '"' END,
+      CASE WHEN o % 2 = 0 THEN '"room":"' || r_name || '"' ELSE '"room_code":"' || r_name || '"' END,
+      CASE WHEN sk % 2 = 0 THEN '"slot":"' || o_orderpriority || '"'
+           ELSE '"slot_code":"' || o_orderpriority || '"' END,
+      CASE WHEN ln % 2 = 1 THEN '"staff_id":"st_' ELSE '"staffId":"st_' END || CAST(sk AS VARCHAR) || '"',
+      CASE WHEN pk % 13 <> 0 THEN '"scope":"' || iscope || '"' END,
+      CASE WHEN pk % 5 <> 0 THEN '"indicator":"' ELSE '"indicator_text":"' END || indicator_text || '"',
+      CASE WHEN pk % 7 <> 0 THEN '"category":"' || category || '"' END,
+      '"check":' || CASE WHEN flag = 'R' THEN '"no"' WHEN flag = 'A' THEN '"yes"'
+                         WHEN pk % 3 = 0 THEN '1' WHEN pk % 3 = 1 THEN '"1"' ELSE 'true' END,
+      CASE WHEN pk % 11 <> 0 THEN '"weight":' || CAST(w AS VARCHAR) END,
+      CASE WHEN q = 1 THEN '"comment":"0"' WHEN q = 2 THEN '"comment":" late "' END) || '}' AS jtext
+  FROM (SELECT *, CASE o % 4 WHEN 0 THEN strftime(o_orderdate, '%m/%d/%Y')
+                             WHEN 1 THEN strftime(o_orderdate, '%m-%d-%Y')
+                             WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'n/a' END AS dtext
+        FROM lx) h),
+hist AS (
+  SELECT CASE WHEN ln = 7 THEN 'MIGR-' || md5(replace(jtext, '/', '\\/'))
+              WHEN ln % 2 = 1 THEN 'B-' || CAST(o AS VARCHAR) ELSE 'H-' || CAST(o AS VARCHAR) END AS batch_id,
+         CAST(o_orderdate AS DATE) AS entry_date, r_name AS room_code, o_orderpriority AS slot_code,
+         'st_' || CAST(sk AS VARCHAR) AS staff_id,
+         CASE WHEN pk % 13 = 0 THEN 'Team' ELSE iscope END AS scope,
+         CAST(NULL AS BIGINT) AS indicator_id, indicator_text,
+         CASE WHEN pk % 7 = 0 THEN 'Imported' ELSE category END AS category,
+         CASE WHEN flag = 'A' OR (flag = 'N' AND pk % 3 = 0) THEN 1 ELSE 0 END AS check_value,
+         CAST(CASE WHEN pk % 11 = 0 THEN 1 ELSE w END AS DECIMAL(5,2)) AS weight,
+         CASE WHEN q = 2 THEN ' late ' END AS comment, 'migrate_v2' AS submitted_by, o
+  FROM hj),
+cy AS (
+  SELECT *, 1 + k + (k - 1) // 100 AS line_no, CAST(o_orderdate AS DATE) + 10000 AS d2
+  FROM (SELECT *, row_number() OVER (ORDER BY o, ln, pk, sk) AS k FROM lx WHERE ln <= 2) cx),
+csvr AS (
+  SELECT 'XLS-' || md5(strftime(d2, '%Y-%m-%d') || r_name || o_orderpriority) AS batch_id,
+         d2 AS entry_date, r_name AS room_code, o_orderpriority AS slot_code,
+         CASE WHEN sk % 11 = 0
+              THEN 'imported_' || md5(r_name || strftime(d2, '%Y-%m-%d') || CAST(line_no AS VARCHAR))
+              ELSE 'st_' || CAST(sk AS VARCHAR) END AS staff_id,
+         iscope AS scope, CAST(NULL AS BIGINT) AS indicator_id, indicator_text, category,
+         CASE WHEN flag = 'R' THEN 0 ELSE 1 END AS check_value,
+         CAST(w AS DECIMAL(5,2)) AS weight, CAST(NULL AS VARCHAR) AS comment,
+         'migrate_excel' AS submitted_by, o, pk
+  FROM cy)"""
+
+_IMPORT_COLS = ("batch_id, entry_date, room_code, slot_code, staff_id, scope, indicator_id, "
+                "indicator_text, category, check_value, weight, "
+                "CAST(CASE WHEN check_value = 1 THEN weight ELSE 0 END AS DECIMAL(8,2)) AS earned_points, "
+                "CAST(weight AS DECIMAL(8,2)) AS possible_points, comment, submitted_by")
+
+
+def imports_sql() -> dict[str, str]:
+    w = _with(_IMPORT_CTES)
+    hist_ok = "o % 4 <> 3"
+    csv_ok = "o % 5 <> 4 AND pk % 17 <> 0"
+    return {
+        "import_history": w + f"SELECT {_IMPORT_COLS} FROM hist WHERE {hist_ok}",
+        "import_history_stats": w + f"""SELECT COUNT(*) FILTER (WHERE {hist_ok}) AS imported,
+  COUNT(*) FILTER (WHERE NOT ({hist_ok})) AS skipped, CAST(0 AS BIGINT) AS rejected FROM hist""",
+        "import_history_presence": w + f"""SELECT DISTINCT batch_id, staff_id FROM hist h
+WHERE {hist_ok} AND NOT EXISTS (SELECT 1 FROM stored_presence s
+                                WHERE s.batch_id = h.batch_id AND s.staff_id = h.staff_id)""",
+        "import_csv": w + f"SELECT {_IMPORT_COLS} FROM csvr WHERE {csv_ok}",
+        "import_csv_stats": w + f"""SELECT COUNT(*) FILTER (WHERE {csv_ok}) AS imported,
+  COUNT(*) FILTER (WHERE NOT ({csv_ok})) AS skipped, CAST(0 AS BIGINT) AS rejected FROM csvr""",
+        "import_csv_presence": w + f"""SELECT DISTINCT batch_id, staff_id FROM csvr c
+WHERE {csv_ok} AND NOT EXISTS (SELECT 1 FROM stored_presence s
+                               WHERE s.batch_id = c.batch_id AND s.staff_id = c.staff_id)""",
+    }

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from checkwise import params as P
-from checkwise.plans import config, ingest, reports
+from checkwise.plans import config, imports, ingest, reports
 from checkwise.sources import raw
 from checkwise.sources import testdata as td
 
@@ -55,6 +55,14 @@ def _batch_exists(spark, sf):
     return ingest.batch_exists(raw.probe_batches(spark, sf), raw.stored_entries(spark, sf))
 
 
+def _history(spark, sf):
+    return imports.import_history(raw.history_lines(spark, sf), raw.stored_presence(spark, sf))
+
+
+def _csv(spark, sf):
+    return imports.import_csv(raw.csv_lines(spark, sf), raw.CSV_HEADER, raw.stored_presence(spark, sf))
+
+
 def queries() -> dict[str, Query]:
     return {
         "kpi_summary": _summary(),
@@ -75,4 +83,10 @@ def queries() -> dict[str, Query]:
         "ingest_audit": lambda s, sf: _ingest(s, sf).audit,
         "ingest_rejects": lambda s, sf: _ingest(s, sf).rejects,
         "batch_exists": _batch_exists,
+        "import_history": lambda s, sf: _history(s, sf).entries,
+        "import_history_stats": lambda s, sf: _history(s, sf).stats,
+        "import_history_presence": lambda s, sf: _history(s, sf).presence,
+        "import_csv": lambda s, sf: _csv(s, sf).entries,
+        "import_csv_stats": lambda s, sf: _csv(s, sf).stats,
+        "import_csv_presence": lambda s, sf: _csv(s, sf).presence,
     }

@@ -118,7 +118,8 @@ def build_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries already in the store: every line of every tenth order."""
     e = td.kpi_entries(spark, sf_dir)
-    return e.where((F.col("id") / 10).cast("long") % STORED_EVERY == 0)
+    order_key = F.substring("batch_id", 3, 30).try_cast("long")
+    return e.where(order_key % STORED_EVERY == 0)
 
 
 def stored_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,3 +130,97 @@ def probe_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch ids a client would check: one per order."""
     o = td.table(spark, sf_dir, "orders")
     return o.select(F.concat(F.lit("B-"), F.col("o_orderkey").cast("string")).alias("batch_id"))
+
+
+def _lines_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = td.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
+    ind = td.indicators(spark, sf_dir).select(
+        F.col("id").alias("_iid"), F.col("scope").alias("iscope"), "indicator_text", "category",
+        F.col("weight").cast("int").alias("w"))
+    ctx = _order_context(spark, sf_dir)
+    return (li.join(ind, ind._iid == li.l_partkey + 1)
+            .join(ctx, li.l_orderkey == ctx.o_orderkey))
+
+
+def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History export, one JSON Lines record per line item (column ``value``),
+    written once per input folder and read back."""
+    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    return store.materialize(spark, "history_lines", key, lambda: build_history_lines(spark, sf_dir))
+
+
+def build_history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _lines_with_context(spark, sf_dir)
+    o, ln, pk, sk = (F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
+    d = F.col("o_orderdate")
+    dtext = (F.when(o % 4 == 0, F.date_format(d, "MM/dd/yyyy"))
+             .when(o % 4 == 1, F.date_format(d, "MM-dd-yyyy"))
+             .when(o % 4 == 2, F.date_format(d, "yyyy-MM-dd"))
+             .otherwise(F.lit("n/a")))
+    staff = F.concat(F.lit("st_"), sk.cast("string"))
+    flag = F.col("l_returnflag")
+    check = F.parse_json(F.when(flag == "R", F.lit('"no"')).when(flag == "A", F.lit('"yes"'))
+                         .when(pk % 3 == 0, F.lit("1")).when(pk % 3 == 1, F.lit('"1"'))
+                         .otherwise(F.lit("true")))
+    q = F.col("l_quantity").cast("long") % 3
+    rec = F.struct(
+        F.when((ln != 7) & (ln % 2 == 1), F.concat(F.lit("B-"), o.cast("string"))).alias("batch_id"),
+        F.when((ln != 7) & (ln % 2 == 0), F.concat(F.lit("H-"), o.cast("string"))).alias("batchId"),
+        F.when(pk % 2 == 0, dtext).alias("date"),
+        F.when(pk % 2 == 1, dtext).alias("entry_date"),
+        F.when(o % 2 == 0, F.col("r_name")).alias("room"),
+        F.when(o % 2 == 1, F.col("r_name")).alias("room_code"),
+        F.when(sk % 2 == 0, F.col("o_orderpriority")).alias("slot"),
+        F.when(sk % 2 == 1, F.col("o_orderpriority")).alias("slot_code"),
+        F.when(ln % 2 == 1, staff).alias("staff_id"),
+        F.when(ln % 2 == 0, staff).alias("staffId"),
+        F.when(pk % 13 != 0, F.col("iscope")).alias("scope"),
+        F.when(pk % 5 != 0, F.col("indicator_text")).alias("indicator"),
+        F.when(pk % 5 == 0, F.col("indicator_text")).alias("indicator_text"),
+        F.when(pk % 7 != 0, F.col("category")).alias("category"),
+        check.alias("check"),
+        F.when(pk % 11 != 0, F.parse_json(F.col("w").cast("string"))).alias("weight"),
+        F.when(q == 1, F.lit("0")).when(q == 2, F.lit(" late ")).alias("comment"))
+    return x.select(F.to_json(rec).alias("value"))
+
+
+def _csv_quote(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV export's data lines (line_no, value); the header is record 1.
+    Written once per input folder and read back."""
+    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    return store.materialize(spark, "csv_lines", key, lambda: build_csv_lines(spark, sf_dir))
+
+
+def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _lines_with_context(spark, sf_dir).where(F.col("l_linenumber") <= CSV_MAX_LINENUMBER)
+    o, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    d = F.date_add(F.col("o_orderdate").cast("date"), CSV_DATE_SHIFT_DAYS)
+    serial = F.datediff(d, F.lit("1899-12-30").cast("date"))
+    dtext = (F.when(o % 5 == 0, F.date_format(d, "M/d/yyyy"))
+             .when(o % 5 == 1, F.date_format(d, "MM-dd-yyyy"))
+             .when(o % 5 == 2, F.date_format(d, "yyyy-MM-dd"))
+             .when(o % 5 == 3, serial.cast("string"))
+             .otherwise(F.lit("n/a")))
+    flag = F.col("l_returnflag")
+    cells = [dtext,
+             F.when(pk % 17 == 0, F.lit("")).otherwise(F.col("r_name")),
+             F.col("o_orderpriority"),
+             F.when(sk % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("st_"), sk.cast("string"))),
+             F.col("iscope"),
+             _csv_quote(F.col("indicator_text")),
+             _csv_quote(F.col("category")),
+             F.when(flag == "R", "No").when(flag == "A", "YES").otherwise(F.lit("")),
+             F.concat(F.col("w").cast("string"), F.when(pk % 3 == 0, F.lit(" pts")).otherwise(F.lit("")))]
+    data = x.select(*td.LINE_KEY, F.concat_ws(",", *cells).alias("value"))
+    numbered = with_row_number(data, list(td.LINE_KEY), "k")
+    k = F.col("k")
+    line_no = 1 + k + F.floor((k - 1) / CSV_BLANK_EVERY).cast("long")
+    rows = numbered.select(line_no.alias("line_no"), "value")
+    blanks = (numbered.where(k % CSV_BLANK_EVERY == 0)
+              .select((line_no + 1).alias("line_no"), F.lit(",,,,,,,,").alias("value")))
+    return rows.unionByName(blanks)

@@ -16,7 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checkwise.session import work_dir
 
-_LAYOUT_VERSION = "v1"
+_LAYOUT_VERSION = "v2"
+_CODE_HASH: str | None = None
+
+
+def _code_hash() -> str:
+    """Hash of the package source: a derived table built by older code is
+    never read back by newer code."""
+    global _CODE_HASH
+    if _CODE_HASH is None:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        h = hashlib.sha1()
+        for dirpath, _dirs, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(dirpath, f), "rb") as fh:
+                        h.update(f.encode() + fh.read())
+        _CODE_HASH = h.hexdigest()[:12]
+    return _CODE_HASH
 
 
 def _hadoop_path(spark: SparkSession, path: str):
@@ -33,7 +50,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def input_key(paths: list[str]) -> str:
     """Stable key of a set of input files (path, size, mtime)."""
-    h = hashlib.sha1(_LAYOUT_VERSION.encode())
+    h = hashlib.sha1((_LAYOUT_VERSION + _code_hash()).encode())
     for p in sorted(paths):
         try:
             st = os.stat(p)

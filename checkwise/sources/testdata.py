@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkwise.functions.scoring import earned_points
+from checkwise.operators.numbering import with_row_number
 from checkwise.schemas import KPI_ENTRIES, KPI_ENTRIES_STORED, POINTS, WEIGHT
 from checkwise.sources import store
 
@@ -23,6 +24,8 @@ NOT_A_ROOM_REGION = 2
 ADMIN_REGION = 4
 INACTIVE_REGION = 3
 INACTIVE_SLOT = "4-NOT SPECIFIED"
+# (l_orderkey, l_linenumber) alone repeats in the test data; this does not.
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,12 +99,14 @@ def entries_unmaterialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     ind = indicators(spark, sf_dir).select(
         F.col("id").alias("indicator_id"), "scope", "indicator_text", "category", "weight")
     check = F.when(F.col("l_returnflag") == "R", 0).otherwise(1)
+    # surrogate id: 1..N over the full line key, numbered without a global window
+    li = with_row_number(li, list(LINE_KEY), "_id")
     return (li.join(o, li.l_orderkey == o.o_orderkey)
             .join(c, o.o_custkey == c.c_custkey)
             .join(n, c.c_nationkey == n.n_nationkey)
             .join(r, n.n_regionkey == r.r_regionkey)
             .join(ind, ind.indicator_id == li.l_partkey + 1)
-            .select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"),
+            .select(F.col("_id").cast("long").alias("id"),
                     F.concat(F.lit("B-"), F.col("l_orderkey").cast("string")).alias("batch_id"),
                     F.col("o_orderdate").cast("date").alias("entry_date"),
                     F.col("r_name").alias("room_code"),
