@@ -180,6 +180,7 @@ def oracle_sql() -> dict[str, str]:
         q[name] = _with() + body
     q.update(ingest_sql())
     q.update(imports_sql())
+    q.update(more_sql())
     return q
 
 
@@ -354,3 +355,64 @@ WHERE {hist_ok} AND NOT EXISTS (SELECT 1 FROM stored_presence s
 WHERE {csv_ok} AND NOT EXISTS (SELECT 1 FROM stored_presence s
                                WHERE s.batch_id = c.batch_id AND s.staff_id = c.staff_id)""",
     }
+
+
+# --- collation, checklist, completeness, dimension load, snapshot --------------
+
+_ENTRY_ALL = ("id, batch_id, entry_date, room_code, slot_code, staff_id, scope, indicator_id, "
+              "indicator_text, category, check_value, weight, earned_points, possible_points, "
+              "comment, submitted_by, created_at")
+
+
+def more_sql() -> dict[str, str]:
+    collated = f"""WITH s AS ({summary_sql(P.FULL_FROM, P.FULL_TO)})
+SELECT staff_id, staff_name, lower(room_code) AS room_code, is_admin, team_kpi, ind_kpi, total_kpi FROM s"""
+    ind_cols = ("i.id, i.room_code, i.slot_code, i.scope, i.category, i.indicator_text, "
+                "CAST(i.weight AS DOUBLE) AS weight, i.sort_order")
+    return {
+        "kpi_summary_collated": collated,
+        "checklist": _with() + f"""SELECT {ind_cols} FROM indicators i
+WHERE i.active = 1 AND i.scope = '{P.SCOPE}'
+  AND (i.room_code = '{P.ROOM}' OR i.room_code = '*') AND (i.slot_code = '{P.SLOT}' OR i.slot_code = '*')
+ORDER BY i.sort_order, i.id""",
+        "checklist_contexts": _with() + """SELECT c.room_code, c.slot_code, i.id AS indicator_id, i.scope,
+  i.category, i.indicator_text, CAST(i.weight AS DOUBLE) AS weight, i.sort_order
+FROM (SELECT DISTINCT room_code, slot_code FROM kpi_entries) c
+JOIN indicators i ON i.active = 1 AND (i.room_code = c.room_code OR i.room_code = '*')
+                 AND (i.slot_code = c.slot_code OR i.slot_code = '*')""",
+        "staff_by_room": _with() + f"""SELECT staff_id, staff_name, role, rooms FROM staff
+WHERE active = 1 AND (rooms IS NULL OR rooms = ''
+  OR list_contains(list_transform(string_split(rooms, ','), lambda x: trim(x)), '{P.ROOM}'))
+ORDER BY staff_name, staff_id""",
+        "checklist_completeness": _with("""b AS (SELECT DISTINCT batch_id, room_code, slot_code FROM kpi_entries),
+ind AS (SELECT id, room_code, slot_code FROM indicators WHERE active = 1 AND scope = 'Team'),
+ex AS (
+  SELECT b.batch_id, b.room_code, b.slot_code, COUNT(i.id) AS expected_items
+  FROM b LEFT JOIN ind i ON (i.room_code = b.room_code OR i.room_code = '*')
+                        AND (i.slot_code = b.slot_code OR i.slot_code = '*')
+  GROUP BY b.batch_id, b.room_code, b.slot_code),
+ans AS (
+  SELECT e.batch_id, e.room_code, e.slot_code, COUNT(DISTINCT i.id) AS answered_items
+  FROM kpi_entries e JOIN ind i ON i.id = e.indicator_id AND e.scope = 'Team'
+       AND (i.room_code = e.room_code OR i.room_code = '*')
+       AND (i.slot_code = e.slot_code OR i.slot_code = '*')
+  GROUP BY e.batch_id, e.room_code, e.slot_code)""") + """SELECT ex.batch_id, ex.room_code, ex.slot_code, ex.expected_items,
+  coalesce(ans.answered_items, 0) AS answered_items,
+  ex.expected_items - coalesce(ans.answered_items, 0) AS unanswered_items
+FROM ex LEFT JOIN ans ON ans.batch_id = ex.batch_id AND ans.room_code = ex.room_code
+                     AND ans.slot_code = ex.slot_code""",
+        "load_dimension": _with("""incoming AS (
+  SELECT 'st_' || CAST(s_suppkey AS VARCHAR) AS staff_id, 'NEW ' || s_name AS staff_name, s_suppkey * 2 AS seq
+  FROM supplier WHERE s_suppkey % 2 = 0
+  UNION ALL
+  SELECT 'st_' || CAST(s_suppkey AS VARCHAR), 'DUP ' || s_name, s_suppkey * 2 + 1
+  FROM supplier WHERE s_suppkey % 2 = 0),
+firsts AS (
+  SELECT staff_id, staff_name FROM (
+    SELECT *, row_number() OVER (PARTITION BY staff_id ORDER BY seq) AS rn FROM incoming) x
+  WHERE rn = 1)""") + """SELECT staff_id, staff_name, role, rooms, active FROM staff
+UNION ALL
+SELECT staff_id, staff_name, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 1 FROM firsts f
+WHERE NOT EXISTS (SELECT 1 FROM staff s WHERE s.staff_id = f.staff_id)""",
+        "snapshot_roundtrip": _with() + f"SELECT {_ENTRY_ALL} FROM kpi_entries",
+    }

@@ -18,6 +18,8 @@ DAY_US = "04-15-1997"          # the form's MM-DD-YYYY format
 DAY_ISO = "1997-04-15"
 SLOT = "1-URGENT"
 SCOPE = "Team"
+COLLATION = "UNICODE_CI_AI_RTRIM"
+SNAPSHOT_DAY = "2001-08-02"
 
 
 def month_bounds(year: int, month: int) -> tuple[str, str]:

@@ -63,3 +63,17 @@ def staff_by_room(staff: DataFrame, room: str) -> DataFrame:
     rooms = F.col("rooms")
     unrestricted = rooms.isNull() | (rooms == "")
     return s.where(unrestricted | F.array_contains(room_list(rooms), room))
+
+
+def checklists(contexts: DataFrame, indicators: DataFrame) -> DataFrame:
+    """C1 for many (room, slot) contexts at once: every active indicator that
+    applies to each context, through exploded wildcard keys (equi-join)."""
+    from checkwise.operators.lookup import applicable
+
+    ctx = contexts.select("room_code", "slot_code").distinct()
+    hits = applicable(ctx, indicators)
+    ind = indicators.select(F.col("id").alias("indicator_id"), "scope", "category", "indicator_text",
+                            F.col("weight").cast("double").alias("weight"),
+                            F.col("sort_order").cast("int").alias("sort_order"))
+    return (hits.join(ind, "indicator_id")
+            .orderBy("room_code", "slot_code", scope_order(F.col("scope")), "sort_order", "indicator_id"))

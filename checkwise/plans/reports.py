@@ -73,11 +73,23 @@ def _day(entries: DataFrame, day: dt.date) -> DataFrame:
     return e
 
 
+def _collated(df: DataFrame, cols: list[str], collation: str | None) -> DataFrame:
+    if collation is None:
+        return df
+    for c in cols:
+        df = df.withColumn(c, F.collate(F.col(c), collation))
+    return df
+
+
 def points_by_staff_room(entries: DataFrame, date_from, date_to, room=None,
-                         with_batches: bool = False) -> DataFrame:
-    """Team/Individual earned and possible points (hundredths) per (staff, room)."""
+                         with_batches: bool = False, key_collation: str | None = None) -> DataFrame:
+    """Team/Individual earned and possible points (hundredths) per (staff, room).
+
+    ``key_collation`` (e.g. ``UNICODE_CI_AI_RTRIM``) compares and groups the
+    keys case-, accent- and trailing-space-insensitively like the reference's
+    store; Spark then plans a sort-based aggregation, so it is opt-in."""
     d0, d1 = parse_report_date(date_from), parse_report_date(date_to)
-    e = _date_window(entries, d0, d1)
+    e = _collated(_date_window(entries, d0, d1), ["staff_id", "room_code"], key_collation)
     r = _room_param(room)
     if r is not None:
         e = e.where(F.col("room_code") == r)
@@ -95,10 +107,11 @@ def points_by_staff_room(entries: DataFrame, date_from, date_to, room=None,
     return e.groupBy("staff_id", "room_code").agg(*aggs)
 
 
-def with_kpi(points: DataFrame, staff: DataFrame, rooms: DataFrame) -> DataFrame:
+def with_kpi(points: DataFrame, staff: DataFrame, rooms: DataFrame,
+             key_collation: str | None = None) -> DataFrame:
     """Attach names/admin flag and turn points into the three percentages."""
-    st = staff.select("staff_id", "staff_name")
-    rm = rooms.select("room_code", "is_admin")
+    st = _collated(staff.select("staff_id", "staff_name"), ["staff_id"], key_collation)
+    rm = _collated(rooms.select("room_code", "is_admin"), ["room_code"], key_collation)
     j = points.join(st, "staff_id", "left").join(rm, "room_code", "left")
     team = percent_hundredths(F.col("team_earned"), F.col("team_possible"))
     ind = percent_hundredths(F.col("ind_earned"), F.col("ind_possible"))
@@ -116,12 +129,17 @@ def _summary_order() -> list[Column]:
 
 
 def kpi_summary(entries: DataFrame, staff: DataFrame, rooms: DataFrame, date_from, date_to,
-                room=None, page=None, per_page=None) -> DataFrame:
+                room=None, page=None, per_page=None, key_collation: str | None = None) -> DataFrame:
     """R1. KPI per (staff, room) for an inclusive date range.
 
     With ``page``/``per_page`` the result is one page (clamped like the API);
-    without them the whole ordered result is returned."""
-    k = with_kpi(points_by_staff_room(entries, date_from, date_to, room), staff, rooms)
+    without them the whole ordered result is returned. With ``key_collation``
+    the output keys are normalised (lower case, trailing spaces removed)."""
+    k = with_kpi(points_by_staff_room(entries, date_from, date_to, room, key_collation=key_collation),
+                 staff, rooms, key_collation)
+    if key_collation is not None:
+        for c in ("staff_id", "room_code"):
+            k = k.withColumn(c, F.collate(F.lower(F.rtrim(F.col(c))), "UTF8_BINARY"))
     out = k.orderBy(*_summary_order()).select(*SUMMARY_COLUMNS)
     if page is None and per_page is None:
         return out

@@ -10,8 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from checkwise import params as P
-from checkwise.plans import config, imports, ingest, reports
-from checkwise.sources import raw
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from checkwise.plans import config, dimensions, imports, ingest, quality, reports, snapshot
+from checkwise.sources import raw, store
 from checkwise.sources import testdata as td
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +67,31 @@ def _csv(spark, sf):
     return imports.import_csv(raw.csv_lines(spark, sf), raw.CSV_HEADER, raw.stored_presence(spark, sf))
 
 
+def _collated(spark, sf):
+    return reports.kpi_summary(raw.entries_with_mixed_keys(spark, sf), td.staff(spark, sf),
+                               td.rooms(spark, sf), P.FULL_FROM, P.FULL_TO,
+                               key_collation=P.COLLATION)
+
+
+def _checklist_contexts(spark, sf):
+    contexts = td.kpi_entries(spark, sf).select("room_code", "slot_code")
+    return config.checklists(contexts, td.indicators(spark, sf))
+
+
+def _load_dimension(spark, sf):
+    table, _added = dimensions.load_dimension(td.staff(spark, sf), raw.staff_load_batch(spark, sf),
+                                              dimensions.PRIMARY_KEYS["staff"], [F.col("seq")])
+    return table
+
+
+def _snapshot(spark, sf):
+    base = store.scratch_path(spark, "snapshots")
+    day = dt.date.fromisoformat(P.SNAPSHOT_DAY)
+    entries = td.kpi_entries(spark, sf).drop("entry_month")
+    snapshot.write_snapshot({"kpi_entries": entries}, base, day)
+    return snapshot.read_snapshot(spark, base, day, "kpi_entries")
+
+
 def queries() -> dict[str, Query]:
     return {
         "kpi_summary": _summary(),
@@ -89,4 +118,12 @@ def queries() -> dict[str, Query]:
         "import_csv": lambda s, sf: _csv(s, sf).entries,
         "import_csv_stats": lambda s, sf: _csv(s, sf).stats,
         "import_csv_presence": lambda s, sf: _csv(s, sf).presence,
+        "kpi_summary_collated": _collated,
+        "checklist": lambda s, sf: config.checklist(td.indicators(s, sf), P.ROOM, P.SLOT, P.SCOPE),
+        "checklist_contexts": _checklist_contexts,
+        "staff_by_room": lambda s, sf: config.staff_by_room(td.staff(s, sf), P.ROOM),
+        "checklist_completeness": lambda s, sf: quality.checklist_completeness(
+            td.kpi_entries(s, sf), td.indicators(s, sf)),
+        "load_dimension": _load_dimension,
+        "snapshot_roundtrip": _snapshot,
     }

@@ -224,3 +224,26 @@ def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     blanks = (numbered.where(k % CSV_BLANK_EVERY == 0)
               .select((line_no + 1).alias("line_no"), F.lit(",,,,,,,,").alias("value")))
     return rows.unionByName(blanks)
+
+
+def staff_load_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A staff load: every even supplier, each sent twice (the first wins),
+    some of them already stored (the stored row wins). Column ``seq`` orders."""
+    s = td.table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 2 == 0)
+    sid = F.concat(F.lit("st_"), F.col("s_suppkey").cast("string"))
+
+    def version(prefix: str, dup: int) -> DataFrame:
+        return s.select(sid.alias("staff_id"), F.concat(F.lit(prefix), F.col("s_name")).alias("staff_name"),
+                        F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("rooms"),
+                        F.lit(1).alias("active"), (F.col("s_suppkey") * 2 + dup).alias("seq"))
+    return version("NEW ", 0).unionByName(version("DUP ", 1))
+
+
+def entries_with_mixed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table with room codes written three ways (as is, lower case,
+    with trailing spaces) — equal under a case/space-insensitive collation."""
+    e = td.kpi_entries(spark, sf_dir)
+    v = F.col("id") % 3
+    return e.withColumn("room_code", F.when(v == 1, F.lower("room_code"))
+                        .when(v == 2, F.concat(F.col("room_code"), F.lit("  ")))
+                        .otherwise(F.col("room_code")))
