@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from checkwise.operators.sizing import broadcast_if_small
 
 ENTRY_KEY = ["batch_id", "staff_id", "indicator_id"]
 
@@ -47,10 +46,12 @@ def insert_ignore(new_rows: DataFrame, existing: DataFrame, keys: list[str],
     ``probe`` (optional) holds the distinct values of one key column that the
     new rows can have (e.g. the batch ids of the accepted submissions). The
     stored table is semi-joined with it first, so only stored rows that can
-    collide take part in the anti-join shuffle; the probe side is broadcast
-    only after a row-count check."""
+    collide take part in the anti-join shuffle. The probe is the output of a
+    shuffle (distinct), so adaptive execution sees its real size and
+    broadcasts it only when it is under the broadcast threshold; otherwise the
+    semi-join stays a shuffle join."""
     ex = existing.select(*keys).where(_key_not_null(keys))
     if probe is not None:
         col = probe.columns[0]
-        ex = ex.join(broadcast_if_small(probe), col, "left_semi")
+        ex = ex.join(probe, col, "left_semi")
     return new_rows.join(ex, keys, "left_anti")

@@ -28,7 +28,9 @@ from checkwise.functions.dates import csv_date, history_date, php_trim
 from checkwise.functions.scoring import earned_points
 from checkwise.functions.text import falsy_to_null, leading_number, too_long
 from checkwise.operators.dedup import insert_ignore
-from checkwise.schemas import ENTRY_COLUMNS, LIMITS, MAX_WEIGHT, POINTS, SCOPES, WEIGHT
+from checkwise.operators.parsing import parse_csv_columns, parse_json_columns
+from checkwise.schemas import (ENTRY_COLUMNS, HISTORY_STRING_KEYS, HISTORY_VARIANT_KEYS, LIMITS,
+                               MAX_WEIGHT, POINTS, SCOPES, WEIGHT)
 
 HISTORY_USER = "migrate_v2"
 CSV_USER = "migrate_excel"
@@ -96,31 +98,23 @@ def _finish(rows: DataFrame, user: str, stored_presence: DataFrame | None, note:
 
 # --- I3 history JSON ---------------------------------------------------------
 
-def _vget(v: Column, key: str, typ: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", typ)
+# Every key the import looks at: plain keys read as text, the three keys whose
+# JSON type matters kept as VARIANT (1, "1", true and 1.0 stay distinct).
+HISTORY_SCHEMA = ", ".join([f"`{k}` STRING" for k in HISTORY_STRING_KEYS]
+                           + [f"`{k}` VARIANT" for k in HISTORY_VARIANT_KEYS])
 
 
-def _vtype(v: Column, key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{key}", "variant"))
+def _is_int_one(v: Column, vtype: Column) -> Column:
+    return F.coalesce((vtype == "BIGINT") & (F.try_variant_get(v, "$", "bigint") == 1), F.lit(False))
 
 
-def _first_str(v: Column, *keys: str) -> Column:
-    """``$r[k1] ?? $r[k2] ?? ...`` (JSON null counts as missing)."""
-    return F.coalesce(*[_vget(v, k, "string") for k in keys])
-
-
-def _is_int_one(v: Column, key: str) -> Column:
-    return F.coalesce((_vtype(v, key) == "BIGINT") & (_vget(v, key, "bigint") == 1), F.lit(False))
-
-
-def _loose_float(v: Column, key: str, default: float) -> Column:
+def _loose_float(v: Column, vtype: Column, default: float) -> Column:
     """``(float)($r[key] ?? default)``: numbers as is, strings by leading
-    number, booleans 1/0."""
-    t = _vtype(v, key)
-    return (F.when(t.isNull() | (t == "VOID"), F.lit(default))
-            .when(t == "STRING", leading_number(_vget(v, key, "string"), default))
-            .when(t == "BOOLEAN", F.when(_vget(v, key, "boolean"), 1.0).otherwise(0.0))
-            .otherwise(F.coalesce(_vget(v, key, "double"), F.lit(0.0))))
+    number, booleans 1/0, missing or JSON null -> default."""
+    return (F.when(vtype.isNull() | (vtype == "VOID"), F.lit(default))
+            .when(vtype == "STRING", leading_number(F.try_variant_get(v, "$", "string"), default))
+            .when(vtype == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), 1.0).otherwise(0.0))
+            .otherwise(F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(0.0))))
 
 
 def history_record_hash(text: Column) -> Column:
@@ -131,29 +125,39 @@ def history_record_hash(text: Column) -> Column:
 
 def import_history(records: DataFrame, stored_presence: DataFrame | None = None,
                    text_col: str = "value") -> ImportResult:
-    """I3. ``records``: one JSON object text per row (JSON Lines)."""
-    v = F.try_parse_json(F.col(text_col))
-    r = records.select(F.col(text_col).alias("_text"), v.alias("_v"))
-    v = F.col("_v")
-    date = history_date(F.coalesce(_first_str(v, "date", "entry_date"), F.lit("")))
-    batch = F.coalesce(_first_str(v, "batch_id", "batchId"),
-                       F.concat(F.lit("MIGR-"), history_record_hash(F.col("_text"))))
-    room = F.coalesce(_first_str(v, "room", "room_code"), F.lit(""))
-    slot = F.coalesce(_first_str(v, "slot", "slot_code"), F.lit(""))
-    staff = F.coalesce(_first_str(v, "staff_id", "staffId"), F.lit(""))
-    scope = F.coalesce(_vget(v, "scope", "string"), F.lit("Team"))
-    text = F.coalesce(_first_str(v, "indicator", "indicator_text"), F.lit(""))
-    category = F.coalesce(_vget(v, "category", "string"), F.lit("Imported"))
-    check = ((F.coalesce(_vtype(v, "check") == "STRING", F.lit(False))
-              & (F.coalesce(_vget(v, "check", "string"), F.lit("")) == "yes"))
-             | _is_int_one(v, "check") | _is_int_one(v, "check_value")).cast("int")
-    weight = _loose_float(v, "weight", 1.0)
+    """I3. ``records``: one JSON object text per row (JSON Lines).
+
+    Each record is parsed once (``from_json`` with a fixed schema); aliases are
+    ``coalesce`` chains (``a ?? b``: missing and JSON null both fall through)."""
+    r = parse_json_columns(records, text_col, HISTORY_SCHEMA, [F.col(text_col).alias("_text")])
+    # stage 1: aliases, defaults, JSON types of the typed keys
+    r = r.select(
+        F.col("_text").alias("source_ref"),
+        F.coalesce("batch_id", "batchId",
+                   F.concat(F.lit("MIGR-"), history_record_hash(F.col("_text")))).alias("batch_id"),
+        F.coalesce("date", "entry_date", F.lit("")).alias("_date_raw"),
+        F.coalesce("room", "room_code", F.lit("")).alias("room_code"),
+        F.coalesce("slot", "slot_code", F.lit("")).alias("slot_code"),
+        F.coalesce("staff_id", "staffId", F.lit("")).alias("staff_id"),
+        F.coalesce("scope", F.lit("Team")).alias("scope"),
+        F.coalesce("indicator", "indicator_text", F.lit("")).alias("indicator_text"),
+        F.coalesce("category", F.lit("Imported")).alias("category"),
+        falsy_to_null(F.col("comment")).alias("comment"),
+        "check", "check_value", "weight",
+        F.schema_of_variant("check").alias("_t_check"),
+        F.schema_of_variant("check_value").alias("_t_check_value"),
+        F.schema_of_variant("weight").alias("_t_weight"))
+    # stage 2: typed values
+    check = ((F.coalesce(F.col("_t_check") == "STRING", F.lit(False))
+              & (F.coalesce(F.try_variant_get("check", "$", "string"), F.lit("")) == "yes"))
+             | _is_int_one(F.col("check"), F.col("_t_check"))
+             | _is_int_one(F.col("check_value"), F.col("_t_check_value"))).cast("int")
     rows = r.select(
-        F.col("_text").alias("source_ref"), batch.alias("batch_id"), date.alias("_d"),
-        room.alias("room_code"), slot.alias("slot_code"), staff.alias("staff_id"),
-        scope.alias("scope"), text.alias("indicator_text"), category.alias("category"),
-        check.alias("check_value"), weight.alias("weight_raw"),
-        falsy_to_null(_vget(v, "comment", "string")).alias("comment"))
+        "source_ref", "batch_id", history_date(F.col("_date_raw")).alias("_d"),
+        "room_code", "slot_code", "staff_id", "scope", "indicator_text", "category",
+        check.alias("check_value"),
+        _loose_float(F.col("weight"), F.col("_t_weight"), 1.0).alias("weight_raw"),
+        "comment")
     reason = _reject_reason(F.col("_d.value"), F.col("room_code"), F.col("slot_code"),
                             F.col("staff_id"), F.col("scope"), F.col("indicator_text"),
                             F.col("category"), F.col("weight_raw"), F.col("batch_id"))
@@ -181,10 +185,9 @@ def import_csv(lines: DataFrame, header_line: str, stored_presence: DataFrame |
     cmap = header_map(header_line)
     width = max(cmap.values()) + 1 if cmap else 1
     schema = ", ".join(f"c{i} STRING" for i in range(width))
-    cells = F.from_csv(F.col(text_col), schema, {"mode": "PERMISSIVE"})
     # stage 1: raw cells -> trimmed cells ('' as NULL) and the blank-row test
-    c = lines.select(F.col(line_col).alias("source_ref"), cells.alias("_c"))
-    raw_cells = [F.col(f"_c.c{i}") for i in range(width)]
+    c = parse_csv_columns(lines, text_col, schema, [F.col(line_col).alias("source_ref")])
+    raw_cells = [F.col(f"c{i}") for i in range(width)]
     any_truthy = F.lit(False)
     for x in raw_cells:
         any_truthy = any_truthy | (x.isNotNull() & (x != "") & (x != "0"))
