@@ -76,6 +76,10 @@ def materialize(spark: SparkSession, name: str, key: str, build,
         order = (partition_by or []) + (sort_within or [])
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        else:
+            # spread rows over at least one file per core so later scans of
+            # a small derived input are not a single task
+            df = df.repartition(max(spark.sparkContext.defaultParallelism, 1))
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
