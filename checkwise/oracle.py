@@ -175,6 +175,10 @@ def oracle_sql() -> dict[str, str]:
         "top_violations_room": violations_sql(P.FULL_FROM, P.FULL_TO, P.ROOM, P.LIMIT),
         "daily_report": daily_sql(P.DAY_ISO, P.ROOM),
         "kpi_bands": bands_sql(P.FULL_FROM, P.FULL_TO),
+        "daily_view": f"""WITH d AS ({daily_sql(P.DAY_ISO, P.ROOM)})
+SELECT id, slot_code, coalesce(staff_name, staff_id) AS display_name, scope, indicator_text,
+  CASE WHEN check_value = 1 THEN 'Yes' ELSE 'No' END AS check_label, weight,
+  coalesce(comment, '') AS comment FROM d""",
     }
     for name, body in ACTIVE.items():
         q[name] = _with() + body

@@ -195,6 +195,16 @@ def daily_report(entries: DataFrame, staff: DataFrame, day, room) -> DataFrame:
             .select(*DAILY_COLUMNS))
 
 
+def daily_view(daily: DataFrame) -> DataFrame:
+    """R3 as displayed: name falls back to the staff id (F21), the check as a
+    Yes/No label (F22), a missing comment as ''."""
+    return daily.select(
+        "id", "slot_code", F.coalesce(F.col("staff_name"), F.col("staff_id")).alias("display_name"),
+        "scope", "indicator_text",
+        F.when(F.col("check_value") == 1, "Yes").otherwise("No").alias("check_label"),
+        "weight", F.coalesce(F.col("comment"), F.lit("")).alias("comment"))
+
+
 def kpi_bands(summary: DataFrame) -> DataFrame:
     """C4. Display name and colour band of each percentage of a summary."""
     return summary.select(

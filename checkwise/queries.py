@@ -103,6 +103,7 @@ def queries() -> dict[str, Query]:
         "top_violations_room": _violations(room=P.ROOM),
         "daily_report": _daily,
         "kpi_bands": _bands,
+        "daily_view": lambda s, sf: reports.daily_view(_daily(s, sf)),
         "active_rooms": lambda s, sf: config.active_rooms(td.rooms(s, sf)),
         "active_slots": lambda s, sf: config.active_slots(td.slots(s, sf)),
         "active_staff": lambda s, sf: config.active_staff(td.staff(s, sf)),

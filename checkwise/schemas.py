@@ -118,6 +118,8 @@ SUBMISSION = T.StructType([
     T.StructField("present_staff_ids", T.ArrayType(T.StringType()), True),
     T.StructField("team_items", T.ArrayType(ITEM), True),
     T.StructField("individual_items", T.MapType(T.StringType(), T.ArrayType(ITEM)), True),
+    # holds the raw text when the payload is not valid JSON
+    T.StructField("_corrupt", T.StringType(), True),
 ])
 
 # History record keys, in the order the import looks them up.
