@@ -52,7 +52,8 @@ def _bands(spark, sf):
 
 def _ingest(spark, sf):
     return ingest.ingest_submissions(raw.submissions(spark, sf), td.indicators(spark, sf),
-                                     raw.stored_entries(spark, sf), raw.stored_presence(spark, sf))
+                                     raw.stored_entries(spark, sf), raw.stored_presence(spark, sf),
+                                     batch_index=raw.stored_batch_index(spark, sf))
 
 
 def _batch_exists(spark, sf):

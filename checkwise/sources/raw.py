@@ -122,6 +122,15 @@ def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(order_key % STORED_EVERY == 0)
 
 
+def stored_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(batch_id, entry_month) of the stored entries — the small side table the
+    sink maintains next to the fact table (built here once per input)."""
+    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    return store.materialize(
+        spark, "batch_index", key,
+        lambda: stored_entries(spark, sf_dir).select("batch_id", "entry_month").distinct())
+
+
 def stored_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_entries(spark, sf_dir).select("batch_id", "staff_id").distinct()
 

@@ -39,7 +39,12 @@ def process_batch(spark: SparkSession, batch: DataFrame, indicators: DataFrame,
         entries = entries.where(F.col("load_id") != load_id)
     if "load_id" in presence.columns:
         presence = presence.where(F.col("load_id") != load_id)
-    result = ingest.ingest_submissions(batch, indicators, entries, presence)
+    index = sinks.read_table(spark, paths.batch_index)
+    if index is not None and "entry_month" in entries.columns:
+        index = index.where(F.col("load_id") != load_id)
+    else:
+        index = None
+    result = ingest.ingest_submissions(batch, indicators, entries, presence, batch_index=index)
     sinks.write_result(result, paths, load_id)
 
 
