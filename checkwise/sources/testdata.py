@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from checkwise.functions.scoring import earned_points
 from checkwise.operators.numbering import with_row_number
-from checkwise.schemas import KPI_ENTRIES, KPI_ENTRIES_STORED, POINTS, WEIGHT
+from checkwise.schemas import (INDICATORS, KPI_ENTRIES, KPI_ENTRIES_STORED, POINTS, ROOMS, SLOTS,
+                               STAFF, WEIGHT)
 from checkwise.sources import store
 
 # Fixed values of the mapping: the slot each part number points at, by
@@ -32,7 +33,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _stored_dim(spark: SparkSession, sf_dir: str, name: str, inputs: list[str], build, schema):
+    """Dimensions are stored tables: derived once per input folder, then read."""
+    key = store.input_key([f"{sf_dir.rstrip('/')}/{n}.parquet" for n in inputs])
+    return store.materialize(spark, f"dim_{name}", key, build, schema=schema)
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_dim(spark, sf_dir, "rooms", ["region"], lambda: derive_rooms(spark, sf_dir), ROOMS)
+
+
+def staff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_dim(spark, sf_dir, "staff", ["supplier", "nation", "region"],
+                       lambda: derive_staff(spark, sf_dir), STAFF)
+
+
+def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_dim(spark, sf_dir, "slots", ["orders"], lambda: derive_slots(spark, sf_dir), SLOTS)
+
+
+def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored_dim(spark, sf_dir, "indicators", ["part", "region"],
+                       lambda: derive_indicators(spark, sf_dir), INDICATORS)
+
+
+def derive_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "region")
     return (r.where(F.col("r_regionkey") != NOT_A_ROOM_REGION)
             .select(F.col("r_name").alias("room_code"),
@@ -41,7 +66,7 @@ def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("r_regionkey") != INACTIVE_REGION).cast("int").alias("active")))
 
 
-def staff(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_staff(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
@@ -58,7 +83,7 @@ def staff(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("s_acctbal") >= 0).cast("int").alias("active")))
 
 
-def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_orderpriority")
     return (table(spark, sf_dir, "orders").select(p).distinct()
             .select(p.alias("slot_code"),
@@ -68,7 +93,7 @@ def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (p != INACTIVE_SLOT).cast("int").alias("active")))
 
 
-def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     r = table(spark, sf_dir, "region")
     k = F.col("p_partkey")
@@ -96,7 +121,7 @@ def entries_unmaterialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    ind = indicators(spark, sf_dir).select(
+    ind = derive_indicators(spark, sf_dir).select(
         F.col("id").alias("indicator_id"), "scope", "indicator_text", "category", "weight")
     check = F.when(F.col("l_returnflag") == "R", 0).otherwise(1)
     # surrogate id: 1..N over the full line key, numbered without a global window
