@@ -87,24 +87,35 @@ def points_by_staff_room(entries: DataFrame, date_from, date_to, room=None,
 
     ``key_collation`` (e.g. ``UNICODE_CI_AI_RTRIM``) compares and groups the
     keys case-, accent- and trailing-space-insensitively like the reference's
-    store; Spark then plans a sort-based aggregation, so it is opt-in."""
+    store. Grouping on collated strings is sort-based in Spark, so the rows are
+    first pre-aggregated by a hash aggregate on the exact (binary) keys; only
+    those partial sums — one row per distinct spelling — are re-grouped under
+    the collation."""
     d0, d1 = parse_report_date(date_from), parse_report_date(date_to)
-    e = _collated(_date_window(entries, d0, d1), ["staff_id", "room_code"], key_collation)
+    e = _date_window(entries, d0, d1)
     r = _room_param(room)
     if r is not None:
-        e = e.where(F.col("room_code") == r)
+        room_col = F.collate(F.col("room_code"), key_collation) if key_collation else F.col("room_code")
+        e = e.where(room_col == r)
 
     def pts(scope: str, col: str) -> Column:
         return F.sum(F.when(F.col("scope") == scope, hundredths(F.col(col)))
                      .otherwise(F.lit(0).cast("long")))
 
-    aggs = [pts("Team", "earned_points").alias("team_earned"),
+    sums = [pts("Team", "earned_points").alias("team_earned"),
             pts("Team", "possible_points").alias("team_possible"),
             pts("Individual", "earned_points").alias("ind_earned"),
             pts("Individual", "possible_points").alias("ind_possible")]
+    if key_collation is None:
+        aggs = sums + ([F.countDistinct("batch_id").alias("total_batches")] if with_batches else [])
+        return e.groupBy("staff_id", "room_code").agg(*aggs)
+    keys = ["staff_id", "room_code"] + (["batch_id"] if with_batches else [])
+    partial = e.groupBy(*keys).agg(*sums)
+    resum = [F.sum(c).alias(c) for c in ("team_earned", "team_possible", "ind_earned", "ind_possible")]
     if with_batches:
-        aggs.append(F.countDistinct("batch_id").alias("total_batches"))
-    return e.groupBy("staff_id", "room_code").agg(*aggs)
+        resum.append(F.countDistinct(F.collate(F.col("batch_id"), key_collation)).alias("total_batches"))
+    return (_collated(partial, ["staff_id", "room_code"], key_collation)
+            .groupBy("staff_id", "room_code").agg(*resum))
 
 
 def with_kpi(points: DataFrame, staff: DataFrame, rooms: DataFrame,
@@ -148,7 +159,7 @@ def kpi_summary(entries: DataFrame, staff: DataFrame, rooms: DataFrame, date_fro
 
 
 def kpi_monthly(entries: DataFrame, staff: DataFrame, rooms: DataFrame, year, month,
-                room=None) -> DataFrame:
+                room=None, key_collation: str | None = None) -> DataFrame:
     """R4. Summary columns for one calendar month plus distinct batch count."""
     y, m = int(year or 0), int(month or 0)
     if not y:
@@ -159,7 +170,11 @@ def kpi_monthly(entries: DataFrame, staff: DataFrame, rooms: DataFrame, year, mo
         raise ValueError(f"Invalid month: {m}")
     d0 = dt.date(y, m, 1)
     d1 = dt.date(y, m, calendar.monthrange(y, m)[1])
-    k = with_kpi(points_by_staff_room(entries, d0, d1, room, with_batches=True), staff, rooms)
+    k = with_kpi(points_by_staff_room(entries, d0, d1, room, with_batches=True,
+                                      key_collation=key_collation), staff, rooms, key_collation)
+    if key_collation is not None:
+        for c in ("staff_id", "room_code"):
+            k = k.withColumn(c, F.collate(F.lower(F.rtrim(F.col(c))), "UTF8_BINARY"))
     cols = SUMMARY_COLUMNS[:4] + ["total_batches"] + SUMMARY_COLUMNS[4:]
     return k.orderBy(*_summary_order()).select(*cols)
 

@@ -77,3 +77,6 @@ def test_collation_merges_case_and_trailing_spaces(spark):
     coll = reports.kpi_summary(e, st, rm, "2026-04-01", "2026-04-30", key_collation="UNICODE_CI_AI_RTRIM")
     rows = coll.collect()
     assert len(rows) == 1 and rows[0].is_admin == 1 and rows[0].staff_name == "Ann"
+    assert rows[0].room_code == "pink" and rows[0].team_kpi == 100.0
+    m = reports.kpi_monthly(e, st, rm, 2026, 4, key_collation="UNICODE_CI_AI_RTRIM").collect()
+    assert len(m) == 1 and m[0].total_batches == 1
