@@ -23,18 +23,22 @@ def _key_not_null(keys: list[str]) -> Column:
     return c
 
 
-def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def first_wins(rows: DataFrame, keys: list[str], order: list[Column],
+               keys_never_null: bool = False) -> DataFrame:
     """Keep, per non-NULL key, the row that comes first in ``order``; rows with
     a NULL key part all survive.
 
-    Planned as hash exchange on the key + sort + ``row_number() == 1``; Spark
-    inserts a partial per-key limit before the exchange (window group limit),
-    so duplicates are dropped map-side before shuffling. NULL-key rows are
-    kept by the filter itself, so the input is read once (no union split)."""
+    Planned as hash exchange on the key + sort + ``row_number() == 1``. When
+    the caller guarantees non-NULL keys the filter is the plain rank limit, and
+    Spark adds a partial per-key limit *before* the exchange (window group
+    limit), dropping duplicates map-side. Otherwise NULL-key rows are kept by
+    the filter itself, so the input is still read once (no union split)."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return (rows.withColumn("_rn", F.row_number().over(w))
-            .where((F.col("_rn") == 1) | ~_key_not_null(keys))
-            .drop("_rn"))
+    ranked = rows.withColumn("_rn", F.row_number().over(w))
+    keep = F.col("_rn") == 1
+    if not keys_never_null:
+        keep = keep | ~_key_not_null(keys)
+    return ranked.where(keep).drop("_rn")
 
 
 def insert_ignore(new_rows: DataFrame, existing: DataFrame, keys: list[str],

@@ -57,7 +57,7 @@ def _ingest(spark, sf):
 
 
 def _batch_exists(spark, sf):
-    return ingest.batch_exists(raw.probe_batches(spark, sf), raw.stored_entries(spark, sf))
+    return ingest.batch_exists(raw.probe_batches(spark, sf), raw.stored_batch_index(spark, sf))
 
 
 def _history(spark, sf):
