@@ -27,7 +27,13 @@ def load_dimension(existing: DataFrame, new_rows: DataFrame, keys: list[str] | N
     return existing.unionByName(added), added
 
 
-def audit_row(added: DataFrame, action: str = "seed_config") -> DataFrame:
-    return added.agg(F.count(F.lit(1)).alias("rows_saved")).select(
+def audit_row(loaded: list[DataFrame], action: str = "seed_config") -> DataFrame:
+    """One audit row for a dimension load; like the reference, it counts the
+    rows *offered* to all tables (not only the ones a first-wins load kept)."""
+    counts = [df.select(F.lit(1).alias("one")) for df in loaded]
+    allrows = counts[0]
+    for c in counts[1:]:
+        allrows = allrows.unionByName(c)
+    return allrows.agg(F.count(F.lit(1)).alias("rows_saved")).select(
         F.lit("anonymous").alias("user"), F.lit(action).alias("action"), F.lit("").alias("batch_id"),
         F.lit("").alias("ip"), "rows_saved", F.lit(None).cast("string").alias("note"))

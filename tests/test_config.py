@@ -54,4 +54,5 @@ def test_load_dimension_first_wins_and_indicator_append(spark):
     ind = spark.createDataFrame(IND[:2], INDICATORS)
     table2, _ = dimensions.load_dimension(ind, ind, None)
     assert table2.count() == 4
-    assert dimensions.audit_row(added).collect()[0].rows_saved == 1
+    assert dimensions.audit_row([new, ind]).collect()[0].rows_saved == 5
+    assert added.count() == 1
