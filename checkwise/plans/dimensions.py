@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from checkwise.operators.dedup import first_wins, insert_ignore
 
 PRIMARY_KEYS = {"rooms": ["room_code"], "slots": ["slot_code"], "staff": ["staff_id"]}
+# Fixed value: the audit action of a dimension load.
+SEED_ACTION = "seed_config"
 
 
 def load_dimension(existing: DataFrame, new_rows: DataFrame, keys: list[str] | None,
@@ -27,7 +29,7 @@ def load_dimension(existing: DataFrame, new_rows: DataFrame, keys: list[str] | N
     return existing.unionByName(added), added
 
 
-def audit_row(loaded: list[DataFrame], action: str = "seed_config") -> DataFrame:
+def audit_row(loaded: list[DataFrame], action: str = SEED_ACTION) -> DataFrame:
     """One audit row for a dimension load; like the reference, it counts the
     rows *offered* to all tables (not only the ones a first-wins load kept)."""
     counts = [df.select(F.lit(1).alias("one")) for df in loaded]

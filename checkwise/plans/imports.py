@@ -32,8 +32,12 @@ from checkwise.operators.parsing import parse_csv_columns, parse_json_columns
 from checkwise.schemas import (ENTRY_COLUMNS, HISTORY_STRING_KEYS, HISTORY_VARIANT_KEYS, LIMITS,
                                MAX_WEIGHT, POINTS, SCOPES, WEIGHT)
 
+# What each import writes as submitted_by / audit action, and
+# the audit notes.
 HISTORY_USER = "migrate_v2"
 CSV_USER = "migrate_excel"
+HISTORY_NOTE = "Imported from kpi_history.json"
+CSV_NOTE = "Imported from CSV"
 
 # Header aliases of the CSV import, in lookup order.
 CSV_ALIASES = {
@@ -167,7 +171,7 @@ def import_history(records: DataFrame, stored_presence: DataFrame | None = None,
                         .when(F.col("reason").isNotNull(), "rejected")
                         .otherwise("imported"))
             .drop("_d"))
-    return _finish(rows, HISTORY_USER, stored_presence, "Imported from kpi_history.json")
+    return _finish(rows, HISTORY_USER, stored_presence, HISTORY_NOTE)
 
 
 # --- I4 headered CSV -----------------------------------------------------------
@@ -234,4 +238,4 @@ def import_csv(lines: DataFrame, header_line: str, stored_presence: DataFrame |
                         .when(F.col("reason").isNotNull(), "rejected")
                         .otherwise("imported"))
             .drop("_d", "_any"))
-    return _finish(rows, CSV_USER, stored_presence, "Imported from CSV")
+    return _finish(rows, CSV_USER, stored_presence, CSV_NOTE)
