@@ -13,7 +13,7 @@ LEADING_NUMBER = r"^[ \t\n\r\x0B\f]*([+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?
 LEADING_INT = r"^[ \t\n\r\x0B\f]*([+-]?[0-9]+)"
 
 __all__ = ["php_trim", "falsy_to_null", "trimmed_or_null", "leading_number", "leading_int",
-           "too_long"]
+           "too_long", "enum_value"]
 
 
 def falsy_to_null(c: Column) -> Column:
@@ -43,3 +43,13 @@ def leading_int(c: Column) -> Column:
 
 def too_long(c: Column, limit: int) -> Column:
     return F.coalesce(F.length(c) > limit, F.lit(False))
+
+
+def enum_value(c: Column, allowed: tuple[str, ...]) -> Column:
+    """An ENUM column's stored value: the allowed value equal to ``c`` ignoring
+    case and trailing spaces (as the store's collation compares), else NULL."""
+    key = F.lower(F.rtrim(c))
+    out = F.lit(None).cast("string")
+    for v in reversed(allowed):
+        out = F.when(key == v.lower(), F.lit(v)).otherwise(out)
+    return out

@@ -291,13 +291,16 @@ stored_presence AS (
   SELECT DISTINCT batch_id, staff_id FROM kpi_entries WHERE CAST(substr(batch_id, 3) AS BIGINT) % 10 = 0),
 hj AS (
   SELECT *, '{' || concat_ws(',',
+      CASE WHEN ln <> 7 AND ln % 2 = 1 THEN '"batch_id":"B-' || CAST(o AS VARCHAR) || '"'
+           WHEN ln <> 7 AND ln % 2 = 0 THEN '"batchId":"H-' || CAST(o AS VARCHAR) || '"' END,
       CASE WHEN pk % 2 = 0 THEN '"date":"' || dtext || '"' END,
       CASE WHEN pk % 2 = 1 THEN '"entry_date":"' || dtext || '"' END,
       CASE WHEN o % 2 = 0 THEN '"room":"' || r_name || '"' ELSE '"room_code":"' || r_name || '"' END,
       CASE WHEN sk % 2 = 0 THEN '"slot":"' || o_orderpriority || '"'
            ELSE '"slot_code":"' || o_orderpriority || '"' END,
       CASE WHEN ln % 2 = 1 THEN '"staff_id":"st_' ELSE '"staffId":"st_' END || CAST(sk AS VARCHAR) || '"',
-      CASE WHEN pk % 13 <> 0 THEN '"scope":"' || iscope || '"' END,
+      CASE WHEN pk % 13 <> 0 THEN '"scope":"' ||
+           CASE WHEN pk % 97 = 0 THEN 'Group' WHEN pk % 89 = 0 THEN lower(iscope) ELSE iscope END || '"' END,
       CASE WHEN pk % 5 <> 0 THEN '"indicator":"' ELSE '"indicator_text":"' END || indicator_text || '"',
       CASE WHEN pk % 7 <> 0 THEN '"category":"' || category || '"' END,
       '"check":' || CASE WHEN flag = 'R' THEN '"no"' WHEN flag = 'A' THEN '"yes"'
@@ -318,7 +321,7 @@ hist AS (
          CASE WHEN pk % 7 = 0 THEN 'Imported' ELSE category END AS category,
          CASE WHEN flag = 'A' OR (flag = 'N' AND pk % 3 = 0) THEN 1 ELSE 0 END AS check_value,
          CAST(CASE WHEN pk % 11 = 0 THEN 1 ELSE w END AS DECIMAL(5,2)) AS weight,
-         CASE WHEN q = 2 THEN ' late ' END AS comment, 'migrate_v2' AS submitted_by, o
+         CASE WHEN q = 2 THEN ' late ' END AS comment, 'migrate_v2' AS submitted_by, o, pk, jtext
   FROM hj),
 cy AS (
   SELECT *, 1 + k + (k - 1) // 100 AS line_no, CAST(o_orderdate AS DATE) + 10000 AS d2
@@ -332,7 +335,7 @@ csvr AS (
          iscope AS scope, CAST(NULL AS BIGINT) AS indicator_id, indicator_text, category,
          CASE WHEN flag = 'R' THEN 0 ELSE 1 END AS check_value,
          CAST(w AS DECIMAL(5,2)) AS weight, CAST(NULL AS VARCHAR) AS comment,
-         'migrate_excel' AS submitted_by, o, pk
+         'migrate_excel' AS submitted_by, o, pk, line_no
   FROM cy)"""
 
 _IMPORT_COLS = ("batch_id, entry_date, room_code, slot_code, staff_id, scope, indicator_id, "
@@ -343,18 +346,28 @@ _IMPORT_COLS = ("batch_id, entry_date, room_code, slot_code, staff_id, scope, in
 
 def imports_sql() -> dict[str, str]:
     w = _with(_IMPORT_CTES)
-    hist_ok = "o % 4 <> 3"
-    csv_ok = "o % 5 <> 4 AND pk % 17 <> 0"
+    hist_read = "o % 4 <> 3"
+    hist_bad = "pk % 13 <> 0 AND pk % 97 = 0"
+    hist_ok = f"{hist_read} AND NOT ({hist_bad})"
+    csv_read = "o % 5 <> 4 AND pk % 17 <> 0"
+    csv_bad = "pk % 79 = 0"
+    csv_ok = f"{csv_read} AND NOT ({csv_bad})"
     return {
         "import_history": w + f"SELECT {_IMPORT_COLS} FROM hist WHERE {hist_ok}",
         "import_history_stats": w + f"""SELECT COUNT(*) FILTER (WHERE {hist_ok}) AS imported,
-  COUNT(*) FILTER (WHERE NOT ({hist_ok})) AS skipped, CAST(0 AS BIGINT) AS rejected FROM hist""",
+  COUNT(*) FILTER (WHERE NOT ({hist_read})) AS skipped,
+  COUNT(*) FILTER (WHERE {hist_read} AND {hist_bad}) AS rejected FROM hist""",
+        "import_history_rejects": w + f"""SELECT jtext AS source_ref, batch_id, 'Invalid scope: Group' AS reason
+FROM hist WHERE {hist_read} AND {hist_bad}""",
         "import_history_presence": w + f"""SELECT DISTINCT batch_id, staff_id FROM hist h
 WHERE {hist_ok} AND NOT EXISTS (SELECT 1 FROM stored_presence s
                                 WHERE s.batch_id = h.batch_id AND s.staff_id = h.staff_id)""",
         "import_csv": w + f"SELECT {_IMPORT_COLS} FROM csvr WHERE {csv_ok}",
         "import_csv_stats": w + f"""SELECT COUNT(*) FILTER (WHERE {csv_ok}) AS imported,
-  COUNT(*) FILTER (WHERE NOT ({csv_ok})) AS skipped, CAST(0 AS BIGINT) AS rejected FROM csvr""",
+  COUNT(*) FILTER (WHERE NOT ({csv_read})) AS skipped,
+  COUNT(*) FILTER (WHERE {csv_read} AND {csv_bad}) AS rejected FROM csvr""",
+        "import_csv_rejects": w + f"""SELECT line_no AS source_ref, batch_id, 'Weight out of range' AS reason
+FROM csvr WHERE {csv_read} AND {csv_bad}""",
         "import_csv_presence": w + f"""SELECT DISTINCT batch_id, staff_id FROM csvr c
 WHERE {csv_ok} AND NOT EXISTS (SELECT 1 FROM stored_presence s
                                WHERE s.batch_id = c.batch_id AND s.staff_id = c.staff_id)""",

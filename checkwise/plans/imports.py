@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from checkwise.functions.dates import csv_date, history_date, php_trim
 from checkwise.functions.scoring import earned_points
-from checkwise.functions.text import falsy_to_null, leading_number, too_long
+from checkwise.functions.text import enum_value, falsy_to_null, leading_number, too_long
 from checkwise.operators.dedup import insert_ignore
 from checkwise.operators.parsing import parse_csv_columns, parse_json_columns
 from checkwise.schemas import (ENTRY_COLUMNS, HISTORY_STRING_KEYS, HISTORY_VARIANT_KEYS, LIMITS,
@@ -65,7 +65,7 @@ class ImportResult:
 def _reject_reason(date_value: Column, room: Column, slot: Column, staff: Column, scope: Column,
                    text: Column, category: Column, weight: Column, batch: Column) -> Column:
     return (F.when(date_value.isNull(), "Invalid date")
-            .when(~scope.isin(*SCOPES), F.concat(F.lit("Invalid scope: "), scope))
+            .when(enum_value(scope, SCOPES).isNull(), F.concat(F.lit("Invalid scope: "), scope))
             .when(F.abs(weight) > MAX_WEIGHT + 0.005, "Weight out of range")
             .when(too_long(batch, LIMITS["id"]), "Too long: batch_id")
             .when(too_long(room, LIMITS["code"]), "Too long: room_code")
@@ -81,7 +81,8 @@ def _finish(rows: DataFrame, user: str, stored_presence: DataFrame | None, note:
     w = F.col("weight_raw").cast(WEIGHT)
     check = F.col("check_value")
     entries = imported.select(
-        "batch_id", "entry_date", "room_code", "slot_code", "staff_id", "scope",
+        "batch_id", "entry_date", "room_code", "slot_code", "staff_id",
+        enum_value(F.col("scope"), SCOPES).alias("scope"),
         F.lit(None).cast("long").alias("indicator_id"), "indicator_text", "category",
         check.alias("check_value"), w.alias("weight"),
         earned_points(check, w).alias("earned_points"), w.cast(POINTS).alias("possible_points"),

@@ -117,9 +117,11 @@ def queries() -> dict[str, Query]:
         "import_history": lambda s, sf: _history(s, sf).entries,
         "import_history_stats": lambda s, sf: _history(s, sf).stats,
         "import_history_presence": lambda s, sf: _history(s, sf).presence,
+        "import_history_rejects": lambda s, sf: _history(s, sf).rejects,
         "import_csv": lambda s, sf: _csv(s, sf).entries,
         "import_csv_stats": lambda s, sf: _csv(s, sf).stats,
         "import_csv_presence": lambda s, sf: _csv(s, sf).presence,
+        "import_csv_rejects": lambda s, sf: _csv(s, sf).rejects,
         "kpi_summary_collated": _collated,
         "checklist": lambda s, sf: config.checklist(td.indicators(s, sf), P.ROOM, P.SLOT, P.SCOPE),
         "checklist_contexts": _checklist_contexts,

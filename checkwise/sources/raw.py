@@ -184,7 +184,10 @@ def build_history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sk % 2 == 1, F.col("o_orderpriority")).alias("slot_code"),
         F.when(ln % 2 == 1, staff).alias("staff_id"),
         F.when(ln % 2 == 0, staff).alias("staffId"),
-        F.when(pk % 13 != 0, F.col("iscope")).alias("scope"),
+        F.when(pk % 13 == 0, F.lit(None).cast("string"))
+         .when(pk % 97 == 0, F.lit("Group"))
+         .when(pk % 89 == 0, F.lower("iscope"))
+         .otherwise(F.col("iscope")).alias("scope"),
         F.when(pk % 5 != 0, F.col("indicator_text")).alias("indicator"),
         F.when(pk % 5 == 0, F.col("indicator_text")).alias("indicator_text"),
         F.when(pk % 7 != 0, F.col("category")).alias("category"),
@@ -220,11 +223,12 @@ def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.when(pk % 17 == 0, F.lit("")).otherwise(F.col("r_name")),
              F.col("o_orderpriority"),
              F.when(sk % 11 == 0, F.lit("")).otherwise(F.concat(F.lit("st_"), sk.cast("string"))),
-             F.col("iscope"),
+             F.when(pk % 83 == 0, F.upper("iscope")).otherwise(F.col("iscope")),
              _csv_quote(F.col("indicator_text")),
              _csv_quote(F.col("category")),
              F.when(flag == "R", "No").when(flag == "A", "YES").otherwise(F.lit("")),
-             F.concat(F.col("w").cast("string"), F.when(pk % 3 == 0, F.lit(" pts")).otherwise(F.lit("")))]
+             F.when(pk % 79 == 0, F.lit("1500")).otherwise(
+                 F.concat(F.col("w").cast("string"), F.when(pk % 3 == 0, F.lit(" pts")).otherwise(F.lit(""))))]
     data = x.select(*td.LINE_KEY, F.concat_ws(",", *cells).alias("value"))
     numbered = with_row_number(data, list(td.LINE_KEY), "k")
     k = F.col("k")
