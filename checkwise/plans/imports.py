@@ -179,7 +179,7 @@ def import_history(records: DataFrame, stored_presence: DataFrame | None = None,
 
 def header_map(header_line: str) -> dict[str, int]:
     """Trimmed header name -> column index; a later duplicate name wins."""
-    cells = next(csv.reader([header_line.lstrip("﻿")]))
+    cells = next(csv.reader([header_line.lstrip("\ufeff")]))
     return {c.strip(" \t\n\r\0\x0b"): i for i, c in enumerate(cells)}
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,18 +42,23 @@ def clamp_limit(limit) -> int:
     return min(VIOLATIONS_MAX, max(1, _int_or(limit, VIOLATIONS_DEFAULT)))
 
 
+_LEADING_INT = re.compile(r"^[ \t\n\r\x0b\f]*([+-]?[0-9]+)")
+_TRIM = " \t\n\r\x00\x0b"
+
+
 def _int_or(v, default: int) -> int:
+    """Loose integer cast of a request parameter: '2abc' -> 2, 'x' -> 0,
+    2.9 -> 2; missing -> ``default``."""
     if v is None:
         return default
-    try:
+    if isinstance(v, (int, float)):
         return int(v)
-    except (TypeError, ValueError):
-        # a non-numeric parameter is 0, like a loose integer cast
-        return 0
+    m = _LEADING_INT.match(str(v))
+    return int(m.group(1)) if m else 0
 
 
 def _room_param(room) -> str | None:
-    r = (room or "").strip()
+    r = str(room or "").strip(_TRIM)
     return r or None
 
 
@@ -161,7 +167,7 @@ def kpi_summary(entries: DataFrame, staff: DataFrame, rooms: DataFrame, date_fro
 def kpi_monthly(entries: DataFrame, staff: DataFrame, rooms: DataFrame, year, month,
                 room=None, key_collation: str | None = None) -> DataFrame:
     """R4. Summary columns for one calendar month plus distinct batch count."""
-    y, m = int(year or 0), int(month or 0)
+    y, m = _int_or(year, 0), _int_or(month, 0)
     if not y:
         raise ValueError("Missing year")
     if not m:

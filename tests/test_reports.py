@@ -19,6 +19,7 @@ def test_clamps():
     assert reports.clamp_page(-1, 999) == (1, 200)
     assert reports.clamp_page(None, None) == (1, 50)
     assert reports.clamp_page("x", 0) == (1, 1)
+    assert reports.clamp_page("2abc", " 30 ") == (2, 30)
     assert reports.clamp_limit(500) == 100 and reports.clamp_limit(None) == 20
 
 
