@@ -55,4 +55,7 @@ def work_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="checkwise-work-")
         spark.sparkContext.setCheckpointDir(d)
         spark._checkwise_work_dir = d  # type: ignore[attr-defined]
+    elif spark.sparkContext.getCheckpointDir() is None:
+        # configured but not registered with this context: checkpoint() needs it
+        spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")

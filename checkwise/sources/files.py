@@ -25,7 +25,7 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_history_array(spark: SparkSession, path: str) -> DataFrame:
     """A file holding one JSON array of records -> one row per record (value =
     the record re-encoded as compact JSON)."""
-    arr = spark.read.option("wholetext", True).text(path)
+    arr = spark.read.text(path, wholetext=True)
     return arr.select(F.explode(F.from_json("value", "array<variant>")).alias("v")) \
               .select(F.to_json("v").alias("value"))
 

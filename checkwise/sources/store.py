@@ -63,7 +63,7 @@ def input_key(paths: list[str]) -> str:
 def materialize(spark: SparkSession, name: str, key: str, build,
                 partition_by: list[str] | None = None,
                 sort_within: list[str] | None = None,
-                schema=None) -> DataFrame:
+                schema=None, spread: bool = True) -> DataFrame:
     """Return the table ``name`` for ``key``, building it with ``build()`` once.
 
     ``build`` returns the DataFrame to write. Writes are range-partitioned on
@@ -76,7 +76,7 @@ def materialize(spark: SparkSession, name: str, key: str, build,
         order = (partition_by or []) + (sort_within or [])
         if order:
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-        else:
+        elif spread:
             # spread rows over at least one file per core so later scans of
             # a small derived input are not a single task
             df = df.repartition(max(spark.sparkContext.defaultParallelism, 1))

@@ -36,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _stored_dim(spark: SparkSession, sf_dir: str, name: str, inputs: list[str], build, schema):
     """Dimensions are stored tables: derived once per input folder, then read."""
     key = store.input_key([f"{sf_dir.rstrip('/')}/{n}.parquet" for n in inputs])
-    return store.materialize(spark, f"dim_{name}", key, build, schema=schema)
+    # written in the input's own partitioning: a small dimension stays one file
+    return store.materialize(spark, f"dim_{name}", key, build, schema=schema, spread=False)
 
 
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,22 @@ def test_csv_rows(spark):
 
 def test_header_map_last_duplicate_wins():
     assert imports.header_map(" Date ,Room,Date") == {"Date": 2, "Room": 1}
+    assert imports.header_map("\ufeffDate,Room") == {"Date": 0, "Room": 1}
+
+
+def test_history_readers(spark):
+    d = tempfile.mkdtemp(prefix="checkwise-hist-")
+    recs = [{"batch_id": "A", "date": "2026-04-20", "room": "Pink", "check": 1},
+            {"batch_id": "B", "date": "2026-04-21", "room": "Pink", "check": "1"}]
+    with open(os.path.join(d, "h.jsonl"), "w") as f:
+        f.write("\n".join(json.dumps(r) for r in recs) + "\n\n")
+    arr = os.path.join(d, "arr")
+    os.makedirs(arr)
+    with open(os.path.join(arr, "h.json"), "w") as f:
+        json.dump(recs, f, indent=2)
+    for lines in (files.read_json_lines(spark, os.path.join(d, "h.jsonl")), files.read_history_array(spark, arr)):
+        e = imports.import_history(lines).entries
+        assert sorted((x.batch_id, x.check_value) for x in e.collect()) == [("A", 1), ("B", 0)]
 
 
 def test_csv_file_numbering(spark):
