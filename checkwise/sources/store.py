@@ -18,6 +18,10 @@ from checkwise.session import work_dir
 
 _LAYOUT_VERSION = "v2"
 _CODE_HASH: str | None = None
+# Resolved read-back frames of finished tables, per session and path. A
+# finished table never changes (its key changes instead), so the file listing
+# is done once per session, as a catalog would cache it.
+_RESOLVED: dict[tuple[int, str], DataFrame] = {}
 
 
 def _code_hash() -> str:
@@ -71,6 +75,9 @@ def materialize(spark: SparkSession, name: str, key: str, build,
     (no one-task-per-month skew), sorted so parquet min/max stats skip row
     groups for date and room predicates."""
     path = f"{work_dir(spark)}/tables/{name}-{key}"
+    cached = _RESOLVED.get((id(spark), path))
+    if cached is not None and cached.sparkSession is spark:
+        return cached
     if not exists(spark, f"{path}/_SUCCESS"):
         df = build()
         order = (partition_by or []) + (sort_within or [])
@@ -87,7 +94,9 @@ def materialize(spark: SparkSession, name: str, key: str, build,
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.parquet(path)
+    df = reader.parquet(path)
+    _RESOLVED[(id(spark), path)] = df
+    return df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
