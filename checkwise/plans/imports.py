@@ -19,7 +19,7 @@ Counters are one conditional aggregation over the status column.
 from __future__ import annotations
 
 import csv
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,13 +53,63 @@ CSV_ALIASES = {
 }
 
 
-@dataclass
 class ImportResult:
-    entries: DataFrame   # ENTRY_COLUMNS
-    presence: DataFrame  # (batch_id, staff_id), new only
-    stats: DataFrame     # one row: imported, skipped, rejected
-    rejects: DataFrame   # rows kept aside, with a reason
-    audit: DataFrame     # one row for the run
+    """Outputs of one import run, derived on first use from the per-row status
+    frame (``materialize`` checkpoints that frame once for a write).
+
+    * ``entries``  ENTRY_COLUMNS rows to append
+    * ``presence`` new (batch_id, staff_id) rows
+    * ``stats``    one row: imported, skipped, rejected
+    * ``rejects``  rows kept aside, with a reason
+    * ``audit``    one row for the run
+    """
+
+    def __init__(self, rows: DataFrame, user: str, stored_presence: DataFrame | None, note: str):
+        self._rows, self._user, self._stored_presence, self._note = rows, user, stored_presence, note
+
+    def materialize(self) -> "ImportResult":
+        self._rows = self._rows.checkpoint(eager=True)
+        for name in ("entries", "presence", "stats", "rejects", "audit"):
+            self.__dict__.pop(name, None)
+        return self
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        imported = self._rows.where(F.col("status") == "imported")
+        w = F.col("weight_raw").cast(WEIGHT)
+        check = F.col("check_value")
+        return imported.select(
+            "batch_id", "entry_date", "room_code", "slot_code", "staff_id",
+            enum_value(F.col("scope"), SCOPES).alias("scope"),
+            F.lit(None).cast("long").alias("indicator_id"), "indicator_text", "category",
+            check.alias("check_value"), w.alias("weight"),
+            earned_points(check, w).alias("earned_points"), w.cast(POINTS).alias("possible_points"),
+            "comment", F.lit(self._user).alias("submitted_by")).select(*ENTRY_COLUMNS)
+
+    @cached_property
+    def presence(self) -> DataFrame:
+        imported = self._rows.where(F.col("status") == "imported")
+        presence = imported.select("batch_id", "staff_id").distinct()
+        if self._stored_presence is not None:
+            presence = insert_ignore(presence, self._stored_presence, ["batch_id", "staff_id"])
+        return presence
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self._rows.agg(
+            F.count(F.when(F.col("status") == "imported", 1)).alias("imported"),
+            F.count(F.when(F.col("status") == "skipped", 1)).alias("skipped"),
+            F.count(F.when(F.col("status") == "rejected", 1)).alias("rejected"))
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        return self._rows.where(F.col("status") == "rejected").select("source_ref", "batch_id", "reason")
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        return self.stats.select(F.lit("anonymous").alias("user"), F.lit(self._user).alias("action"),
+                                 F.lit("").alias("batch_id"), F.lit("").alias("ip"),
+                                 F.col("imported").alias("rows_saved"), F.lit(self._note).alias("note"))
 
 
 def _reject_reason(date_value: Column, room: Column, slot: Column, staff: Column, scope: Column,
@@ -77,28 +127,7 @@ def _reject_reason(date_value: Column, room: Column, slot: Column, staff: Column
 
 def _finish(rows: DataFrame, user: str, stored_presence: DataFrame | None, note: str) -> ImportResult:
     """rows: status, reason, and the entry fields (weight as double)."""
-    imported = rows.where(F.col("status") == "imported")
-    w = F.col("weight_raw").cast(WEIGHT)
-    check = F.col("check_value")
-    entries = imported.select(
-        "batch_id", "entry_date", "room_code", "slot_code", "staff_id",
-        enum_value(F.col("scope"), SCOPES).alias("scope"),
-        F.lit(None).cast("long").alias("indicator_id"), "indicator_text", "category",
-        check.alias("check_value"), w.alias("weight"),
-        earned_points(check, w).alias("earned_points"), w.cast(POINTS).alias("possible_points"),
-        "comment", F.lit(user).alias("submitted_by")).select(*ENTRY_COLUMNS)
-    presence = imported.select("batch_id", "staff_id").distinct()
-    if stored_presence is not None:
-        presence = insert_ignore(presence, stored_presence, ["batch_id", "staff_id"])
-    stats = rows.agg(
-        F.count(F.when(F.col("status") == "imported", 1)).alias("imported"),
-        F.count(F.when(F.col("status") == "skipped", 1)).alias("skipped"),
-        F.count(F.when(F.col("status") == "rejected", 1)).alias("rejected"))
-    rejects = rows.where(F.col("status") == "rejected").select("source_ref", "batch_id", "reason")
-    audit = stats.select(F.lit("anonymous").alias("user"), F.lit(user).alias("action"),
-                         F.lit("").alias("batch_id"), F.lit("").alias("ip"),
-                         F.col("imported").alias("rows_saved"), F.lit(note).alias("note"))
-    return ImportResult(entries, presence, stats, rejects, audit)
+    return ImportResult(rows, user, stored_presence, note)
 
 
 # --- I3 history JSON ---------------------------------------------------------
