@@ -5,7 +5,6 @@ import os
 import tempfile
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from checkwise.api import KpiStore
 from checkwise.schemas import INDICATORS, ROOMS, SLOTS, STAFF

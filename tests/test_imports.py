@@ -6,7 +6,6 @@ import os
 import tempfile
 from decimal import Decimal
 
-from pyspark.sql import functions as F
 
 from checkwise.plans import imports
 from checkwise.sources import files

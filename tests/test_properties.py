@@ -1,6 +1,5 @@
 """SURVEY §5 properties: idempotent ingest for non-NULL ids, doubling imports
 for NULL ids (T1), and partition-count independence of results."""
-import os
 import tempfile
 
 import pytest

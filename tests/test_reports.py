@@ -3,7 +3,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from checkwise.plans import reports
 from checkwise.schemas import KPI_ENTRIES, ROOMS, STAFF
