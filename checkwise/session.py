@@ -52,6 +52,10 @@ def work_dir(spark: SparkSession) -> str:
     if not d:
         d = getattr(spark, "_checkwise_work_dir", None)
     if not d:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a shared "
+                             "folder (derived tables and checkpoints are written there)")
         d = tempfile.mkdtemp(prefix="checkwise-work-")
         spark.sparkContext.setCheckpointDir(d)
         spark._checkwise_work_dir = d  # type: ignore[attr-defined]
