@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from checkwise.functions.scoring import earned_points
 from checkwise.operators.numbering import with_row_number
-from checkwise.schemas import (INDICATORS, KPI_ENTRIES, KPI_ENTRIES_STORED, POINTS, ROOMS, SLOTS,
+from checkwise.schemas import (INDICATORS, KPI_ENTRIES_STORED, POINTS, ROOMS, SLOTS,
                                STAFF, WEIGHT)
 from checkwise.sources import store
 
@@ -165,6 +165,3 @@ def kpi_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         partition_by=["entry_month"], sort_within=["room_code", "entry_date", "id"],
         schema=KPI_ENTRIES_STORED)
 
-
-def entry_columns() -> list[str]:
-    return [f.name for f in KPI_ENTRIES.fields]

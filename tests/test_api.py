@@ -7,6 +7,7 @@ from decimal import Decimal
 
 
 from checkwise.api import KpiStore
+from checkwise.plans import sinks
 from checkwise.schemas import INDICATORS, ROOMS, SLOTS, STAFF
 
 
@@ -53,3 +54,8 @@ def test_store_flow(spark):
     assert store.entries().count() == 4
     paths = store.backup(dt.date(2026, 4, 30))
     assert spark.read.parquet(paths["kpi_entries"]).count() == 4
+    out = os.path.join(base, "summary.json")
+    sinks.export_json(store.summary("2026-04-01", "2026-04-30"), out)
+    got = [json.loads(line) for name in sorted(os.listdir(out)) if name.endswith(".json")
+           for line in open(os.path.join(out, name))]
+    assert {g["staff_id"] for g in got} == {"a", "b"}

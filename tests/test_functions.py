@@ -4,8 +4,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from checkwise.functions.dates import (csv_date, history_date, parse_report_date, php_trim,
-                                       submission_date)
+from checkwise.functions.dates import (csv_date, default_window, history_date, parse_report_date,
+                                       php_trim, submission_date, us_date)
 from checkwise.functions.text import falsy_to_null, leading_int, leading_number, trimmed_or_null
 
 D = dt.date(2026, 4, 20)
@@ -54,3 +54,9 @@ def test_falsy_and_trim(spark):
                                               php_trim(F.col("s")).alias("c")).collect()]
     assert got == [("late", " late ", "late"), (None, None, "0"), (None, None, ""),
                    (None, None, None), (None, "\t0 ", "0")]
+
+
+def test_us_date_and_default_window(spark):
+    df = spark.createDataFrame([(D,)], "d date")
+    assert df.select(us_date(F.col("d"))).collect()[0][0] == "04-20-2026"
+    assert default_window(D) == (dt.date(2026, 4, 1), D)
