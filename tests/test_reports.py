@@ -80,3 +80,16 @@ def test_collation_merges_case_and_trailing_spaces(spark):
     assert rows[0].room_code == "pink" and rows[0].team_kpi == 100.0
     m = reports.kpi_monthly(e, st, rm, 2026, 4, key_collation="UNICODE_CI_AI_RTRIM").collect()
     assert len(m) == 1 and m[0].total_batches == 1
+
+
+def test_daily_order_enum_nulls_and_ties(spark):
+    """T3 Team before Individual, T4 unknown staff (NULL name) first, T22 id tiebreak."""
+    def row(i, slot, staff, scope):
+        return (i, "B", dt.date(2026, 4, 20), "Pink", slot, staff, scope, i, "t", "c", 1,
+                Decimal(1), Decimal(1), Decimal(1), None, None, dt.datetime(2026, 4, 20))
+    e = spark.createDataFrame([row(1, "PM", "a", "Team"), row(2, "AM", "a", "Individual"),
+                               row(3, "AM", "zz", "Team"), row(4, "AM", "a", "Team"),
+                               row(5, "AM", "a", "Team")], KPI_ENTRIES)
+    st = spark.createDataFrame([("a", "Ann", None, None, 0)], STAFF)   # inactive staff still shown
+    got = [(r.id, r.staff_name) for r in reports.daily_report(e, st, "04-20-2026", "Pink").collect()]
+    assert got == [(3, None), (4, "Ann"), (5, "Ann"), (2, "Ann"), (1, "Ann")]
