@@ -23,3 +23,10 @@ def parse_json_columns(df: DataFrame, text_col: str, schema: str, keep: list[str
 
 def parse_csv_columns(df: DataFrame, text_col: str, schema: str, keep: list[str | Column]) -> DataFrame:
     return expand_once(df, F.from_csv(F.col(text_col), schema, {"mode": "PERMISSIVE"}), keep)
+
+
+def freeze_columns(df: DataFrame) -> DataFrame:
+    """Evaluate every column of ``df`` once per row. Later projections that use
+    a computed column several times then read the value instead of having the
+    optimizer inline (and recompute) its expression at each use."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

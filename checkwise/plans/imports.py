@@ -28,7 +28,7 @@ from checkwise.functions.dates import csv_date, history_date, php_trim
 from checkwise.functions.scoring import earned_points
 from checkwise.functions.text import enum_value, falsy_to_null, leading_number, too_long
 from checkwise.operators.dedup import insert_ignore
-from checkwise.operators.parsing import parse_csv_columns, parse_json_columns
+from checkwise.operators.parsing import freeze_columns, parse_csv_columns, parse_json_columns
 from checkwise.schemas import (ENTRY_COLUMNS, HISTORY_STRING_KEYS, HISTORY_VARIANT_KEYS, LIMITS,
                                MAX_WEIGHT, POINTS, SCOPES, WEIGHT)
 
@@ -126,8 +126,9 @@ def _reject_reason(date_value: Column, room: Column, slot: Column, staff: Column
 
 
 def _finish(rows: DataFrame, user: str, stored_presence: DataFrame | None, note: str) -> ImportResult:
-    """rows: status, reason, and the entry fields (weight as double)."""
-    return ImportResult(rows, user, stored_presence, note)
+    """rows: status, reason, and the entry fields (weight as double), each
+    evaluated once per row before the outputs are derived from them."""
+    return ImportResult(freeze_columns(rows), user, stored_presence, note)
 
 
 # --- I3 history JSON ---------------------------------------------------------
