@@ -132,7 +132,12 @@ def stored_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored_entries(spark, sf_dir).select("batch_id", "staff_id").distinct()
+    """The stored presence table (kpi_batch_presence) of the stored entries,
+    built once per input."""
+    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    return store.materialize(
+        spark, "stored_presence", key,
+        lambda: stored_entries(spark, sf_dir).select("batch_id", "staff_id").distinct())
 
 
 def probe_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
