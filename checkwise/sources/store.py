@@ -52,6 +52,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def _publish(spark: SparkSession, staging: str, path: str) -> None:
+    fs, src = _hadoop_path(spark, staging)
+    _, dst = _hadoop_path(spark, path)
+    if not fs.exists(dst):
+        fs.rename(src, dst)
+
+
 def input_key(paths: list[str]) -> str:
     """Stable key of a set of input files (path, size, mtime)."""
     h = hashlib.sha1((_LAYOUT_VERSION + _code_hash()).encode())
@@ -87,10 +94,16 @@ def materialize(spark: SparkSession, name: str, key: str, build,
             # spread rows over at least one file per core so later scans of
             # a small derived input are not a single task
             df = df.repartition(max(spark.sparkContext.defaultParallelism, 1))
+        # write to a private staging folder, then publish it with one rename:
+        # readers never see a half-written table, and when two builders race
+        # the first rename wins and the other simply reads that table
+        import uuid
+        staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(path)
+        w.parquet(staging)
+        _publish(spark, staging, path)
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
