@@ -207,7 +207,7 @@ def daily_report(entries: DataFrame, staff: DataFrame, day, room) -> DataFrame:
     """R3. All entries of one room on one day, with staff names."""
     d = parse_report_date(day)
     r = _room_param(room)
-    if r is None:
+    if r is None or r == "0":  # the daily report's room test is a falsy test
         raise ValueError("Missing room")
     e = _day(entries, d).where(F.col("room_code") == r)
     j = e.join(staff.select("staff_id", "staff_name"), "staff_id", "left")

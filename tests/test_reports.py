@@ -48,6 +48,13 @@ def test_monthly_validates_month(spark, tables):
         reports.kpi_monthly(e, s, r, 0, 4)
 
 
+def test_daily_requires_room(spark, tables):
+    e, s, _ = tables
+    for bad in (None, "", "  ", "0"):
+        with pytest.raises(ValueError):
+            reports.daily_report(e, s, "1997-04-15", bad)
+
+
 def test_from_after_to_is_empty(spark, tables):
     e, s, r = tables
     assert reports.kpi_summary(e, s, r, "2000-01-02", "2000-01-01").count() == 0
