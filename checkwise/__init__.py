@@ -11,6 +11,8 @@ Everything is a DataFrame plan built from Spark's own operators:
 * ``plans``     — the user-level operations: reports, config, ingest, imports,
                   completeness, snapshot.
 * ``streaming`` — ``foreachBatch`` wiring of the batch ingest.
+* ``api``       — ``KpiStore``: the reference's operations over a folder of
+                  stored tables.
 """
 
 __version__ = "0.1.0"
