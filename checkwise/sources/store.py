@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,7 +98,6 @@ def materialize(spark: SparkSession, name: str, key: str, build,
         # write to a private staging folder, then publish it with one rename:
         # readers never see a half-written table, and when two builders race
         # the first rename wins and the other simply reads that table
-        import uuid
         staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
         w = df.write.mode("overwrite")
         if partition_by:
@@ -114,5 +114,4 @@ def materialize(spark: SparkSession, name: str, key: str, build,
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared work folder (for snapshots, staging)."""
-    import uuid
     return f"{work_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
