@@ -92,6 +92,10 @@ class KpiStore:
         return reports.kpi_summary(self.entries(), self.dimension("staff"), self.dimension("rooms"),
                                    date_from, date_to, room=room, page=page, per_page=per_page)
 
+    def has_next_page(self, date_from, date_to, room=None, page=1, per_page=50) -> bool:
+        return reports.has_next_page(self.entries(), self.dimension("staff"), self.dimension("rooms"),
+                                     date_from, date_to, room=room, page=page, per_page=per_page)
+
     def violations(self, date_from, date_to, room=None, limit=20) -> DataFrame:
         return reports.top_violations(self.entries(), date_from, date_to, room=room, limit=limit)
 

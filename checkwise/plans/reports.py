@@ -164,6 +164,15 @@ def kpi_summary(entries: DataFrame, staff: DataFrame, rooms: DataFrame, date_fro
     return out.offset((p - 1) * n).limit(n)
 
 
+def has_next_page(entries: DataFrame, staff: DataFrame, rooms: DataFrame, date_from, date_to,
+                  room=None, page=None, per_page=None) -> bool:
+    """L5: the dashboard offers a next page exactly when the current page is
+    full. Counts one clamped page (at most 200 rows)."""
+    p, n = clamp_page(page, per_page)
+    return kpi_summary(entries, staff, rooms, date_from, date_to, room=room,
+                       page=p, per_page=n).count() == n
+
+
 def kpi_monthly(entries: DataFrame, staff: DataFrame, rooms: DataFrame, year, month,
                 room=None, key_collation: str | None = None) -> DataFrame:
     """R4. Summary columns for one calendar month plus distinct batch count."""

@@ -33,6 +33,15 @@ def test_pages_concatenate_to_whole(spark, tables):
     assert all(0 <= x[4] <= 100 and 0 <= x[5] <= 100 and 0 <= x[6] <= 100 for x in whole)
 
 
+def test_has_next_page(spark, tables):
+    e, s, r = tables
+    n = reports.kpi_summary(e, s, r, "1995-01-01", "2001-12-31").count()
+    full_pages = n // 15
+    assert reports.has_next_page(e, s, r, "1995-01-01", "2001-12-31", page=full_pages, per_page=15)
+    assert not reports.has_next_page(e, s, r, "1995-01-01", "2001-12-31", page=full_pages + 1, per_page=15) \
+        or n % 15 == 0
+
+
 def test_monthly_equals_summary_of_month(spark, tables):
     e, s, r = tables
     m = [tuple(x) for x in reports.kpi_monthly(e, s, r, 1997, 4).drop("total_batches").collect()]
