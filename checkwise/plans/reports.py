@@ -194,14 +194,23 @@ def kpi_monthly(entries: DataFrame, staff: DataFrame, rooms: DataFrame, year, mo
     return k.orderBy(*_summary_order()).select(*cols)
 
 
-def top_violations(entries: DataFrame, date_from, date_to, room=None, limit=None) -> DataFrame:
-    """R2. Most frequently failed indicators (staff-level rows, grouped by text)."""
+def top_violations(entries: DataFrame, date_from, date_to, room=None, limit=None,
+                   key_collation: str | None = None) -> DataFrame:
+    """R2. Most frequently failed indicators (staff-level rows, grouped by text).
+    With ``key_collation`` the counts are first taken per exact spelling (hash
+    aggregate), then re-grouped under the collation."""
     d0, d1 = parse_report_date(date_from), parse_report_date(date_to)
     e = _date_window(entries, d0, d1).where(F.col("check_value") == 0)
     r = _room_param(room)
     if r is not None:
-        e = e.where(F.col("room_code") == r)
-    g = e.groupBy("indicator_text", "category", "scope").agg(F.count(F.lit(1)).alias("violation_count"))
+        room_col = F.collate(F.col("room_code"), key_collation) if key_collation else F.col("room_code")
+        e = e.where(room_col == r)
+    keys = ["indicator_text", "category", "scope"]
+    g = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("violation_count"))
+    if key_collation is not None:
+        g = (_collated(g, keys, key_collation).groupBy(*keys)
+             .agg(F.sum("violation_count").alias("violation_count")))
+        g = g.select(*[F.collate(F.col(k), "UTF8_BINARY").alias(k) for k in keys], "violation_count")
     return (g.orderBy(F.col("violation_count").desc(), F.col("indicator_text").asc_nulls_first(),
                       F.col("category").asc_nulls_first(), scope_order(F.col("scope")))
             .limit(clamp_limit(limit)))
@@ -212,13 +221,15 @@ DAILY_COLUMNS = ["id", "batch_id", "slot_code", "staff_id", "staff_name", "scope
                  "possible_points", "comment", "submitted_by", "created_at"]
 
 
-def daily_report(entries: DataFrame, staff: DataFrame, day, room) -> DataFrame:
+def daily_report(entries: DataFrame, staff: DataFrame, day, room,
+                 key_collation: str | None = None) -> DataFrame:
     """R3. All entries of one room on one day, with staff names."""
     d = parse_report_date(day)
     r = _room_param(room)
     if r is None or r == "0":  # the daily report's room test is a falsy test
         raise ValueError("Missing room")
-    e = _day(entries, d).where(F.col("room_code") == r)
+    room_col = F.collate(F.col("room_code"), key_collation) if key_collation else F.col("room_code")
+    e = _day(entries, d).where(room_col == r)
     j = e.join(staff.select("staff_id", "staff_name"), "staff_id", "left")
     return (j.orderBy(F.col("slot_code").asc_nulls_first(), scope_order(F.col("scope")),
                       F.col("staff_name").asc_nulls_first(), F.col("id"))

@@ -109,3 +109,21 @@ def test_daily_order_enum_nulls_and_ties(spark):
     st = spark.createDataFrame([("a", "Ann", None, None, 0)], STAFF)   # inactive staff still shown
     got = [(r.id, r.staff_name) for r in reports.daily_report(e, st, "04-20-2026", "Pink").collect()]
     assert got == [(3, None), (4, "Ann"), (5, "Ann"), (2, "Ann"), (1, "Ann")]
+
+
+def test_collation_in_violations_and_daily(spark):
+    def row(i, room, text):
+        return (i, "B", dt.date(2026, 4, 20), room, "AM", "s", "Team", i, text, "C", 0,
+                Decimal(1), Decimal(0), Decimal(1), None, None, dt.datetime(2026, 4, 20))
+    e = spark.createDataFrame([row(1, "Pink", "Door shut"), row(2, "pink ", "door shut"),
+                               row(3, "Blue", "Door Shut  ")], KPI_ENTRIES)
+    plain = reports.top_violations(e, "2026-04-01", "2026-04-30").collect()
+    assert len(plain) == 3
+    c = reports.top_violations(e, "2026-04-01", "2026-04-30", key_collation="UNICODE_CI_AI_RTRIM").collect()
+    assert len(c) == 1 and c[0].violation_count == 3
+    c2 = reports.top_violations(e, "2026-04-01", "2026-04-30", room="PINK",
+                                key_collation="UNICODE_CI_AI_RTRIM").collect()
+    assert c2[0].violation_count == 2
+    st = spark.createDataFrame([("s", "Sam", None, None, 1)], STAFF)
+    assert reports.daily_report(e, st, "2026-04-20", "PINK").count() == 0
+    assert reports.daily_report(e, st, "2026-04-20", "PINK", key_collation="UNICODE_CI_AI_RTRIM").count() == 2
