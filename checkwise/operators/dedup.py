@@ -4,7 +4,7 @@ The unique key (batch_id, staff_id, indicator_id) contains a nullable column,
 and NULLs never collide in a unique index: rows with a NULL key part are never
 duplicates of anything (imports write NULL ids, so re-running an import
 doubles its rows). ``dropDuplicates`` would merge NULL keys, so both operators
-here split the input and let NULL-key rows bypass the check.
+here let NULL-key rows bypass the check (without splitting the input).
 """
 
 from __future__ import annotations
