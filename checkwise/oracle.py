@@ -386,8 +386,12 @@ def more_sql() -> dict[str, str]:
 SELECT staff_id, staff_name, lower(room_code) AS room_code, is_admin, team_kpi, ind_kpi, total_kpi FROM s"""
     ind_cols = ("i.id, i.room_code, i.slot_code, i.scope, i.category, i.indicator_text, "
                 "CAST(i.weight AS DOUBLE) AS weight, i.sort_order")
+    monthly_collated = f"""WITH m AS ({monthly_sql(*P.month_bounds(P.YEAR, P.MONTH))})
+SELECT staff_id, staff_name, lower(room_code) AS room_code, is_admin, total_batches,
+  team_kpi, ind_kpi, total_kpi FROM m"""
     return {
         "kpi_summary_collated": collated,
+        "kpi_monthly_collated": monthly_collated,
         "checklist": _with() + f"""SELECT {ind_cols} FROM indicators i
 WHERE i.active = 1 AND i.scope = '{P.SCOPE}'
   AND (i.room_code = '{P.ROOM}' OR i.room_code = '*') AND (i.slot_code = '{P.SLOT}' OR i.slot_code = '*')

@@ -72,6 +72,11 @@ def _collated(spark, sf):
                                key_collation=P.COLLATION)
 
 
+def _monthly_collated(spark, sf):
+    return reports.kpi_monthly(raw.entries_with_mixed_keys(spark, sf), td.staff(spark, sf),
+                               td.rooms(spark, sf), P.YEAR, P.MONTH, key_collation=P.COLLATION)
+
+
 def _checklist_contexts(spark, sf):
     contexts = td.kpi_entries(spark, sf).select("room_code", "slot_code")
     return config.checklists(contexts, td.indicators(spark, sf))
@@ -121,6 +126,7 @@ def queries() -> dict[str, Query]:
         "import_csv_presence": lambda s, sf: _csv(s, sf).presence,
         "import_csv_rejects": lambda s, sf: _csv(s, sf).rejects,
         "kpi_summary_collated": _collated,
+        "kpi_monthly_collated": _monthly_collated,
         "checklist": lambda s, sf: config.checklist(td.indicators(s, sf), P.ROOM, P.SLOT, P.SCOPE),
         "checklist_contexts": _checklist_contexts,
         "staff_by_room": lambda s, sf: config.staff_by_room(td.staff(s, sf), P.ROOM),
