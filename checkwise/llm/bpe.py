@@ -212,6 +212,10 @@ class Replay:
                     at = at[place % 2 == 0]
             second = after[at]
             right = after[second]
+            beside = np.flatnonzero(right[:-1] == at[1:])
+            if len(beside):  # a merge whose right neighbour merges too: would it have gone first?
+                x = self.rank(np.full(len(beside), rank), token[right[beside]])
+                odd[word[at[beside[x < rank]]]] = True
             token[at] = rank
             token[second] = -2
             current[second] = self.NONE
