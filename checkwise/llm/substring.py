@@ -121,11 +121,12 @@ def cover(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, anchor:
     """
     texts = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.hash(text_col).alias("t"))
-    counted = (anchors(texts.select("id", "text"), size, anchor, False).groupBy("h")
+    # written first: a join side of its own is what adaptive execution can split when an anchor is hot
+    counted = stored(anchors(texts.select("id", "text"), size, anchor, False).groupBy("h")
                .agg(F.min("id").alias("owner"), F.max("id").alias("last"),
                     F.min("s").alias("low"), F.max("s").alias("high"))
                .filter("owner != last")
-               .select("h", "owner", F.col("low").eqNullSafe(F.col("high")).alias("equal")))
+               .select("h", "owner", F.col("low").eqNullSafe(F.col("high")).alias("equal")), "anchors")
     placed = anchors(texts.select("id", "text", "t"), size, anchor, True)
     hits = stored(placed.join(counted, "h").filter("not equal or id != owner")
                   .groupBy("id", "t").agg(F.collect_list(F.when(F.col("equal"), F.col("spot"))).alias("sure"),
