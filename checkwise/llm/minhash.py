@@ -6,10 +6,11 @@
    document; equal samples of a band put documents into one bucket. Texts with
    the same words share one representative first.
 3. In each bucket the smallest representative is the hub, and every other one
-   is checked against it by the exact weighted Jaccard similarity. Pairs that
-   a hub has not settled are checked with further hubs, round by round, until
-   every two members of a bucket are in one class or have been compared: no
-   link is lost, and no bucket is expanded into all its pairs at once.
+   is checked against it by the exact weighted Jaccard similarity. Then a few
+   members of a bucket's largest class and, after them, all members outside it
+   become hubs in growing rounds, until every two members of a bucket are in
+   one class or have been compared: no link is lost, and copies are never
+   expanded into their pairs.
 4. Classes are the connected components of the links.
 
 Defined cases: a text of fewer than five words is one shingle; a text without
@@ -24,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checkwise.llm import graph
 from checkwise.llm.common import ship, stored
-from checkwise.llm.words import Words, each_slice, grams, mix
+from checkwise.llm.words import Words, each_slice, grams, mix, slices, text_buffer
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -37,6 +39,13 @@ ROWS = 4
 #: Counters for document frequencies. Shingles share a counter by hash, which only
 #: shifts the weights of rare shingles alike; frequent ones stand out.
 COUNTERS = 1 << 18
+#: How much more a shingle of one document weighs than one that all documents hold.
+IDF_GAIN = 0.2
+#: Times the mean counter from which a shingle is frequent; rare shingles that a mostly frequent text may list.
+FREQUENT = 4
+LISTED = 64
+#: Further hubs of a bucket in the first round after the smallest member's; each round takes as many times more.
+HUBS = 8
 _TABLE = 1 << 16
 
 
@@ -90,8 +99,17 @@ def document_frequency(docs: DataFrame, text_col: str, n: int = WORDS) -> tuple[
 
 
 def idf(df: np.ndarray, total: int) -> np.ndarray:
-    """Smoothed inverse document frequency per counter, never zero."""
-    return (1.0 + np.log((1.0 + total) / (1.0 + df))).astype(np.float32)
+    """Inverse document frequency per counter, damped to 1 .. 1 + IDF_GAIN.
+
+    Undamped, the few words in which a copy differs (rare shingles) would outweigh
+    the text that a large group shares (frequent shingles), and break the group up.
+    """
+    return (1.0 + IDF_GAIN * np.log((1.0 + total) / (1.0 + df)) / np.log(2.0 + total)).astype(np.float32)
+
+
+def frequent(df: np.ndarray) -> np.ndarray:
+    """Counters well above the level that hashing alone gives them."""
+    return df >= FREQUENT * max(1.0, float(df.mean()))
 
 
 class Sampler:
@@ -143,44 +161,78 @@ def bands_of(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+WEIGHTS = "struct<total:double,common:double,top:double,rare:array<bigint>>"
+
+
+def _weights(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, common: np.ndarray, some: np.ndarray,
+             texts: int) -> pa.Array:
+    total = np.bincount(owner, weight, texts)
+    often = np.bincount(owner[common], weight[common], texts)
+    rare = np.bincount(owner[~common], minlength=texts)
+    listed = (rare <= LISTED) & (often >= total / 2)
+    at = np.searchsorted(owner, np.arange(texts + 1))
+    lists = [h[at[i]:at[i + 1]][~common[at[i]:at[i + 1]]].view(np.int64) if listed[i] else None for i in some.tolist()]
+    top = np.zeros(texts)
+    np.maximum.at(top, owner[~common], weight[~common])
+    return pa.StructArray.from_arrays([*(pa.array(x[some].astype(np.float64)) for x in (total, often, top)),
+                                       pa.array(lists, pa.list_(pa.int64()))], ["total", "common", "top", "rare"])
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, weights, n: int = WORDS, bands: int = BANDS,
                rows: int = ROWS) -> DataFrame:
-    """(id, k1, k2, bands): 128-bit hash of the word sequence and the band hashes; texts without words are left out."""
+    """(id, k1, k2, w, bands): 128-bit hash of the word sequence, weights, band hashes.
+
+    w: sum of all weights, sum over frequent shingles, largest weight of a rare
+    shingle, and the rare shingles of a text of mostly frequent ones (else null).
+    Texts without words are left out.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, idf_of = Sampler(bands * rows), weights.value
+        sampler, (idf_of, often) = Sampler(bands * rows), weights.value
         for batch in batches:
             for lo, hi, w in each_slice(batch.column(1)):
                 owner, h, tf = shingles(w, n)
                 if not len(owner):
                     continue
                 s = np.zeros((hi - lo, bands), np.uint64)
-                weight = tf * idf_of[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                slot = (h % np.uint64(COUNTERS)).astype(np.int64)
+                weight, common = tf * idf_of[slot], often[slot]
                 some = np.flatnonzero(np.diff(w.at))
                 s = bands_of(sampler.draw(owner, h, weight, hi - lo), rows)[some]
                 place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.at[:-1], np.diff(w.at)).astype(np.uint64)
                 k = [np.add.reduceat(mix(w.hash + mix(place, salt), salt), w.at[:-1][some]) for salt in (11, 12)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), *(pa.array(x.view(np.int64)) for x in k),
+                     _weights(owner, h, weight, common, some, hi - lo),
                      pa.FixedSizeListArray.from_arrays(pa.array(s.reshape(-1).view(np.int64)), bands)
-                     .cast(pa.list_(pa.int64()))], ["id", "k1", "k2", "bands"])
+                     .cast(pa.list_(pa.int64()))], ["id", "k1", "k2", "w", "bands"])
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(sign, "id long, k1 long, k2 long, bands array<long>"))
-
+            .mapInArrow(sign, f"id long, k1 long, k2 long, w {WEIGHTS}, bands array<long>"))
+
+
+def similarities(texts: list[str], pairs: np.ndarray, idf_of: np.ndarray, n: int = WORDS) -> np.ndarray:
+    """Weighted Jaccard similarity of the TF-IDF shingles of each pair (two columns of text indices)."""
+    hashes, weights = [], []
+    for lo, hi, w in each_slice(pa.array(texts, pa.string())):
+        owner, h, tf = shingles(w, n)
+        weight = tf * idf_of[(h % np.uint64(COUNTERS)).astype(np.int64)].astype(np.float64)
+        at = np.searchsorted(owner, np.arange(hi - lo + 1))
+        hashes += [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        weights += [weight[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    total = np.array([x.sum() for x in weights])
+    out = np.zeros(len(pairs))
+    for i, (a, b) in enumerate(pairs.tolist()):
+        if len(hashes[a]) and len(hashes[b]):
+            at = np.minimum(np.searchsorted(hashes[b], hashes[a]), len(hashes[b]) - 1)
+            same = hashes[b][at] == hashes[a]
+            common = np.minimum(weights[a][same], weights[b][at[same]]).sum()
+            out[i] = common / (total[a] + total[b] - common)
+    return out
 
-def _similarity(a: str, b: str, idf_of: np.ndarray, n: int) -> float:
-    """Weighted Jaccard similarity of the TF-IDF shingles of two texts."""
-    def weigh(text):
-        (_, _, w), = each_slice(pa.array([text], pa.string()))
-        _, h, tf = shingles(w, n)
-        return h, tf * idf_of[(h % np.uint64(COUNTERS)).astype(np.int64)]
 
-    (ha, wa), (hb, wb) = weigh(a), weigh(b)
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    common = float(np.minimum(wa[ia], wb[ib]).sum())
-    whole = float(wa.sum() + wb.sum()) - common
-    return common / whole if whole > 0 else 0.0
+#: Text that is compared in one go.
+_VERIFY_BYTES = 4 << 20
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float, n: int = WORDS) -> DataFrame:
@@ -190,17 +242,38 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float, n: int
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            keep = [_similarity(x.as_py() or "", y.as_py() or "", weights.value, n) >= threshold
-                    for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], ["a", "b"])
+            size = sum(text_buffer(batch.column(i))[0] for i in (2, 3))
+            for lo, hi in slices(size, _VERIFY_BYTES):
+                part = batch.slice(lo, hi - lo)
+                number: dict[int, int] = {}
+                texts = []
+                for ids, column in ((part.column(0), part.column(2)), (part.column(1), part.column(3))):
+                    for i, x in enumerate(ids.to_pylist()):
+                        if x not in number:
+                            number[x] = len(texts)
+                            texts.append(column[i].as_py() or "")
+                at = np.array([[number[x] for x in part.column(k).to_pylist()] for k in (0, 1)], np.int64).T
+                mask = pa.array(similarities(texts, at, weights.value[0], n) >= threshold)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
-    # the hub's text joins last, so that a hub of many pairs is a skewed join side that Spark can split
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
             .mapInArrow(check, "a long, b long"))
 
 
+def _alike(a, b, threshold: float):
+    """Whether two texts can reach the similarity at all, by exact bounds.
+
+    It is at most the quotient of their sums of weights. And what they have in
+    common is at most the lesser sum over frequent shingles, and the weight of the
+    rare shingles that both list.
+    """
+    shared = F.size(F.array_intersect(a["rare"], b["rare"])) * F.least(a["top"], b["top"])
+    most = F.least(a["common"], b["common"]) + shared
+    bound = most >= (a["total"] + b["total"] - most) * (threshold - 1e-6)
+    return ((F.least(a["total"], b["total"]) >= F.greatest(a["total"], b["total"]) * (threshold - 1e-6))
+            & (bound | a["rare"].isNull() | b["rare"].isNull()))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
                  threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, rep, class_id): for each id its copies' representative and its near-duplicate class.
@@ -210,46 +283,54 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     df, total = document_frequency(docs, text_col, n)
-    weights = spark.sparkContext.broadcast(idf(df, total))
+    weights = spark.sparkContext.broadcast((idf(df, total), frequent(df)))
     signed = stored(signatures(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, weights, n, bands, rows),
                     "signatures")
-    one = signed.groupBy("id").agg(F.min(F.struct("k1", "k2", "bands")).alias("s")).select("id", "s.*")
-    reps = one.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    one = signed.groupBy("id").agg(F.min(F.struct("k1", "k2", "w", "bands")).alias("s")).select("id", "s.*")
+    reps = one.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("w").alias("w"),
+                                       F.first("bands").alias("bands"))
     member = stored(one.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep"), "members")
-    in_bucket = stored(reps.select("rep", F.posexplode("bands").alias("band", "h")), "buckets")
+    in_bucket = stored(reps.select("rep", "w", F.posexplode("bands").alias("band", "h")), "buckets")
     # buckets of one member settle nothing
-    sizes = in_bucket.groupBy("band", "h").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub != top")
-    open_ = stored(in_bucket.join(sizes, ["band", "h"]).select("band", "h", "rep", "hub"), "open")
-    pairs = open_.filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    least = (in_bucket.groupBy("band", "h")
+             .agg(F.min(F.struct("rep", "w")).alias("x"), F.max("rep").alias("top")).filter("x.rep != top")
+             .select("band", "h", F.col("x.rep").alias("hub"), F.col("x.w").alias("hub_w")))
+    open_ = stored(in_bucket.join(least, ["band", "h"]), "open")
+    pairs = (open_.filter("rep != hub").filter(_alike(F.col("w"), F.col("hub_w"), threshold))
+             .select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = open_.select(F.col("rep").alias("id")).distinct()
     texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
                    .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
     links = stored(verify(pairs, texts, weights, threshold, n), "verified")
-    tried = stored(open_.select("band", "h", F.col("hub").alias("tried")).distinct(), "tried")
-    open_ = open_.select("band", "h", "rep")
+    tried = stored(open_.select("band", "h", F.col("hub").alias("rep")).distinct(), "tried")
+    open_ = open_.select("band", "h", "rep", "w")
+    turns, hubs_at_once, known = 0, HUBS, links.count()
+    label = graph.components(links)
     while True:
-        label = graph.components(links)
-        named = open_.join(label, open_.rep == label.node, "left").select(
-            "band", "h", "rep", F.coalesce("component", "rep").alias("c"))
-        # a bucket is settled when it holds one class, or all but one of its members have been hubs
-        split = (named.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-                 .filter("low != high").select("band", "h"))
-        named = named.join(split, ["band", "h"])
-        fresh = named.join(tried, (named.band == tried.band) & (named.h == tried.h) & (named.rep == tried.tried),
-                           "left_anti")
-        # the next hub comes from the class with the fewest members that are not yet hubs
-        per_class = fresh.groupBy("band", "h", "c").agg(F.count("*").alias("n"), F.min("rep").alias("hub"))
-        hubs = (per_class.groupBy("band", "h")
-                .agg(F.min(F.struct("n", "hub", F.col("c").alias("hub_c"))).alias("x"), F.count("*").alias("classes"))
-                .filter("classes > 1").select("band", "h", "x.hub", "x.hub_c"))
-        hubs = stored(hubs, "hubs")
+        fresh = (open_.join(tried, ["band", "h", "rep"], "left_anti")
+                 .join(label, F.col("rep") == label.node, "left")
+                 .select("band", "h", "rep", "w", F.coalesce("component", "rep").alias("c")))
+        # in the first rounds a few members of the largest class meet the others, most of which find their class;
+        # then all members outside it become hubs, some at a time, so that in the end every two have met
+        largest = (fresh.groupBy("band", "h", "c").agg(F.count("*").alias("n")).groupBy("band", "h")
+                   .agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("classes"))
+                   .filter("classes > 1").select("band", "h", F.col("x.c").alias("largest")))
+        fresh = stored(fresh.join(largest, ["band", "h"]), "fresh")
+        turn = W.partitionBy("band", "h").orderBy("rep")
+        hubs = stored(fresh.filter("c = largest" if turns < 2 else "c != largest").withColumn("turn", F.row_number().over(turn))
+                      .filter(F.col("turn") <= hubs_at_once)
+                      .select("band", "h", F.col("rep").alias("hub"), F.col("w").alias("hub_w"),
+                              F.col("c").alias("hub_c")), "hubs")
         if hubs.isEmpty():
             break
-        more = (fresh.join(hubs, ["band", "h"]).filter("c != hub_c")
+        more = (fresh.join(hubs, ["band", "h"]).filter("c != hub_c").filter(_alike(F.col("w"), F.col("hub_w"), threshold))
                 .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
         links = stored(links.unionByName(verify(more, texts, weights, threshold, n)).distinct(), "verified")
-        tried = stored(tried.unionByName(hubs.select("band", "h", F.col("hub").alias("tried"))), "tried")
-    label = graph.components(links)
+        tried = stored(tried.unionByName(hubs.select("band", "h", F.col("hub").alias("rep"))), "tried")
+        turns, hubs_at_once = turns + 1, hubs_at_once * (HUBS if turns != 1 else 1)
+        before, known = known, links.count()
+        if known != before:
+            label = graph.components(links)
     return (member.join(label, member.rep == label.node, "left")
             .select("id", "rep", F.coalesce("component", "rep").alias("class_id")))
 

@@ -122,7 +122,7 @@ def near_classes(docs, threshold=0.8, n=5):
     docs = [(i, shingles(t, n)) for i, t in docs if i is not None]
     df = Counter(s for _, sh in docs for s in sh)
     total = sum(1 for _, sh in docs if sh)
-    w = {s: 1 + math.log((1 + total) / (1 + c)) for s, c in df.items()}
+    w = {s: 1 + 0.2 * math.log((1 + total) / (1 + c)) / math.log(2 + total) for s, c in df.items()}
     vec = [(i, {s: c * w[s] for s, c in sh.items()}) for i, sh in docs]
     parent = {i: i for i, _ in vec}
 
