@@ -45,7 +45,7 @@ IDF_GAIN = 0.2
 FREQUENT = 4
 LISTED = 64
 #: Further hubs of a bucket in the first round after the smallest member's; each round takes as many times more.
-HUBS = 8
+HUBS = 32
 _TABLE = 1 << 16
 
 
