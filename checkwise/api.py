@@ -114,8 +114,10 @@ class KpiStore:
         """I1 for a set of submissions (seq, payload, submitted_by, ip); commits
         entries, presence, audit and rejects under one load id."""
         load_id = load_id or f"ingest-{uuid.uuid4().hex[:12]}"
-        result = ingest.ingest_submissions(submissions, self.dimension("indicators"), self.entries(),
-                                           self.presence(), batch_index=self._index_if_partitioned())
+        index = self._index_if_partitioned()
+        result = ingest.ingest_submissions(
+            submissions, self.dimension("indicators"), sinks.without_load(self.entries(), load_id),
+            sinks.without_load(self.presence(), load_id), batch_index=sinks.without_load(index, load_id))
         sinks.write_result(result, self.paths, load_id)
         return result
 
@@ -126,15 +128,19 @@ class KpiStore:
 
     def import_history(self, path: str, load_id: str | None = None) -> imports.ImportResult:
         """I3 from JSON Lines files."""
-        result = imports.import_history(files.read_json_lines(self.spark, path), self.presence())
-        sinks.write_result(result, self.paths, load_id or f"history-{uuid.uuid4().hex[:12]}")
+        load_id = load_id or f"history-{uuid.uuid4().hex[:12]}"
+        result = imports.import_history(files.read_json_lines(self.spark, path),
+                                        sinks.without_load(self.presence(), load_id))
+        sinks.write_result(result, self.paths, load_id)
         return result
 
     def import_csv(self, path: str, load_id: str | None = None) -> imports.ImportResult:
         """I4 from headered CSV files (record numbers per file)."""
+        load_id = load_id or f"csv-{uuid.uuid4().hex[:12]}"
         lines = files.read_csv_text(self.spark, path)
-        result = imports.import_csv(files.csv_data_lines(lines), files.csv_header(lines), self.presence())
-        sinks.write_result(result, self.paths, load_id or f"csv-{uuid.uuid4().hex[:12]}")
+        result = imports.import_csv(files.csv_data_lines(lines), files.csv_header(lines),
+                                    sinks.without_load(self.presence(), load_id))
+        sinks.write_result(result, self.paths, load_id)
         return result
 
     def backup(self, day: dt.date | None = None) -> dict[str, str]:

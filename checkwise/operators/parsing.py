@@ -22,7 +22,7 @@ def parse_json_columns(df: DataFrame, text_col: str, schema: str, keep: list[str
 
 
 def parse_csv_columns(df: DataFrame, text_col: str, schema: str, keep: list[str | Column]) -> DataFrame:
-    return expand_once(df, F.from_csv(F.col(text_col), schema, {"mode": "PERMISSIVE"}), keep)
+    return expand_once(df, F.from_csv(F.col(text_col), schema, {"mode": "PERMISSIVE", "escape": '"'}), keep)
 
 
 def freeze_columns(df: DataFrame) -> DataFrame:

@@ -325,7 +325,7 @@ hist AS (
   FROM hj),
 cy AS (
   SELECT *, 1 + k + (k - 1) // 100 AS line_no, CAST(o_orderdate AS DATE) + 10000 AS d2
-  FROM (SELECT *, row_number() OVER (ORDER BY o, ln, pk, sk) AS k FROM lx WHERE ln <= 2) cx),
+  FROM (SELECT *, row_number() OVER (ORDER BY o, ln, pk, sk) AS k FROM lx) cx),
 csvr AS (
   SELECT 'XLS-' || md5(strftime(d2, '%Y-%m-%d') || r_name || o_orderpriority) AS batch_id,
          d2 AS entry_date, r_name AS room_code, o_orderpriority AS slot_code,
@@ -424,10 +424,10 @@ FROM ex LEFT JOIN ans ON ans.batch_id = ex.batch_id AND ans.room_code = ex.room_
                      AND ans.slot_code = ex.slot_code""",
         "load_dimension": _with("""incoming AS (
   SELECT 'st_' || CAST(s_suppkey AS VARCHAR) AS staff_id, 'NEW ' || s_name AS staff_name, s_suppkey * 2 AS seq
-  FROM supplier WHERE s_suppkey % 2 = 0
+  FROM supplier
   UNION ALL
   SELECT 'st_' || CAST(s_suppkey AS VARCHAR), 'DUP ' || s_name, s_suppkey * 2 + 1
-  FROM supplier WHERE s_suppkey % 2 = 0),
+  FROM supplier),
 firsts AS (
   SELECT staff_id, staff_name FROM (
     SELECT *, row_number() OVER (PARTITION BY staff_id ORDER BY seq) AS rn FROM incoming) x

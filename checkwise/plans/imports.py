@@ -76,7 +76,7 @@ class ImportResult:
     @cached_property
     def entries(self) -> DataFrame:
         imported = self._rows.where(F.col("status") == "imported")
-        w = F.col("weight_raw").cast(WEIGHT)
+        w = F.col("weight_raw").try_cast(WEIGHT)
         check = F.col("check_value")
         return imported.select(
             "batch_id", "entry_date", "room_code", "slot_code", "staff_id",
@@ -116,7 +116,8 @@ def _reject_reason(date_value: Column, room: Column, slot: Column, staff: Column
                    text: Column, category: Column, weight: Column, batch: Column) -> Column:
     return (F.when(date_value.isNull(), "Invalid date")
             .when(enum_value(scope, SCOPES).isNull(), F.concat(F.lit("Invalid scope: "), scope))
-            .when(F.abs(weight) > MAX_WEIGHT + 0.005, "Weight out of range")
+            .when(weight.isNotNull() & (weight.try_cast(WEIGHT).isNull() | (F.abs(weight) > MAX_WEIGHT + 0.005)),
+                  "Weight out of range")
             .when(too_long(batch, LIMITS["id"]), "Too long: batch_id")
             .when(too_long(room, LIMITS["code"]), "Too long: room_code")
             .when(too_long(slot, LIMITS["code"]), "Too long: slot_code")

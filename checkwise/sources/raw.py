@@ -25,7 +25,6 @@ from checkwise.sources import testdata as td
 # Fixed values of the derivation (FIXTURES §4).
 STORED_EVERY = 10          # orders with o_orderkey % 10 = 0 are already stored
 BAD_DATE_EVERY = 97        # orders with o_orderkey % 97 = 0 carry date 'bad'
-CSV_MAX_LINENUMBER = 2     # CSV holds line items with l_linenumber <= 2
 CSV_BLANK_EVERY = 100      # a ',,,,,,,,' line follows every 100th data row
 CSV_DATE_SHIFT_DAYS = 10000
 CSV_HEADER = "Date,Room,Slot,Staff ID,Type,KPI Indicator,Category,Result,Weight"
@@ -214,7 +213,7 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _lines_with_context(spark, sf_dir).where(F.col("l_linenumber") <= CSV_MAX_LINENUMBER)
+    x = _lines_with_context(spark, sf_dir)
     o, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     d = F.date_add(F.col("o_orderdate").cast("date"), CSV_DATE_SHIFT_DAYS)
     serial = F.datediff(d, F.lit("1899-12-30").cast("date"))
@@ -245,9 +244,9 @@ def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staff_load_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A staff load: every even supplier, each sent twice (the first wins),
+    """A staff load: every supplier, each sent twice (the first wins),
     some of them already stored (the stored row wins). Column ``seq`` orders."""
-    s = td.table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 2 == 0)
+    s = td.table(spark, sf_dir, "supplier")
     sid = F.concat(F.lit("st_"), F.col("s_suppkey").cast("string"))
 
     def version(prefix: str, dup: int) -> DataFrame:
