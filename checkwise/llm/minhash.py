@@ -41,9 +41,8 @@ ROWS = 4
 COUNTERS = 1 << 18
 #: How much more a shingle of one document weighs than one that all documents hold.
 IDF_GAIN = 0.2
-#: Times the mean counter from which a shingle is frequent; rare shingles that a mostly frequent text may list.
-FREQUENT = 4
-LISTED = 64
+#: Longs of the bit set that stands for a text's shingles when it is bounded which texts can be alike.
+LONGS = 16
 #: Further hubs of a bucket in the first round after the smallest member's; each round takes as many times more.
 HUBS = 32
 _TABLE = 1 << 16
@@ -107,11 +106,6 @@ def idf(df: np.ndarray, total: int) -> np.ndarray:
     return (1.0 + IDF_GAIN * np.log((1.0 + total) / (1.0 + df)) / np.log(2.0 + total)).astype(np.float32)
 
 
-def frequent(df: np.ndarray) -> np.ndarray:
-    """Counters well above the level that hashing alone gives them."""
-    return df >= FREQUENT * max(1.0, float(df.mean()))
-
-
 class Sampler:
     """Improved consistent weighted sampling with tabulated random variables.
 
@@ -161,34 +155,29 @@ def bands_of(samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-WEIGHTS = "struct<total:double,common:double,top:double,rare:array<bigint>>"
+_BITS = [f"b{i}" for i in range(LONGS)]
+SKETCH = f"struct<total:double,{','.join(f'{b}:bigint' for b in _BITS)}>"
 
 
-def _weights(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, common: np.ndarray, some: np.ndarray,
-             texts: int) -> pa.Array:
-    total = np.bincount(owner, weight, texts)
-    often = np.bincount(owner[common], weight[common], texts)
-    rare = np.bincount(owner[~common], minlength=texts)
-    listed = (rare <= LISTED) & (often >= total / 2)
-    at = np.searchsorted(owner, np.arange(texts + 1))
-    lists = [h[at[i]:at[i + 1]][~common[at[i]:at[i + 1]]].view(np.int64) if listed[i] else None for i in some.tolist()]
-    top = np.zeros(texts)
-    np.maximum.at(top, owner[~common], weight[~common])
-    return pa.StructArray.from_arrays([*(pa.array(x[some].astype(np.float64)) for x in (total, often, top)),
-                                       pa.array(lists, pa.list_(pa.int64()))], ["total", "common", "top", "rare"])
+def _sketch(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, some: np.ndarray, texts: int) -> pa.Array:
+    """Sum of weights of each text, and a set of 64 * LONGS bits with the bit of each of its shingles."""
+    total = np.bincount(owner, weight, texts)[some]
+    bits = np.zeros((texts, LONGS), np.uint64)
+    place = mix(h, 5)
+    np.bitwise_or.at(bits, (owner, (place % np.uint64(LONGS)).astype(np.int64)), np.uint64(1) << (place >> np.uint64(58)))
+    words = np.ascontiguousarray(bits[some].T).view(np.int64)
+    return pa.StructArray.from_arrays([pa.array(total), *(pa.array(x) for x in words)], ["total", *_BITS])
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, weights, n: int = WORDS, bands: int = BANDS,
                rows: int = ROWS) -> DataFrame:
-    """(id, k1, k2, w, bands): 128-bit hash of the word sequence, weights, band hashes.
+    """(id, k1, k2, w, bands): 128-bit hash of the word sequence, sketch, band hashes.
 
-    w: sum of all weights, sum over frequent shingles, largest weight of a rare
-    shingle, and the rare shingles of a text of mostly frequent ones (else null).
     Texts without words are left out.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, (idf_of, often) = Sampler(bands * rows), weights.value
+        sampler, idf_of = Sampler(bands * rows), weights.value
         for batch in batches:
             for lo, hi, w in each_slice(batch.column(1)):
                 owner, h, tf = shingles(w, n)
@@ -196,19 +185,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights, n: int = WO
                     continue
                 s = np.zeros((hi - lo, bands), np.uint64)
                 slot = (h % np.uint64(COUNTERS)).astype(np.int64)
-                weight, common = tf * idf_of[slot], often[slot]
+                weight = tf * idf_of[slot]
                 some = np.flatnonzero(np.diff(w.at))
                 s = bands_of(sampler.draw(owner, h, weight, hi - lo), rows)[some]
                 place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.at[:-1], np.diff(w.at)).astype(np.uint64)
                 k = [np.add.reduceat(mix(w.hash + mix(place, salt), salt), w.at[:-1][some]) for salt in (11, 12)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), *(pa.array(x.view(np.int64)) for x in k),
-                     _weights(owner, h, weight, common, some, hi - lo),
+                     _sketch(owner, h, weight, some, hi - lo),
                      pa.FixedSizeListArray.from_arrays(pa.array(s.reshape(-1).view(np.int64)), bands)
                      .cast(pa.list_(pa.int64()))], ["id", "k1", "k2", "w", "bands"])
 
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(sign, f"id long, k1 long, k2 long, w {WEIGHTS}, bands array<long>"))
+            .mapInArrow(sign, f"id long, k1 long, k2 long, w {SKETCH}, bands array<long>"))
 
 
 def similarities(texts: list[str], pairs: np.ndarray, idf_of: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -253,25 +242,28 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, threshold: float, n: int
                             number[x] = len(texts)
                             texts.append(column[i].as_py() or "")
                 at = np.array([[number[x] for x in part.column(k).to_pylist()] for k in (0, 1)], np.int64).T
-                mask = pa.array(similarities(texts, at, weights.value[0], n) >= threshold)
+                mask = pa.array(similarities(texts, at, weights.value, n) >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
     return (pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
             .mapInArrow(check, "a long, b long"))
 
 
-def _alike(a, b, threshold: float):
-    """Whether two texts can reach the similarity at all, by exact bounds.
+def _alike(a, b, threshold: float, least: float):
+    """Whether two texts can reach the similarity at all, by an exact bound.
 
-    It is at most the quotient of their sums of weights. And what they have in
-    common is at most the lesser sum over frequent shingles, and the weight of the
-    rare shingles that both list.
+    A bit that one text has and the other lacks stands for a shingle, of the weight
+    ``least`` or more, that they don't share. So what they share is at most each
+    one's sum of weights without its own such bits; alike texts share at least
+    threshold / (1 + threshold) of both sums together.
     """
-    shared = F.size(F.array_intersect(a["rare"], b["rare"])) * F.least(a["top"], b["top"])
-    most = F.least(a["common"], b["common"]) + shared
-    bound = most >= (a["total"] + b["total"] - most) * (threshold - 1e-6)
-    return ((F.least(a["total"], b["total"]) >= F.greatest(a["total"], b["total"]) * (threshold - 1e-6))
-            & (bound | a["rare"].isNull() | b["rare"].isNull()))
+    needed = (a["total"] + b["total"]) * (threshold / (1 + threshold) - 1e-6)
+
+    def enough(x, y):
+        alone = sum((F.bit_count(x[k].bitwiseAND(F.bitwise_not(y[k]))) for k in _BITS), F.lit(0))
+        return x["total"] - alone * F.lit(least) >= needed
+
+    return (F.least(a["total"], b["total"]) >= needed) & enough(a, b) & enough(b, a)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS,
@@ -283,20 +275,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     df, total = document_frequency(docs, text_col, n)
-    weights = spark.sparkContext.broadcast((idf(df, total), frequent(df)))
+    idf_of = idf(df, total)
+    weights, least = spark.sparkContext.broadcast(idf_of), float(idf_of.min())
     signed = stored(signatures(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, weights, n, bands, rows),
                     "signatures")
     one = signed.groupBy("id").agg(F.min(F.struct("k1", "k2", "w", "bands")).alias("s")).select("id", "s.*")
     reps = one.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("w").alias("w"),
                                        F.first("bands").alias("bands"))
     member = stored(one.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep"), "members")
-    in_bucket = stored(reps.select("rep", "w", F.posexplode("bands").alias("band", "h")), "buckets")
+    sketch = stored(reps.select("rep", "w", "bands"), "sketches")
+    in_bucket = sketch.select("rep", F.posexplode("bands").alias("band", "h"))
     # buckets of one member settle nothing
-    least = (in_bucket.groupBy("band", "h")
-             .agg(F.min(F.struct("rep", "w")).alias("x"), F.max("rep").alias("top")).filter("x.rep != top")
-             .select("band", "h", F.col("x.rep").alias("hub"), F.col("x.w").alias("hub_w")))
-    open_ = stored(in_bucket.join(least, ["band", "h"]), "open")
-    pairs = (open_.filter("rep != hub").filter(_alike(F.col("w"), F.col("hub_w"), threshold))
+    shared = (in_bucket.groupBy("band", "h").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
+              .filter("hub != top").select("band", "h", "hub"))
+    open_ = stored(in_bucket.join(shared, ["band", "h"]).join(sketch.select("rep", "w"), "rep"), "open")
+    hub_w = sketch.select(F.col("rep").alias("hub"), F.col("w").alias("hub_w")).join(
+        open_.select("hub").distinct(), "hub", "left_semi")
+    pairs = (open_.filter("rep != hub").join(hub_w, "hub")
+             .filter(_alike(F.col("w"), F.col("hub_w"), threshold, least))
              .select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = open_.select(F.col("rep").alias("id")).distinct()
     texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -317,13 +313,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    .filter("classes > 1").select("band", "h", F.col("x.c").alias("largest")))
         fresh = stored(fresh.join(largest, ["band", "h"]), "fresh")
         turn = W.partitionBy("band", "h").orderBy("rep")
-        hubs = stored(fresh.filter("c = largest" if turns < 2 else "c != largest").withColumn("turn", F.row_number().over(turn))
-                      .filter(F.col("turn") <= hubs_at_once)
+        hubs = stored(fresh.filter("c = largest" if turns < 2 else "c != largest")
+                      .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= hubs_at_once)
                       .select("band", "h", F.col("rep").alias("hub"), F.col("w").alias("hub_w"),
                               F.col("c").alias("hub_c")), "hubs")
         if hubs.isEmpty():
             break
-        more = (fresh.join(hubs, ["band", "h"]).filter("c != hub_c").filter(_alike(F.col("w"), F.col("hub_w"), threshold))
+        more = (fresh.join(hubs, ["band", "h"]).filter("c != hub_c")
+                .filter(_alike(F.col("w"), F.col("hub_w"), threshold, least))
                 .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
         links = stored(links.unionByName(verify(more, texts, weights, threshold, n)).distinct(), "verified")
         tried = stored(tried.unionByName(hubs.select("band", "h", F.col("hub").alias("rep"))), "tried")
