@@ -15,7 +15,7 @@
 
 Defined cases: a text of fewer than five words is one shingle; a text without
 words (null, empty, blank) and a row with a null id is alone, its class is its
-own id; rows that repeat an id are one document (the smallest text).
+own id; rows that repeat an id are one document (the text of the smallest hash).
 """
 
 from __future__ import annotations
@@ -171,7 +171,7 @@ def _sketch(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, some: np.ndarr
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, weights, n: int = WORDS, bands: int = BANDS,
                rows: int = ROWS) -> DataFrame:
-    """(id, k1, k2, w, bands): 128-bit hash of the word sequence, sketch, band hashes.
+    """(id, x, k1, k2, w, bands): hash of the text, 128-bit hash of its words, sketch, band hashes.
 
     Texts without words are left out.
     """
@@ -191,13 +191,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, weights, n: int = WO
                 place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.at[:-1], np.diff(w.at)).astype(np.uint64)
                 k = [np.add.reduceat(mix(w.hash + mix(place, salt), salt), w.at[:-1][some]) for salt in (11, 12)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(some)), *(pa.array(x.view(np.int64)) for x in k),
+                    [*(batch.column(i).slice(lo, hi - lo).take(pa.array(some)) for i in (0, 2)),
+                     *(pa.array(x.view(np.int64)) for x in k),
                      _sketch(owner, h, weight, some, hi - lo),
                      pa.FixedSizeListArray.from_arrays(pa.array(s.reshape(-1).view(np.int64)), bands)
-                     .cast(pa.list_(pa.int64()))], ["id", "k1", "k2", "w", "bands"])
+                     .cast(pa.list_(pa.int64()))], ["id", "x", "k1", "k2", "w", "bands"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(sign, f"id long, k1 long, k2 long, w {SKETCH}, bands array<long>"))
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                        F.xxhash64(text_col).alias("x"))
+            .mapInArrow(sign, f"id long, x long, k1 long, k2 long, w {SKETCH}, bands array<long>"))
 
 
 def similarities(texts: list[str], pairs: np.ndarray, idf_of: np.ndarray, n: int = WORDS) -> np.ndarray:
@@ -279,33 +281,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     weights, least = spark.sparkContext.broadcast(idf_of), float(idf_of.min())
     signed = stored(signatures(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, weights, n, bands, rows),
                     "signatures")
-    one = signed.groupBy("id").agg(F.min(F.struct("k1", "k2", "w", "bands")).alias("s")).select("id", "s.*")
-    reps = one.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("w").alias("w"),
-                                       F.first("bands").alias("bands"))
+    one = signed.groupBy("id").agg(F.min(F.struct("x", "k1", "k2", "bands")).alias("s")).select("id", "s.*")
+    reps = one.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     member = stored(one.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("id", "rep"), "members")
-    sketch = stored(reps.select("rep", "w", "bands"), "sketches")
-    in_bucket = sketch.select("rep", F.posexplode("bands").alias("band", "h"))
+    in_bucket = stored(reps.select("rep", F.posexplode("bands").alias("band", "h")), "buckets")
     # buckets of one member settle nothing
     shared = (in_bucket.groupBy("band", "h").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
               .filter("hub != top").select("band", "h", "hub"))
-    open_ = stored(in_bucket.join(shared, ["band", "h"]).join(sketch.select("rep", "w"), "rep"), "open")
-    hub_w = sketch.select(F.col("rep").alias("hub"), F.col("w").alias("hub_w")).join(
-        open_.select("hub").distinct(), "hub", "left_semi")
-    pairs = (open_.filter("rep != hub").join(hub_w, "hub")
+    open_ = stored(in_bucket.join(shared, ["band", "h"]), "open")
+    wanted = stored(open_.select(F.col("rep").alias("id")).distinct(), "wanted")
+    # sketches of texts in shared buckets, joined only to the few rows that need them; merged, as at any large size
+    sketch = stored(signed.select("id", "x", "w").join(wanted.hint("merge"), "id", "left_semi")
+                    .groupBy(F.col("id").alias("rep")).agg(F.min(F.struct("x", "w")).alias("s"))
+                    .select("rep", "s.w"), "sketches")
+    hub_sketch = sketch.select(F.col("rep").alias("hub"), F.col("w").alias("hub_w"))
+    pairs = (open_.filter("rep != hub").select("rep", "hub").distinct().join(sketch, "rep").join(hub_sketch, "hub")
              .filter(_alike(F.col("w"), F.col("hub_w"), threshold, least))
-             .select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    wanted = open_.select(F.col("rep").alias("id")).distinct()
+             .select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-                   .join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
+                   .join(wanted.hint("merge"), "id", "left_semi")
+                   .groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("s")).select("id", "s.text"),
+                   "texts")
     links = stored(verify(pairs, texts, weights, threshold, n), "verified")
     tried = stored(open_.select("band", "h", F.col("hub").alias("rep")).distinct(), "tried")
-    open_ = open_.select("band", "h", "rep", "w")
+    open_ = open_.select("band", "h", "rep")
     turns, hubs_at_once, known = 0, HUBS, links.count()
     label = graph.components(links)
     while True:
         fresh = (open_.join(tried, ["band", "h", "rep"], "left_anti")
                  .join(label, F.col("rep") == label.node, "left")
-                 .select("band", "h", "rep", "w", F.coalesce("component", "rep").alias("c")))
+                 .select("band", "h", "rep", F.coalesce("component", "rep").alias("c")))
         # in the first rounds a few members of the largest class meet the others, most of which find their class;
         # then all members outside it become hubs, some at a time, so that in the end every two have met
         largest = (fresh.groupBy("band", "h", "c").agg(F.count("*").alias("n")).groupBy("band", "h")
@@ -315,11 +320,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         turn = W.partitionBy("band", "h").orderBy("rep")
         hubs = stored(fresh.filter("c = largest" if turns < 2 else "c != largest")
                       .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= hubs_at_once)
-                      .select("band", "h", F.col("rep").alias("hub"), F.col("w").alias("hub_w"),
-                              F.col("c").alias("hub_c")), "hubs")
+                      .select("band", "h", F.col("rep").alias("hub"), F.col("c").alias("hub_c")), "hubs")
         if hubs.isEmpty():
             break
-        more = (fresh.join(hubs, ["band", "h"]).filter("c != hub_c")
+        more = (fresh.join(sketch, "rep").join(hubs.join(hub_sketch, "hub"), ["band", "h"]).filter("c != hub_c")
                 .filter(_alike(F.col("w"), F.col("hub_w"), threshold, least))
                 .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
         links = stored(links.unionByName(verify(more, texts, weights, threshold, n)).distinct(), "verified")
