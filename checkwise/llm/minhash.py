@@ -305,32 +305,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = stored(verify(pairs, texts, weights, threshold, n), "verified")
     tried = stored(open_.select("band", "h", F.col("hub").alias("rep")).distinct(), "tried")
     open_ = open_.select("band", "h", "rep")
-    turns, hubs_at_once, known = 0, HUBS, links.count()
+    turns, hubs_at_once = 0, HUBS
     label = graph.components(links)
     while True:
         fresh = (open_.join(tried, ["band", "h", "rep"], "left_anti")
                  .join(label, F.col("rep") == label.node, "left")
                  .select("band", "h", "rep", F.coalesce("component", "rep").alias("c")))
-        # in the first rounds a few members of the largest class meet the others, most of which find their class;
-        # then all members outside it become hubs, some at a time, so that in the end every two have met
+        # first a few members of the largest class meet the others, most of which find their class; then all
+        # members outside it become hubs, some at a time, so that in the end every two have met
         largest = (fresh.groupBy("band", "h", "c").agg(F.count("*").alias("n")).groupBy("band", "h")
                    .agg(F.max(F.struct("n", "c")).alias("x"), F.count("*").alias("classes"))
                    .filter("classes > 1").select("band", "h", F.col("x.c").alias("largest")))
-        fresh = stored(fresh.join(largest, ["band", "h"]), "fresh")
+        fresh = stored(fresh.join(largest, ["band", "h"]).join(sketch, "rep"), "fresh")
         turn = W.partitionBy("band", "h").orderBy("rep")
-        hubs = stored(fresh.filter("c = largest" if turns < 2 else "c != largest")
+        hubs = stored(fresh.filter("c != largest" if turns else "c = largest")
                       .withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= hubs_at_once)
-                      .select("band", "h", F.col("rep").alias("hub"), F.col("c").alias("hub_c")), "hubs")
+                      .select("band", "h", F.col("rep").alias("hub"), F.col("w").alias("hub_w"),
+                              F.col("c").alias("hub_c")), "hubs")
         if hubs.isEmpty():
             break
-        more = (fresh.join(sketch, "rep").join(hubs.join(hub_sketch, "hub"), ["band", "h"]).filter("c != hub_c")
+        more = (fresh.join(hubs, ["band", "h"]).filter("c != hub_c")
                 .filter(_alike(F.col("w"), F.col("hub_w"), threshold, least))
                 .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
-        links = stored(links.unionByName(verify(more, texts, weights, threshold, n)).distinct(), "verified")
-        tried = stored(tried.unionByName(hubs.select("band", "h", F.col("hub").alias("rep"))), "tried")
-        turns, hubs_at_once = turns + 1, hubs_at_once * (HUBS if turns != 1 else 1)
-        before, known = known, links.count()
-        if known != before:
+        found = stored(verify(more, texts, weights, threshold, n), "verified")
+        tried = tried.unionByName(hubs.select("band", "h", F.col("hub").alias("rep")))
+        turns, hubs_at_once = turns + 1, hubs_at_once * HUBS
+        if not found.isEmpty():
+            links = links.unionByName(found)
             label = graph.components(links)
     return (member.join(label, member.rep == label.node, "left")
             .select("id", "rep", F.coalesce("component", "rep").alias("class_id")))
