@@ -51,14 +51,14 @@ def _comment_text(qty: Column) -> Column:
     return F.when(q == 0, "").when(q == 1, "0").otherwise(" late ")
 
 
-def _key(sf_dir: str, names: list[str]) -> str:
-    return store.input_key([f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
+def _key(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    return store.input_key(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The submission log (seq, payload, submitted_by, ip), written once per
     input folder like a landed request log, then read back."""
-    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
     return store.materialize(spark, "submissions", key, lambda: build_submissions(spark, sf_dir))
 
 
@@ -124,7 +124,7 @@ def stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(batch_id, entry_month) of the stored entries — the small side table the
     sink maintains next to the fact table (built here once per input)."""
-    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
     return store.materialize(
         spark, "batch_index", key,
         lambda: stored_entries(spark, sf_dir).select("batch_id", "entry_month").distinct())
@@ -133,7 +133,7 @@ def stored_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored presence table (kpi_batch_presence) of the stored entries,
     built once per input."""
-    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
     return store.materialize(
         spark, "stored_presence", key,
         lambda: stored_entries(spark, sf_dir).select("batch_id", "staff_id").distinct())
@@ -159,7 +159,7 @@ def _lines_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History export, one JSON Lines record per line item (column ``value``),
     written once per input folder and read back."""
-    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
     return store.materialize(spark, "history_lines", key, lambda: build_history_lines(spark, sf_dir))
 
 
@@ -208,7 +208,7 @@ def _csv_quote(c: Column) -> Column:
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV export's data lines (line_no, value); the header is record 1.
     Written once per input folder and read back."""
-    key = _key(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
     return store.materialize(spark, "csv_lines", key, lambda: build_csv_lines(spark, sf_dir))
 
 

@@ -60,15 +60,19 @@ def _publish(spark: SparkSession, staging: str, path: str) -> None:
         fs.rename(src, dst)
 
 
-def input_key(paths: list[str]) -> str:
-    """Stable key of a set of input files (path, size, mtime)."""
+def input_key(spark: SparkSession, paths: list[str]) -> str:
+    """Stable key of a set of inputs: path, length and modification time of
+    every file below them, listed through Hadoop, so it holds on any store and
+    changes when a file is appended to a partitioned folder."""
+    files = []
+    for path in paths:
+        fs, p = _hadoop_path(spark, path)
+        listing = fs.listFiles(p, True)
+        while listing.hasNext():
+            f = listing.next()
+            files.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
     h = hashlib.sha1((_LAYOUT_VERSION + _code_hash()).encode())
-    for p in sorted(paths):
-        try:
-            st = os.stat(p)
-            h.update(f"{os.path.abspath(p)}|{st.st_size}|{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(p.encode())
+    h.update("\n".join(sorted(files)).encode())
     return h.hexdigest()[:16]
 
 

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _stored_dim(spark: SparkSession, sf_dir: str, name: str, inputs: list[str], build, schema):
     """Dimensions are stored tables: derived once per input folder, then read."""
-    key = store.input_key([f"{sf_dir.rstrip('/')}/{n}.parquet" for n in inputs])
+    key = store.input_key(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in inputs])
     # written in the input's own partitioning: a small dimension stays one file
     return store.materialize(spark, f"dim_{name}", key, build, schema=schema, spread=False)
 
@@ -156,7 +156,7 @@ def kpi_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     (room_code, entry_date) inside, so date ranges prune folders and room/date
     predicates skip row groups."""
     names = ["lineitem", "orders", "customer", "nation", "region", "part"]
-    key = store.input_key([f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
+    key = store.input_key(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
     return store.materialize(
         spark, "kpi_entries", key,
         lambda: entries_unmaterialised(spark, sf_dir),
