@@ -6,7 +6,8 @@ every doubling step give the longest common prefix of neighbours. Each suffix's
 longest repeat is its longer common prefix with a neighbour; those of at least
 MIN_REPEAT words are the longest-common-prefix intervals' maximal repeats. The
 union of their spans is the covered part; the verdict limits the covered
-fraction and the longest repeat.
+fraction and the longest repeat. Covered words also lie in 3-word windows found
+twice, so MAX_COVERED acts only below the base rule's MAX_REPEAT_WORDS_PCT.
 
 Defined cases: a null, empty or blank text has no words, fails the base rules
 and is not kept. Rows are judged one by one, so repeated rows, null ids and
@@ -28,8 +29,8 @@ MIN_WORDS = 50
 MAX_REPEAT_WORDS_PCT = 50
 #: Words a repeat must have to count as covered, the largest covered share, the longest allowed repeat.
 MIN_REPEAT = 8
-MAX_COVERED = 0.5
-MAX_LONGEST = 1000
+MAX_COVERED = 0.3
+MAX_LONGEST = 50
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True

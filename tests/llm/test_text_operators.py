@@ -77,6 +77,30 @@ def test_quality_verdict(spark):
         assert r.kept == (not r.base_failed and len(covered) <= 0.5 * len(w))
 
 
+def test_quality_limits_act_beyond_base(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    pasted = words("p", 90)
+    line = words("l", 13)
+    refrain = words("r", 12)
+    texts = {
+        "clean": words("a", 400),
+        "line twice": f"{line} {words('a', 100)} {line}",
+        "50 words twice": f"{words('p', 50)} {words('a', 400)} {words('p', 50)}",
+        "covered": f"{pasted} {words('a', 110)} {pasted} {words('b', 110)}",
+        "covered by short repeats": " ".join(f"{words(f'b{i}x', 24)} {refrain}" for i in range(10)),
+        "longest": f"{words('a', 500)} {words('p', 51)} {words('b', 500)} {words('p', 51)}",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    rows = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {i for i, r in rows.items() if r.kept} == {"clean", "line twice", "50 words twice"}
+    assert (rows["covered"].n_words, rows["covered"].covered_words) == (400, 180)
+    short, long = rows["covered by short repeats"], rows["longest"]
+    assert short.longest_repeat <= 50 and short.covered_words > 0.3 * short.n_words
+    assert long.longest_repeat == 51 and long.covered_words < 0.3 * long.n_words
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {"clean", "line twice", "50 words twice"}
+
+
 def test_quality_keeps_columns(docs):
     kept = quality.keep_good(docs)
     assert kept.schema == docs.schema
