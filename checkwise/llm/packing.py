@@ -2,12 +2,14 @@
 
 1. Documents become pieces of at most SIZE tokens; their length histogram (at
    most SIZE counts) is all that the driver sees.
-2. The configuration LP (fewest sequences whose pieces cover the histogram) is
-   solved by multiplicative weights: each round prices lengths, a knapsack
-   dynamic program finds the best filling of one sequence, and the weights of
-   the lengths it covers shrink.
-3. Fractional uses are rounded down; what is left is filled largest-first by
-   the same run-length patterns. The plan is a bounded list of patterns.
+2. Filling largest-first gives a first plan. Where it is not within TOLERANCE of
+   the tokens' own bound, the configuration LP (fewest sequences whose pieces
+   cover the histogram) is solved by column generation, starting from that
+   plan's patterns: the simplex duals price the lengths, a knapsack dynamic
+   program finds the best fillings of one sequence, and the same duals give a
+   lower bound. It ends when the LP is within TOLERANCE of its bound.
+3. Fractional uses are rounded down, then up while pieces last; what is left is
+   filled largest-first. The shorter plan counts, a bounded list of patterns.
 4. Pieces are numbered within their length (salted, so a hot length is split)
    and looked up in the plan: sequence and offset are arithmetic on the number.
 
@@ -17,6 +19,7 @@ packed one by one, repeated ids and rows too; null ids stay null.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -32,9 +35,11 @@ from checkwise.llm.common import ship, stored
 
 SIZE = 2048
 END_ID = 0
-#: Rounds of the multiplicative-weights solver and its step.
-ROUNDS = 200
-STEP = 0.2
+#: Relative gap between the sequences and their lower bound at which a plan counts as solved.
+TOLERANCE = 0.001
+#: Fillings taken from one knapsack table; pivots between two inversions of the basis.
+FILLINGS = 64
+PIVOTS = 500
 SALTS = 128
 #: Text of one block.
 BLOCK_BYTES = 4 << 20
@@ -114,68 +119,136 @@ def pieces_of(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, size
         run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_filling(lengths: np.ndarray, price: np.ndarray, size: int) -> dict[int, int]:
-    """Knapsack dynamic program: the multiset of lengths within ``size`` of the highest price."""
+def _knapsack(lengths: np.ndarray, price: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(highest price, length taken last or -1) for each room up to ``size``; lengths ascend."""
     value = np.zeros(size + 1)
     last = np.full(size + 1, -1)
-    order = np.argsort(lengths)
-    lengths, price = lengths[order], price[order]
+    fits = np.searchsorted(lengths, np.arange(size + 1), "right")
     for c in range(1, size + 1):
-        n = int(np.searchsorted(lengths, c, "right"))
+        n = fits[c]
         value[c] = value[c - 1]
         if n:
             got = value[c - lengths[:n]] + price[:n]
             best = int(got.argmax())
             if got[best] > value[c] + 1e-15:
-                value[c], last[c] = got[best], best
+                value[c], last[c] = got[best], lengths[best]
+    return value, last
+
+
+def _filling(last: np.ndarray, room: int) -> dict[int, int]:
     filling: dict[int, int] = {}
-    c = size
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
+    while room > 0:
+        length = int(last[room])
+        if length < 0:
+            room -= 1
             continue
-        length = int(lengths[last[c]])
         filling[length] = filling.get(length, 0) + 1
-        c -= length
+        room -= length
     return filling
 
 
-def solve_lp(counts: dict[int, int], size: int, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[dict[int, int], float]]:
-    """Fractional uses of configurations that together cover each length at most its count."""
-    lengths = np.array(sorted(counts))
-    need = np.array([counts[x] for x in lengths], float)
+def best_filling(lengths: np.ndarray, price: np.ndarray, size: int) -> dict[int, int]:
+    """Knapsack dynamic program: the multiset of lengths within ``size`` of the highest price."""
+    order = np.argsort(lengths)
+    return _filling(_knapsack(lengths[order], price[order], size)[1], size)
+
+
+def solve_lp(counts: dict[int, int], size: int, start: list[dict[int, int]],
+             tolerance: float = TOLERANCE) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """(uses of configurations that together cover every length, lower bound of any plan's sequences)."""
+    lengths = np.array(sorted(counts), np.int64)
+    m = len(lengths)
+    if not m:
+        return [], 0.0
+    need = np.array([counts[x] for x in lengths.tolist()], float)
+    # slightly unequal needs keep the simplex method from pivoting in place
+    aim = need * (1 + 1e-7 * np.random.Generator(np.random.PCG64(8)).random(m))
     at = {int(x): i for i, x in enumerate(lengths)}
-    weight = np.ones(len(lengths))
-    covered = np.zeros(len(lengths))
-    uses: dict[tuple, float] = {}
-    for _ in range(rounds if len(lengths) else 0):
-        filling = best_filling(lengths, weight * lengths, size)
-        key = tuple(sorted(filling.items()))
-        rows = np.array([at[x] for x, _ in key])
-        per = np.array([k for _, k in key], float)
-        amount = float((need[rows] / per).min()) * step
-        uses[key] = uses.get(key, 0.0) + amount
-        covered[rows] += per * amount
-        weight[rows] *= np.exp(-per * amount / need[rows])
-        if covered.min() > 0 and (covered / need).min() >= 1:
-            break
-    worst = float((covered / need).max()) if len(lengths) else 1.0
-    scale = 1 / max(worst, 1.0)  # no length is used more often than it is there
-    return [(dict(k), v * scale) for k, v in uses.items()]
-
-
-def plan(counts: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """(pattern, times): patterns of lengths with multiplicities that use up the histogram exactly."""
-    left = {int(k): int(v) for k, v in counts.items() if v > 0}
+    fillings = [{x: size // x} for x in lengths.tolist()]
+    columns = [(np.array([i]), np.array([float(size // x)])) for i, x in enumerate(lengths.tolist())]
+    rows, per, first = [np.arange(m)], [np.array([k[0] for _, k in columns])], list(range(m))
+    entries = m
+
+    def add(filling: dict[int, int]) -> None:
+        nonlocal entries
+        column = np.array([at[x] for x in filling]), np.array(list(filling.values()), float)
+        fillings.append(filling)
+        columns.append(column)
+        first.append(entries)
+        rows.append(column[0])
+        per.append(column[1])
+        entries += len(column[0])
+
+    for filling in start:
+        add(filling)
+    basis = np.arange(m)  # columns in use; -1 - i is the surplus of length i
+    inverse = np.diag(1 / per[0])
+    uses = inverse @ aim
+    bound, pivots, pool = float((lengths * need).sum()) / size, 0, None
+    dual = inverse.sum(axis=0)
+    while True:
+        if pool is None:
+            dual = (basis >= 0).astype(float) @ inverse
+            pool = np.concatenate(rows), np.concatenate(per), np.array(first)
+        worth = np.add.reduceat(dual[pool[0]] * pool[1], pool[2])
+        enter, low = int(worth.argmax()), int(dual.argmin())
+        if max(worth[enter] - 1, -dual[low]) <= 1e-9:
+            price = np.maximum(dual, 0)
+            value, last = _knapsack(lengths, price, size)
+            bound = max(bound, float(need @ price) / max(value[size], 1.0))
+            if uses[basis >= 0].sum() <= bound * (1 + tolerance) or value[size] <= 1 + 1e-7:
+                break
+            # the best filling with each length, the most valuable first
+            best = price + value[size - lengths]
+            found = {}
+            for i in np.argsort(-best, kind="stable")[:FILLINGS].tolist():
+                if best[i] > 1 + 1e-7:
+                    filling = _filling(last, size - int(lengths[i]))
+                    filling[int(lengths[i])] = filling.get(int(lengths[i]), 0) + 1
+                    found[tuple(sorted(filling.items()))] = filling
+            for filling in found.values():
+                add(filling)
+            pool = None
+            continue
+        gain = max(worth[enter] - 1, -dual[low])
+        if worth[enter] - 1 == gain:
+            step = inverse[:, columns[enter][0]] @ columns[enter][1]
+        else:
+            enter, step = -1 - low, -inverse[:, low]
+        ratio = np.where(step > 1e-9, uses / np.where(step > 1e-9, step, 1), np.inf)
+        out = int(ratio.argmin())
+        basis[out] = enter
+        pivots += 1
+        if pivots % PIVOTS:
+            amount = ratio[out]
+            uses -= amount * step
+            uses[out] = amount
+            inverse[out] /= step[out]
+            step[out] = 0
+            moved = np.flatnonzero(np.abs(step) > 1e-13)
+            if 2 * len(moved) < m:
+                inverse[moved] -= step[moved, None] * inverse[out]
+            else:
+                inverse -= step[:, None] * inverse[out]
+            dual -= gain * inverse[out]
+        else:
+            matrix = np.zeros((m, m))
+            for j, k in enumerate(basis.tolist()):
+                if k >= 0:
+                    matrix[columns[k][0], j] = columns[k][1]
+                else:
+                    matrix[-1 - k, j] = -1
+            inverse = np.linalg.inv(matrix)
+            uses, dual = inverse @ aim, (basis >= 0).astype(float) @ inverse
+        np.maximum(uses, 0, out=uses)
+    return [(fillings[k], float(x)) for k, x in zip(basis.tolist(), uses.tolist(), strict=True) if k >= 0], bound
+
+
+def fill(left: dict[int, int], size: int) -> list[tuple[dict[int, int], int]]:
+    """(pattern, times) that use up ``left`` largest-first."""
+    left = {x: n for x, n in left.items() if n > 0}
     out = []
-    for filling, use in sorted(solve_lp(left, size, rounds), key=lambda x: -x[1]):
-        times = min([int(use), *(left.get(x, 0) // k for x, k in filling.items())])
-        # only full sequences are fixed early; a loose one is better left to the filling below
-        if times > 0 and sum(x * k for x, k in filling.items()) == size:
-            out.append((filling, times))
-            for x, k in filling.items():
-                left[x] -= k * times
-    order = sorted((x for x in left if left[x] > 0), reverse=True)
+    order = sorted(left, reverse=True)
     while order:
         room, pattern = size, {}
         for x in order:
@@ -193,6 +266,29 @@ def plan(counts: dict[int, int], size: int = SIZE, rounds: int = ROUNDS) -> list
     return out
 
 
+def sequences(patterns: list[tuple[dict[int, int], int]]) -> int:
+    return sum(times for _, times in patterns)
+
+
+def plan(counts: dict[int, int], size: int = SIZE, tolerance: float = TOLERANCE) -> list[tuple[dict[int, int], int]]:
+    """(pattern, times): patterns of lengths with multiplicities that use up the histogram exactly."""
+    left = {int(k): int(v) for k, v in counts.items() if v > 0}
+    plain = fill(left, size)
+    if sequences(plain) <= math.ceil(sum(x * n for x, n in left.items()) / size * (1 + tolerance)):
+        return plain
+    uses, _ = solve_lp(left, size, [p for p, _ in plain], tolerance)
+    out = []
+    for up in (False, True):
+        for filling, use in sorted(uses, key=lambda x: -(x[1] % 1 if up else x[1])):
+            times = min([1 if up and use % 1 > 0.5 else 0 if up else int(use), *(left[x] // k for x, k in filling.items())])
+            if times > 0:
+                out.append((filling, times))
+                for x, k in filling.items():
+                    left[x] -= k * times
+    out += fill(left, size)
+    return min(out, plain, key=sequences)
+
+
 def layout(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """Per length, rows (first number, first sequence, pieces a sequence, first offset), by first number."""
     used: dict[int, int] = {}

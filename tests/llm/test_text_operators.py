@@ -210,6 +210,35 @@ def test_packing_plan_beats_plain_filling():
     assert packing.best_filling(__import__("numpy").array([6, 5, 4]), __import__("numpy").array([7.0, 5.0, 4.0]), 10) == {6: 1, 4: 1}
 
 
+def test_packing_plan_finds_planted_patterns():
+    import random
+    g = random.Random(1)
+    counts, planted = Counter(), 0
+    for _ in range(20):  # full sequences of 3 to 5 long pieces: largest-first takes 3 % more
+        rest = 0
+        while not 300 <= rest <= 900:
+            some = [g.randint(300, 900) for _ in range(g.choice((2, 3, 3, 4)))]
+            rest = 2048 - sum(some)
+        times = g.randint(1, 1000)
+        planted += times
+        for x in [*some, rest]:
+            counts[x] += times
+    done = packing.plan(counts, 2048)
+    assert Counter({x: sum(p.get(x, 0) * t for p, t in done) for x in counts}) == counts
+    assert all(sum(x * k for x, k in p.items()) <= 2048 for p, _ in done)
+    assert planted <= packing.sequences(done) <= planted * 1.003
+    assert packing.sequences(packing.fill(dict(counts), 2048)) > planted * 1.02
+
+
+def test_packing_lp_covers_every_length():
+    counts = {1500: 7, 1100: 500, 1030: 301, 700: 900, 410: 33}  # no filling is full
+    uses, bound = packing.solve_lp(counts, 2048, [])
+    for x, n in counts.items():
+        assert sum(p.get(x, 0) * use for p, use in uses) >= n * (1 - 1e-6)
+    assert bound <= sum(use for _, use in uses) <= bound * (1 + 2 * packing.TOLERANCE)
+    assert packing.sequences(packing.plan(counts, 2048)) <= bound * 1.002 + len(counts)
+
+
 @pytest.mark.parametrize("make", [
     lambda d: pii.find(d.drop("spans")), pii.redact, linededup.dedup_lines, minhash.classes, minhash.drop_near,
     substring.digest, quality.judge, quality.keep_good, lambda d: packing.pack(d, JSON),
