@@ -3,32 +3,39 @@
 1. Each page becomes text lines (blocks); structure marks those that are
    boilerplate by their element (nav, header, footer, aside, form, ...) or by
    class, id or role, and those inside the page's article or main element.
-2. Pages are range-partitioned by host and URL path (a host of any size is
-   split by path), so a page's nearest URLs are its neighbours in order.
+2. Pages of a host with equal lines count once (a digest of the lines). These
+   distinct pages are range-partitioned by host and URL path (a host of any size
+   is split by path), so a page's nearest URLs are its neighbours in order; the
+   first and last of each partition find theirs beyond its edges. Only hashes of
+   lines move.
 3. A page's lines and those of its neighbours on both sides are aligned by
    longest common subsequence (bit-parallel); lines shared with either are the
-   site's template and are deleted. Lines inside an article element are not up
-   for deletion, as two pages may carry one article; with such an element the
+   site's template and are deleted. Inside an article or main element a line goes
+   if both neighbours share it; a neighbour that shares over half of the
+   article's text is a copy of it and doesn't judge it. With such an element the
    lines outside it are deleted too.
 
 Defined cases: a null html is empty and gives an empty text; a null url has the
-empty host and path; pages alone in their host or partition have no neighbour
-and rely on structure; rows that repeat an id are pages of their own, but a
-neighbour with the very same lines says nothing and is passed over.
+empty host and path; pages alone in their host (but for equal ones) have no
+neighbour and rely on structure; rows that repeat an id are pages of their own,
+and equal pages of a host get equal texts.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkwise.llm.common import ship
+from checkwise.llm.common import ship, stored
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -160,17 +167,30 @@ def _unpack(data: bytes) -> list[tuple[bool, str]]:
     return [(x[0] == "+", x[1:]) for x in text.split("\n")] if text else []
 
 
+#: A line's mark, hash and length.
+_LINE = "<c8sI"
+
+
+def _hashed(page: list[tuple[bool, str]]) -> bytes:
+    return b"".join(struct.pack(_LINE, b"+" if m else b"-", hashlib.blake2b(x.encode(), digest_size=8).digest(), len(x))
+                    for m, x in page)
+
+
+def kept_lines(page: list[tuple], near: list[list[tuple]]) -> list[bool]:
+    """For each (inside an article, line or its hash, length) of a page whether it stays, given its nearest pages."""
+    keys = [x[1] for x in page]
+    found = [shared(keys, [x[1] for x in other]) for other in near]
+    if not any(x[0] for x in page):
+        return [not any(f[i] for f in found) for i in range(len(page))]
+    size = sum(x[2] for x in page if x[0])
+    judges = [f for f in found if 2 * sum(x[2] for x, s in zip(page, f, strict=True) if x[0] and s) <= size]
+    return [x[0] and not (len(judges) > 1 and all(f[i] for f in judges)) for i, x in enumerate(page)]
+
+
 def main_text(page: list[tuple[bool, str]], near: list[list[tuple[bool, str]]]) -> str:
     """Text of a page, given the lines of its nearest pages."""
-    if any(m for m, _ in page):
-        page = [x for x in page if x[0]]  # deletable lines stand outside the article and go
-    else:
-        gone = [False] * len(page)
-        for other in near:
-            if other != page:
-                gone = [g or s for g, s in zip(gone, shared([x for _, x in page], [x for _, x in other]), strict=True)]
-        page = [x for x, g in zip(page, gone, strict=True) if not g]
-    return " ".join(x for _, x in page)
+    sized = [[(m, x, len(x)) for m, x in lines] for lines in (page, *near)]
+    return " ".join(x for (_, x), k in zip(page, kept_lines(sized[0], sized[1:]), strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -184,37 +204,75 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(html_col).alias("html"))
     kind = dict(pages.dtypes)[id_col]
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                packed = pa.array([_pack(lines_of(x.as_py() or "")) for x in part.column(4)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], packed], ["id", "url", "host", "path", "lines"])
+    def parse(hashes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    lines = [lines_of(x.as_py() or "") for x in part.column(4)]
+                    hashed = [_hashed(x) for x in lines]
+                    digest = pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in hashed], pa.binary())
+                    if hashes:
+                        yield pa.RecordBatch.from_arrays([part.column(2), digest, part.column(3), pa.array(hashed, pa.binary())],
+                                                         ["host", "digest", "path", "lines"])
+                    else:
+                        packed = pa.array([_pack(x) for x in lines], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*part.columns[:3], digest, packed],
+                                                         ["id", "url", "host", "digest", "lines"])
+        return run
+
+    def verdict(lines: bytes, *near: bytes | None) -> bytes:
+        page, *others = [[(m == b"+", h, n) for m, h, n in struct.iter_unpack(_LINE, x)] for x in (lines, *near) if x is not None]
+        return bytes(kept_lines(page, others))
 
     def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Verdicts on a partition's inner pages; its first and last page with the neighbour they have here."""
         before = now = None
 
         def finished(after):
-            return now[0], now[1], main_text(now[4], [x[4] for x in (before, after) if x and x[2] == now[2]])
+            lines = [x[3] if x and x[0] == now[0] else None for x in (before, after)]
+            if before and after:
+                return *now[:3], verdict(now[3], *lines), None, None, None, False, False
+            return *now[:3], None, now[3], *lines, before is None, after is None
 
         for batch in batches:
             rows = []
             for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = (*x[:4], _unpack(x[4]))
                 if now:
                     rows.append(finished(x))
                 before, now = now, x
             if rows:
-                yield _rows(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                                 names)
         if now:
-            yield _rows([finished(None)])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(finished(None), types, strict=True)], names)
 
-    def _rows(rows):
-        ids, urls, texts = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()),
-                                           pa.array(texts, pa.string())], [id_col, url_col, "text"])
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [verdict(*x) for x in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kept, pa.binary())], ["host", "digest", "kept"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [" ".join(x for (_, x), k in zip(_unpack(lines.as_py()), kept.as_py(), strict=True) if k)
+                     for lines, kept in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], [id_col, url_col, "text"])
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    parsed = rows.mapInArrow(parse, f"id {kind}, url string, host string, path string, lines binary")
-    ordered = parsed.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
-    return ordered.mapInArrow(diff, f"`{id_col}` {kind}, `{url_col}` string, text string")
+    names = ["host", "path", "digest", "kept", "lines", "before", "after", "first", "last"]
+    types = [pa.string(), pa.string(), *[pa.binary()] * 5, pa.bool_(), pa.bool_()]
+    distinct = (rows.mapInArrow(parse(True), "host string, digest binary, path string, lines binary")
+                .groupBy("host", "digest").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
+                .select("host", "path", "digest", "lines"))
+    ordered = distinct.repartitionByRange("host", "path", "digest").sortWithinPartitions("host", "path", "digest")
+    done = stored(ordered.mapInArrow(diff, "host string, path string, digest binary, kept binary, lines binary, "
+                                           "before binary, after binary, first boolean, last boolean"), "page_lines")
+    # two rows a partition; the next one in order is the page beyond the edge
+    by_host = W.partitionBy("host").orderBy("path", "digest")
+    open_rows = done.filter("kept is null").select(
+        "host", "digest", "lines", F.when(F.col("first"), F.lag("lines").over(by_host)).otherwise(F.col("before")).alias("before"),
+        F.when(F.col("last"), F.lead("lines").over(by_host)).otherwise(F.col("after")).alias("after"))
+    verdicts = stored(done.filter("kept is not null").select("host", "digest", "kept").union(
+        open_rows.mapInArrow(edges, "host string, digest binary, kept binary")), "page_verdicts")
+    parsed = rows.mapInArrow(parse(False), f"id {kind}, url string, host string, digest binary, lines binary")
+    joined = parsed.join(verdicts, ["host", "digest"]).select("id", "url", "lines", "kept")
+    return joined.mapInArrow(write, f"`{id_col}` {kind}, `{url_col}` string, text string")

@@ -71,6 +71,32 @@ def test_html_differencing(spark):
     assert html.extract(df.limit(0)).collect() == []
 
 
+def test_html_neighbours_beyond_copies_and_edges(spark):
+    body = "<div>Site name</div><p>Story {i} of its own</p><div>About this site</div>"
+    rows = [(i, f"https://two{i // 2}.example/{i}", body.replace("{i}", str(i))) for i in range(60)]  # hosts of two pages
+    story = [0, 1, 1, 1, 1, 2]  # a run of copies
+    rows += [(100 + i, f"https://copies.example/{i}", body.replace("{i}", f"c{k}")) for i, k in enumerate(story)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (1, 7, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.page_id: r.text for r in html.extract(df).collect()}
+            assert got == {i: f"Story {i} of its own" for i in range(60)} | {
+                100 + i: f"Story c{k} of its own" for i, k in enumerate(story)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_html_differencing_inside_article():
+    page = lambda i: html.lines_of(f"<article><p>Share this story<p>Story {i} of its own, longer than the rest</article>")
+    assert html.main_text(page(1), [page(0), page(2)]) == "Story 1 of its own, longer than the rest"
+    copy = html.lines_of("<article><p>Share this<p>Story 1 of its own, longer than the rest</article>")
+    assert html.main_text(page(1), [copy, copy]) == "Share this story Story 1 of its own, longer than the rest"
+
+
 def test_lcs():
     g = random.Random(2)
     for _ in range(300):
