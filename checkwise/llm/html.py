@@ -2,7 +2,10 @@
 
 1. Each page becomes text lines (blocks); structure marks those that are
    boilerplate by their element (nav, header, footer, aside, form, ...) or by
-   class, id or role, and those inside the page's article or main element.
+   class, id or role, and those inside the page's article or main element. A
+   class, id or role (a hint) drops no article or main, nor an element with one
+   in it; layout modifiers (no-, has-, with-, left-, right-) and headings' ids
+   are no hints.
 2. Pages of a host with equal lines count once (a digest of the lines). These
    distinct pages are range-partitioned by host and URL path (a host of any size
    is split by path), so a page's nearest URLs are its neighbours in order; the
@@ -12,8 +15,10 @@
    longest common subsequence (bit-parallel); lines shared with either are the
    site's template and are deleted. Inside an article or main element a line goes
    if both neighbours share it; a neighbour that shares over half of the
-   article's text is a copy of it and doesn't judge it. With such an element the
-   lines outside it are deleted too.
+   article's text is a copy of it and doesn't judge it. Hinted lines inside an
+   article go if either neighbour shares them, or if none can judge; so do
+   articles in a hinted element, on pages with another article. With an article
+   or main the lines outside it are deleted too.
 
 Defined cases: a null html is empty and gives an empty text; a null url has the
 empty host and path; pages alone in their host (but for equal ones) have no
@@ -50,25 +55,40 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "da
            "time", "tt", "u", "var", "wbr"}
 _CLOSED_BY_BLOCK = {"p", "li", "dt", "dd"}
 _MAIN = {"article", "main"}
-_ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Marks of a line: outside any article, in one, in a hinted block of one, in one inside a hinted element.
+OUTSIDE, ARTICLE, HINTED, WRAPPED = range(4)
+_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|"
     r"sidebar|side-bar|menu|nav\w*|breadcrumbs?|footer|masthead|social|share|sharing|related|comments?|disqus|replies|"
     r"widget|pagination|search|login|signup|toolbar|contentinfo|complementary)(?:$|[\s_-])", re.I)
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|without|left|right)[-_][\w-]*", re.I)
 
 
-def lines_of(page: str) -> list[tuple[bool, str]]:
-    """(inside an article, text) of the blocks that structure does not mark as boilerplate."""
-    out: list[tuple[bool, str]] = []
+def _hinted(name: str, attributes: str) -> bool:
+    """Whether an element's class, id or role says that it is boilerplate."""
+    if name in _MAIN or name in ("html", "body"):
+        return False
+    return any(_HINT.search(_LAYOUT.sub(" ", value.strip("\"'"))) for kind, value in _ATTRIBUTE.findall(attributes)
+               if name not in _HEADINGS or kind.lower() != "id")
+
+
+def lines_of(page: str) -> list[tuple[int, str]]:
+    """(mark, text) of the blocks that structure does not mark as boilerplate."""
+    out: list[tuple[int, str]] = []
     text: list[str] = []
     main: list[str] = []  # open article and main elements
     skip, depth = "", 0  # boilerplate element, and how many of its name are open
+    by_hint = False  # whether it is one by its hint only
+    soft, soft_depth = "", 0  # hinted element inside an article
+    wrap, wrap_depth = "", 0  # hinted element round an article
 
     def close_block() -> None:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                out.append((bool(main), line))
+                out.append(((HINTED if soft else WRAPPED if wrap else ARTICLE) if main else OUTSIDE, line))
             text.clear()
 
     at, n = 0, len(page)
@@ -90,6 +110,22 @@ def lines_of(page: str) -> list[tuple[bool, str]]:
             if not skip and name not in _INLINE:
                 close_block()
             continue
+        if skip and by_hint and skip not in _CLOSED_BY_BLOCK and name in _MAIN and not closing:
+            wrap, wrap_depth, skip = skip, depth, ""
+        elif wrap and name == wrap:
+            if wrap_depth == 1 and closing:
+                close_block()
+                wrap = ""
+            wrap_depth += -1 if closing else 1
+        if soft and not skip:
+            if soft in _CLOSED_BY_BLOCK and name not in _INLINE and name not in _VOID:
+                ended = name == soft or not closing or name not in _CLOSED_BY_BLOCK
+            else:
+                soft_depth += (-1 if closing else 1) if name == soft else 0
+                ended = not soft_depth
+            if ended:
+                close_block()
+                soft = ""
         if skip:
             if skip in _CLOSED_BY_BLOCK and name not in _INLINE and name not in _VOID:
                 ended = name == skip or not closing or name not in _CLOSED_BY_BLOCK
@@ -107,15 +143,19 @@ def lines_of(page: str) -> list[tuple[bool, str]]:
             if name in main:
                 while main.pop() != name:
                     pass
+                soft = soft if main else ""
             continue
         if name in _VOID:
             continue
-        hint = any(_HINT.search(v.strip("\"'")) for v in _ATTRIBUTE.findall(tag[3])) if tag[3] else False
+        hint = bool(tag[3]) and _hinted(name, tag[3])
         if name == "header" and main:
             continue  # an article's own heading
-        if name in _DROPPED or (hint and name not in ("html", "body")):
+        if name in _DROPPED or (hint and not main):
+            close_block()
+            skip, depth, by_hint = name, 1, name not in _DROPPED
+        elif hint and not soft:
             close_block()
-            skip, depth = name, 1
+            soft, soft_depth = name, 1
         elif name in _MAIN:
             main.append(name)
     close_block()
@@ -158,36 +198,37 @@ def shared(a: list[str], b: list[str]) -> list[bool]:
     return out
 
 
-def _pack(lines: list[tuple[bool, str]]) -> bytes:
-    return zlib.compress("\n".join(("+" if m else "-") + x for m, x in lines).encode(), 1)
+def _pack(lines: list[tuple[int, str]]) -> bytes:
+    return zlib.compress("\n".join(f"{m}{x}" for m, x in lines).encode(), 1)
 
 
-def _unpack(data: bytes) -> list[tuple[bool, str]]:
+def _unpack(data: bytes) -> list[tuple[int, str]]:
     text = zlib.decompress(data).decode()
-    return [(x[0] == "+", x[1:]) for x in text.split("\n")] if text else []
+    return [(int(x[0]), x[1:]) for x in text.split("\n")] if text else []
 
 
 #: A line's mark, hash and length.
-_LINE = "<c8sI"
+_LINE = "<B8sI"
 
 
-def _hashed(page: list[tuple[bool, str]]) -> bytes:
-    return b"".join(struct.pack(_LINE, b"+" if m else b"-", hashlib.blake2b(x.encode(), digest_size=8).digest(), len(x))
-                    for m, x in page)
+def _hashed(page: list[tuple[int, str]]) -> bytes:
+    return b"".join(struct.pack(_LINE, m, hashlib.blake2b(x.encode(), digest_size=8).digest(), len(x)) for m, x in page)
 
 
 def kept_lines(page: list[tuple], near: list[list[tuple]]) -> list[bool]:
-    """For each (inside an article, line or its hash, length) of a page whether it stays, given its nearest pages."""
-    keys = [x[1] for x in page]
+    """For each (mark, line or its hash, length) of a page whether it stays, given its nearest pages."""
+    keys, marks = [x[1] for x in page], [x[0] for x in page]
     found = [shared(keys, [x[1] for x in other]) for other in near]
-    if not any(x[0] for x in page):
+    article = next((m for m in (ARTICLE, WRAPPED, HINTED) if m in marks), OUTSIDE)
+    if article == OUTSIDE:
         return [not any(f[i] for f in found) for i in range(len(page))]
-    size = sum(x[2] for x in page if x[0])
-    judges = [f for f in found if 2 * sum(x[2] for x, s in zip(page, f, strict=True) if x[0] and s) <= size]
-    return [x[0] and not (len(judges) > 1 and all(f[i] for f in judges)) for i, x in enumerate(page)]
+    size = sum(x[2] for x in page if x[0] == article)
+    judges = [f for f in found if 2 * sum(x[2] for x, s in zip(page, f, strict=True) if x[0] == article and s) <= size]
+    return [m != OUTSIDE and (not (len(judges) > 1 and all(f[i] for f in judges)) if m == article
+                              else bool(judges) and not any(f[i] for f in judges)) for i, m in enumerate(marks)]
 
 
-def main_text(page: list[tuple[bool, str]], near: list[list[tuple[bool, str]]]) -> str:
+def main_text(page: list[tuple[int, str]], near: list[list[tuple[int, str]]]) -> str:
     """Text of a page, given the lines of its nearest pages."""
     sized = [[(m, x, len(x)) for m, x in lines] for lines in (page, *near)]
     return " ".join(x for (_, x), k in zip(page, kept_lines(sized[0], sized[1:]), strict=True) if k)
@@ -222,7 +263,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return run
 
     def verdict(lines: bytes, *near: bytes | None) -> bytes:
-        page, *others = [[(m == b"+", h, n) for m, h, n in struct.iter_unpack(_LINE, x)] for x in (lines, *near) if x is not None]
+        page, *others = [list(struct.iter_unpack(_LINE, x)) for x in (lines, *near) if x is not None]
         return bytes(kept_lines(page, others))
 
     def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,6 +97,27 @@ def test_html_differencing_inside_article():
     assert html.main_text(page(1), [copy, copy]) == "Share this story Story 1 of its own, longer than the rest"
 
 
+@pytest.mark.parametrize("page", [
+    "<article class='post no-comments'><p>the text</article>", "<main class='with-sidebar'><p>the text</main>",
+    "<main class='sidebar'><p>the text</main>", "<div class='site right-sidebar'><p>the text</div>",
+    "<div class='sidebar'><p>x<div>y</div><article><p>the text</article></div>",
+    "<div class='site has-menu'><div class='ad'>buy</div><main><p>the text</main></div>",
+    "<article><h2 id='search'>the</h2><p>text</article>"])
+def test_html_hints_do_not_drop_the_page(page):
+    assert html.main_text(html.lines_of(page), []) == "the text"
+
+
+def test_html_hints_inside_article(spark):
+    page = ("<article><p>Story {i} of its own<section id='related-work'><p>Work before {i}</section>"
+            "<div class='share'>Share it<div>now</div></div><p>End {i}</article><div class='related'><article><p>Teaser</article></div>")
+    rows = [(i, f"https://hints.example/{i}", page.replace("{i}", str(i))) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {
+        i: f"Story {i} of its own Work before {i} End {i}" for i in range(5)}
+    # without neighbours the hints decide
+    assert html.main_text(html.lines_of(rows[0][2]), []) == "Story 0 of its own End 0"
+
+
 def test_lcs():
     g = random.Random(2)
     for _ in range(300):
