@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkwise.llm import bpe, html, linededup, minhash, packing, pii, quality, substring, topk, warc
+from checkwise.llm import bpe, html, linededup, minhash, packing, pii, quality, substring, topk, warc, whitening
 
 MERGES = "byte_bpe_multi_50k.tiktoken"
 PACKING_VOCABULARY = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(MERGES), public_tokenizers.PATTERN)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_pii, op2_minhash_near_dedup, op3_exact_topk, op4_line_dedup, op5_html_extraction, op6_substring_dedup,
-           op7_warc, op8_packing, op9_quality_rules, op10_bpe, pipeline]
+           op7_warc, op8_packing, op9_quality_rules, op10_bpe, op13_embedding_whitening, pipeline]
     return {f.__name__: f for f in ops}
 
 
