@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkwise.llm import bpe, html, linededup, minhash, packing, pii, quality, substring, topk, warc, whitening
+from checkwise.llm import bpe, collocation, html, linededup, minhash, packing, pii, quality, substring, topk, warc, whitening
 
 MERGES = "byte_bpe_multi_50k.tiktoken"
 PACKING_VOCABULARY = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(MERGES), public_tokenizers.PATTERN)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_pii, op2_minhash_near_dedup, op3_exact_topk, op4_line_dedup, op5_html_extraction, op6_substring_dedup,
-           op7_warc, op8_packing, op9_quality_rules, op10_bpe, op13_embedding_whitening, pipeline]
+           op7_warc, op8_packing, op9_quality_rules, op10_bpe, op11_phrases, op13_embedding_whitening, pipeline]
     return {f.__name__: f for f in ops}
 
 
@@ -114,5 +118,38 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, m.m AS m, unnest(list_transform(range(1, len(w) - m.m + 2), lambda i: array_to_string(w[i:i + m.m - 1], ' '))) AS phrase
+  FROM lists, (VALUES (1), (2), (3)) m(m) WHERE len(w) >= m.m),
+f AS (SELECT lang, m, phrase, count(*) AS c FROM grams GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND c >= 10),
+cuts AS (
+  SELECT lang, phrase, a, k.k AS k, array_to_string(w[1:k.k], ' ') AS head, array_to_string(w[k.k + 1:m], ' ') AS tail
+  FROM cand, (VALUES (1), (2)) k(k) WHERE k.k < m),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.c AS l, t.c AS r,
+         CAST((1000000::HUGEINT * c.a * c.a) // (h.c::HUGEINT * t.c) AS BIGINT) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[1:2], ' ') AS phrase FROM cand WHERE m = 3
+    UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM cand WHERE m = 3) GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op4_line_dedup": OP4_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op4_line_dedup": OP4_SQL, "op11_phrases": OP11_SQL}

@@ -21,6 +21,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
+_BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULT_2 = np.uint64(0xD1342543DE82EF95)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -51,6 +53,10 @@ class Words:
         """The text's index in the slice, for each word."""
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
+    def second(self) -> np.ndarray:
+        """Another 64 bits per word, from bytes and powers independent of ``hash``."""
+        return _hash(self.data, _SPACE[self.data], self.start, self.end, _BYTE_2, _MULT_2)
+
     def text(self, i: int) -> bytes:
         return self.data[self.text_at[i] : self.text_at[i + 1]].tobytes()
 
@@ -94,7 +100,7 @@ def split(data: np.ndarray, text_at: np.ndarray) -> Words:
     return Words(data, text_at, start, end, at, _hash(data, space, start, end))
 
 
-def _hash(data, space, start, end) -> np.ndarray:
+def _hash(data, space, start, end, byte=_BYTE, mult=_MULT) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
@@ -103,8 +109,8 @@ def _hash(data, space, start, end) -> np.ndarray:
     longest = int(length.max())
     power = np.ones(longest, np.uint64)
     if longest > 1:
-        power[1:] = np.multiply.accumulate(np.full(longest - 1, _MULT, np.uint64))
-    value = _BYTE[data[~space]] * power[place]
+        power[1:] = np.multiply.accumulate(np.full(longest - 1, mult, np.uint64))
+    value = byte[data[~space]] * power[place]
     return mix(np.add.reduceat(value, first) + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
