@@ -1,7 +1,7 @@
 """The operations of the reference's API and scripts over a folder of stored
 tables, as Spark DataFrames.
 
-    store = KpiStore(spark, "s3://bucket/kpi")       # or any shared folder
+    store = KpiStore(spark, "hdfs:///kpi")           # any shared folder
     store.seed(rooms=..., slots=..., staff=..., indicators=...)
     store.save_batches(submissions)                  # saveBatch, many at once
     store.summary("2026-04-01", "2026-04-30", room="Pink", page=1)
@@ -11,10 +11,10 @@ tables, as Spark DataFrames.
     store.import_history(path), store.import_csv(path)
     store.backup(date)
 
-Layout under the base folder: ``kpi_entries`` (partitioned by entry_month and
-load_id), ``kpi_batch_presence``, ``audit_log``, ``rejects``, ``batch_index``,
-and one folder per dimension. Every write is a load with its own ``load_id``
-(idempotent when retried)."""
+Every write is a load with its own ``load_id``: all its tables appear with one
+commit, or none (``sources/commitlog``), and a retried load replaces its own rows.
+Reads see the newest committed version; ``KpiStore(spark, base, version=7)`` reads
+an older one."""
 
 from __future__ import annotations
 
@@ -26,52 +26,57 @@ from pyspark.sql import functions as F
 
 from checkwise.plans import config as cfg
 from checkwise.plans import dimensions, imports, ingest, quality, reports, sinks, snapshot
-from checkwise.schemas import INDICATORS, KPI_ENTRIES, PRESENCE, ROOMS, SLOTS, STAFF
+from checkwise.schemas import AUDIT, INDICATORS, KPI_ENTRIES_STORED, PRESENCE, ROOMS, SLOTS, STAFF
 from checkwise.sources import files
+from checkwise.sources.commitlog import CommitLog, Load
 
 DIM_SCHEMAS = {"rooms": ROOMS, "slots": SLOTS, "staff": STAFF, "indicators": INDICATORS}
 
 
 class KpiStore:
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, version: int | None = None):
         self.spark = spark
         self.base = base.rstrip("/")
-        self.paths = sinks.TablePaths.under(self.base)
+        self.log = CommitLog(spark, self.base)
+        self.version = version
 
     # --- tables -------------------------------------------------------------
-    def _read(self, path: str, schema) -> DataFrame:
-        df = sinks.read_table(self.spark, path)
+    def _read(self, name: str, schema, load: Load | None = None, **options) -> DataFrame:
+        df = load.read(name, **options) if load else self.log.read(name, self.version, **options)
         return df if df is not None else self.spark.createDataFrame([], schema)
 
-    def dimension(self, name: str) -> DataFrame:
-        df = self._read(f"{self.base}/{name}", DIM_SCHEMAS[name])
-        return df.select(*DIM_SCHEMAS[name].fieldNames())
+    def dimension(self, name: str, load: Load | None = None) -> DataFrame:
+        return self._read(name, DIM_SCHEMAS[name], load).select(*DIM_SCHEMAS[name].fieldNames())
 
-    def entries(self) -> DataFrame:
-        return self._read(self.paths.entries, KPI_ENTRIES)
+    def entries(self, load: Load | None = None, months: tuple[str, str] | None = None) -> DataFrame:
+        return self._read(sinks.ENTRIES, KPI_ENTRIES_STORED, load, months=months)
 
-    def presence(self) -> DataFrame:
-        return self._read(self.paths.presence, PRESENCE)
+    def presence(self, load: Load | None = None) -> DataFrame:
+        return self._read(sinks.PRESENCE_TABLE, PRESENCE, load)
 
-    def batch_index(self) -> DataFrame | None:
-        return sinks.read_table(self.spark, self.paths.batch_index)
+    def audit(self) -> DataFrame:
+        return self._read(sinks.AUDIT_TABLE, AUDIT)
+
+    def batch_index(self, load: Load | None = None) -> DataFrame | None:
+        return load.read(sinks.BATCH_INDEX) if load else self.log.read(sinks.BATCH_INDEX, self.version)
+
+    def _range(self, date_from, date_to) -> DataFrame:
+        """Entries of the loads that hold a month of the range."""
+        return self.entries(months=(f"{str(date_from)[:7]}-01", f"{str(date_to)[:7]}-01"))
 
     # --- reference data ------------------------------------------------------
     def seed(self, **tables: DataFrame) -> dict[str, int]:
         """I5: first-wins load of rooms/slots/staff (by primary key, ``seq``
         column optional for order), plain append of indicators."""
+        load = self.log.begin(f"seed-{uuid.uuid4().hex[:12]}", tuple(tables))
         added_counts = {}
         for name, rows in tables.items():
-            existing = self.dimension(name)
             order = [F.col("seq")] if "seq" in rows.columns else None
-            keys = dimensions.PRIMARY_KEYS.get(name)
-            table, added = dimensions.load_dimension(existing, rows, keys, order)
-            added_counts[name] = added.count()  # before the old files are replaced
-            path = f"{self.base}/{name}"
-            # rewrite the (small) dimension table from the union, via a staged copy
-            staged = f"{self.base}/_staging/{name}-{uuid.uuid4().hex[:8]}"
-            table.write.parquet(staged)
-            self.spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+            table, added = dimensions.load_dimension(self.dimension(name, load), rows, dimensions.PRIMARY_KEYS.get(name), order)
+            added_counts[name] = added.count()
+            load.write(name, table, replace=True)
+        load.write(sinks.AUDIT_TABLE, dimensions.audit_row(list(tables.values())))
+        load.commit()  # all tables, or none
         return added_counts
 
     def config(self) -> dict[str, DataFrame]:
@@ -89,15 +94,15 @@ class KpiStore:
 
     # --- reports ---------------------------------------------------------------
     def summary(self, date_from, date_to, room=None, page=1, per_page=50) -> DataFrame:
-        return reports.kpi_summary(self.entries(), self.dimension("staff"), self.dimension("rooms"),
+        return reports.kpi_summary(self._range(date_from, date_to), self.dimension("staff"), self.dimension("rooms"),
                                    date_from, date_to, room=room, page=page, per_page=per_page)
 
     def has_next_page(self, date_from, date_to, room=None, page=1, per_page=50) -> bool:
-        return reports.has_next_page(self.entries(), self.dimension("staff"), self.dimension("rooms"),
+        return reports.has_next_page(self._range(date_from, date_to), self.dimension("staff"), self.dimension("rooms"),
                                      date_from, date_to, room=room, page=page, per_page=per_page)
 
     def violations(self, date_from, date_to, room=None, limit=20) -> DataFrame:
-        return reports.top_violations(self.entries(), date_from, date_to, room=room, limit=limit)
+        return reports.top_violations(self._range(date_from, date_to), date_from, date_to, room=room, limit=limit)
 
     def daily(self, day, room) -> DataFrame:
         return reports.daily_report(self.entries(), self.dimension("staff"), day, room)
@@ -114,45 +119,36 @@ class KpiStore:
         """I1 for a set of submissions (seq, payload, submitted_by, ip); commits
         entries, presence, audit and rejects under one load id."""
         load_id = load_id or f"ingest-{uuid.uuid4().hex[:12]}"
-        index = self._index_if_partitioned()
-        result = ingest.ingest_submissions(
-            submissions, self.dimension("indicators"), sinks.without_load(self.entries(), load_id),
-            sinks.without_load(self.presence(), load_id), batch_index=sinks.without_load(index, load_id))
-        sinks.write_result(result, self.paths, load_id)
-        return result
+        return save_batches(self, submissions, load_id)
 
     def check_duplicate(self, batch_ids: DataFrame) -> DataFrame:
         """I2 for many ids: (batch_id, exists)."""
         index = self.batch_index()
         return ingest.batch_exists(batch_ids, index if index is not None else self.entries())
 
-    def import_history(self, path: str, load_id: str | None = None) -> imports.ImportResult:
-        """I3 from JSON Lines files."""
+    def import_history(self, path: str, load_id: str | None = None, array: bool = False) -> imports.ImportResult:
+        """I3 from files of JSON Lines, or with ``array`` from files that hold one JSON array each."""
         load_id = load_id or f"history-{uuid.uuid4().hex[:12]}"
-        result = imports.import_history(files.read_json_lines(self.spark, path),
-                                        sinks.without_load(self.presence(), load_id))
-        sinks.write_result(result, self.paths, load_id)
-        return result
+        records = files.read_history_array(self.spark, path) if array else files.read_json_lines(self.spark, path)
+        return sinks.run_load(self.log, load_id, (sinks.PRESENCE_TABLE,),
+                              lambda load: imports.import_history(records, self.presence(load)))
 
     def import_csv(self, path: str, load_id: str | None = None) -> imports.ImportResult:
         """I4 from headered CSV files (record numbers per file)."""
         load_id = load_id or f"csv-{uuid.uuid4().hex[:12]}"
         lines = files.read_csv_text(self.spark, path)
-        result = imports.import_csv(files.csv_data_lines(lines), files.csv_header(lines),
-                                    sinks.without_load(self.presence(), load_id))
-        sinks.write_result(result, self.paths, load_id)
-        return result
+        header = files.csv_header(lines)
+        return sinks.run_load(self.log, load_id, (sinks.PRESENCE_TABLE,),
+                              lambda load: imports.import_csv(files.csv_data_lines(lines), header, self.presence(load)))
 
     def backup(self, day: dt.date | None = None) -> dict[str, str]:
-        """B1: dated gzip snapshot of every table."""
-        day = day or dt.date.today()
-        tables = {n: self.dimension(n) for n in DIM_SCHEMAS}
-        tables.update({"kpi_entries": self.entries(), "kpi_batch_presence": self.presence()})
-        audit = sinks.read_table(self.spark, self.paths.audit)
-        if audit is not None:
-            tables["audit_log"] = audit
-        return snapshot.write_snapshot(tables, f"{self.base}/backups", day)
-
-    def _index_if_partitioned(self) -> DataFrame | None:
-        e = self.entries()
-        return self.batch_index() if "entry_month" in e.columns else None
+        """B1: dated gzip snapshot of every table, all of them as of one version."""
+        return snapshot.write_committed(self.log, f"{self.base}/backups", day or dt.date.today(), self.version)
+
+
+def save_batches(store: KpiStore, submissions: DataFrame, load_id: str) -> ingest.IngestResult:
+    """I1 as one load of the store."""
+    return sinks.run_load(
+        store.log, load_id, (sinks.ENTRIES, sinks.PRESENCE_TABLE, sinks.BATCH_INDEX, "indicators"),
+        lambda load: ingest.ingest_submissions(submissions, store.dimension("indicators", load), store.entries(load),
+                                               store.presence(load), batch_index=store.batch_index(load)))

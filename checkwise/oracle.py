@@ -374,6 +374,23 @@ WHERE {csv_ok} AND NOT EXISTS (SELECT 1 FROM stored_presence s
     }
 
 
+def files_sql() -> dict[str, str]:
+    """The file readers: a CSV record's number in its file, line breaks and quotes inside cells, history arrays."""
+    row = "((line_no - 2) % 100000 + 2)"
+    text = """CASE WHEN line_no % 4 = 0 THEN replace(indicator_text, ' Brand', chr(10) || '"Brand"') ELSE indicator_text END"""
+    csvf = f"""csvf AS (
+  SELECT * REPLACE ({text} AS indicator_text,
+    CASE WHEN staff_id LIKE 'imported_%' THEN 'imported_' || md5(room_code || strftime(entry_date, '%Y-%m-%d')
+         || CAST({row} AS VARCHAR)) ELSE staff_id END AS staff_id) FROM csvr)"""
+    all_imports = imports_sql()
+    w = _with(_IMPORT_CTES, csvf)
+    return {
+        "import_csv_file": w + f"SELECT {_IMPORT_COLS} FROM csvf WHERE o % 5 <> 4 AND pk % 17 <> 0 AND pk % 79 <> 0",
+        "import_csv_file_stats": all_imports["import_csv_stats"],
+        "import_history_array": all_imports["import_history"],
+    }
+
+
 # --- collation, checklist, completeness, dimension load, snapshot --------------
 
 _ENTRY_ALL = ("id, batch_id, entry_date, room_code, slot_code, staff_id, scope, indicator_id, "
@@ -436,4 +453,19 @@ UNION ALL
 SELECT staff_id, staff_name, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 1 FROM firsts f
 WHERE NOT EXISTS (SELECT 1 FROM staff s WHERE s.staff_id = f.staff_id)""",
         "snapshot_roundtrip": _with() + f"SELECT {_ENTRY_ALL} FROM kpi_entries",
+        **files_sql(),
+        "load_committed": _with(_INGEST_CTES) + f"""SELECT id, {_ENTRY_COLS}, 'stored' AS load_id FROM kpi_entries
+WHERE CAST(substr(batch_id, 3) AS BIGINT) % 10 = 0
+UNION ALL
+SELECT (SELECT max(id) FROM kpi_entries WHERE CAST(substr(batch_id, 3) AS BIGINT) % 10 = 0)
+       + row_number() OVER (ORDER BY batch_id, staff_id, indicator_id) AS id, {_ENTRY_COLS}, 'day-1' FROM new_entries""",
+        "snapshot_committed": _with("""old AS (SELECT * FROM kpi_entries WHERE CAST(substr(batch_id, 3) AS BIGINT) % 10 = 0)""") +
+        """SELECT 'kpi_entries' AS table_name, COUNT(*) AS n_rows, CAST(0 AS BIGINT) AS damaged_files FROM old
+UNION ALL SELECT 'kpi_batch_presence', COUNT(*), 0 FROM (SELECT DISTINCT batch_id, staff_id FROM old)
+UNION ALL SELECT 'batch_index', COUNT(*), 0 FROM (SELECT DISTINCT batch_id, date_trunc('month', entry_date) AS m FROM old)
+UNION ALL SELECT 'indicators', COUNT(*), 0 FROM indicators""",
+        "export_summary": summary_sql(P.FULL_FROM, P.FULL_TO),
+        "seed_audit": _with() + """SELECT 'anonymous' AS "user", 'seed_config' AS action, '' AS batch_id, '' AS ip,
+  (SELECT COUNT(*) FROM rooms) + (SELECT COUNT(*) FROM slots) + (SELECT COUNT(*) FROM staff)
+  + (SELECT COUNT(*) FROM indicators) AS rows_saved, CAST(NULL AS VARCHAR) AS note""",
     }

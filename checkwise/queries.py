@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkwise import params as P
-from checkwise.plans import config, dimensions, imports, ingest, quality, reports, snapshot
-from checkwise.sources import raw, store
+from checkwise.plans import config, dimensions, imports, ingest, quality, reports, sinks, snapshot
+from checkwise.schemas import ENTRY_COLUMNS
+from checkwise.sources import files, raw, store
 from checkwise.sources import testdata as td
+from checkwise.sources.commitlog import CommitLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +98,79 @@ def _snapshot(spark, sf):
     return snapshot.read_snapshot(spark, base, day, "kpi_entries")
 
 
+def _csv_file(spark, sf):
+    lines = files.read_csv_text(spark, raw.csv_files(spark, sf))
+    return imports.import_csv(files.csv_data_lines(lines), files.csv_header(lines), raw.stored_presence(spark, sf))
+
+
+def _history_array(spark, sf):
+    records = files.read_history_array(spark, raw.history_array_files(spark, sf))
+    return imports.import_history(records, raw.stored_presence(spark, sf))
+
+
+def _stored_log(spark, sf, name):
+    """A store that holds the stored tables as its first load."""
+    log = CommitLog(spark, store.scratch_path(spark, name))
+    entries = raw.stored_entries(spark, sf)
+    first = log.begin("stored")
+    first.write(sinks.ENTRIES, entries, ("entry_month",))
+    first.write(sinks.PRESENCE_TABLE, raw.stored_presence(spark, sf))
+    first.write(sinks.BATCH_INDEX, raw.stored_batch_index(spark, sf))
+    first.write("indicators", td.indicators(spark, sf))
+    first.reserve_ids(entries.agg(F.max("id")).first()[0] or 0)
+    first.commit()
+    return log
+
+
+def _load_committed(spark, sf):
+    """Submissions loaded into a store: the first attempt stops behind its first tables, the second commits."""
+    log = _stored_log(spark, sf, "committed")
+    reads = (sinks.ENTRIES, sinks.PRESENCE_TABLE, sinks.BATCH_INDEX, "indicators")
+
+    def ingested(load):
+        return ingest.ingest_submissions(raw.submissions(spark, sf), load.read("indicators"), load.read(sinks.ENTRIES),
+                                         load.read(sinks.PRESENCE_TABLE), batch_index=load.read(sinks.BATCH_INDEX))
+
+    stopped = log.begin("day-1", reads)
+    result = ingested(stopped)
+    stopped.write(sinks.PRESENCE_TABLE, result.presence)
+    stopped.write(sinks.AUDIT_TABLE, result.audit)
+    sinks.run_load(log, "day-1", reads, ingested)
+    return log.read(sinks.ENTRIES).select("id", *ENTRY_COLUMNS, "load_id")
+
+
+def _snapshot_committed(spark, sf):
+    """All tables of a store as of one version, in a backup that runs after a later load; files checked."""
+    log = _stored_log(spark, sf, "committed")
+    version = log.head()
+    later = log.begin("later")
+    later.write(sinks.PRESENCE_TABLE, raw.stored_presence(spark, sf))
+    later.write("indicators", td.indicators(spark, sf), replace=True)
+    later.commit()
+    base, day = store.scratch_path(spark, "backups"), dt.date.fromisoformat(P.SNAPSHOT_DAY)
+    paths = snapshot.write_committed(log, base, day, version)
+    damaged = snapshot.verify(spark, base, day).groupBy("table_name").agg(F.count("*").alias("n"))
+    counts = None
+    for name in sorted(paths):
+        one = snapshot.read_snapshot(spark, base, day, name).agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("table_name"), "n_rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.join(damaged, "table_name", "left").select(
+        "table_name", "n_rows", F.coalesce("n", F.lit(0).cast("long")).alias("damaged_files"))
+
+
+def _exported(spark, sf):
+    """K4: the summary as JSON Lines, read back."""
+    summary = _summary()(spark, sf)
+    path = store.scratch_path(spark, "export")
+    sinks.export_json(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
+def _seed_audit(spark, sf):
+    return dimensions.audit_row([td.rooms(spark, sf), td.slots(spark, sf), td.staff(spark, sf), td.indicators(spark, sf)])
+
+
 def queries() -> dict[str, Query]:
     return {
         "kpi_summary": _summary(),
@@ -134,4 +209,11 @@ def queries() -> dict[str, Query]:
             td.kpi_entries(s, sf), td.indicators(s, sf)),
         "load_dimension": _load_dimension,
         "snapshot_roundtrip": _snapshot,
+        "import_csv_file": lambda s, sf: _csv_file(s, sf).entries,
+        "import_csv_file_stats": lambda s, sf: _csv_file(s, sf).stats,
+        "import_history_array": lambda s, sf: _history_array(s, sf).entries,
+        "load_committed": _load_committed,
+        "snapshot_committed": _snapshot_committed,
+        "export_summary": _exported,
+        "seed_audit": _seed_audit,
     }

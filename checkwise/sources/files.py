@@ -2,12 +2,10 @@
 
 * submissions: JSON Lines, one request body per line (``value``), or a table
   with ``seq/payload/submitted_by/ip`` columns.
-* history: JSON Lines (splittable, preferred at scale) or one JSON array per
-  file (``multiLine``; each file is read by one task — only for small legacy
-  exports).
-* CSV: read as text so every line keeps its record number (blank lines
-  included), numbered per file in file order without a driver pass. Quoted
-  cells with embedded newlines are not supported on this path.
+* history: JSON Lines, or files that hold one JSON array each. Both are read by
+  as many tasks as their bytes call for (``operators/records``).
+* CSV: records as the reference's reader counts them (the header is record 1,
+  blank lines count), also with line breaks inside quoted cells.
 """
 
 from __future__ import annotations
@@ -15,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkwise.operators.numbering import number_lines
+from checkwise.operators.records import csv_format, json_array_format, read_records
+
+_BOM = "^\ufeff"
+_STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,26 +24,28 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history_array(spark: SparkSession, path: str) -> DataFrame:
-    """A file holding one JSON array of records -> one row per record (value =
-    the record re-encoded as compact JSON)."""
-    arr = spark.read.text(path, wholetext=True)
-    return arr.select(F.explode(F.from_json("value", "array<variant>")).alias("v")) \
-              .select(F.to_json("v").alias("value"))
+    """Files holding one JSON array of records each -> one row per record (value = its text without white space outside
+    strings, keys in their order)."""
+    # what stands before the first record is "[", what stands behind the last "]": both at the array's edge, and only there
+    records = read_records(spark, path, json_array_format())
+    bare = lambda c: F.regexp_replace(c, r"\A[\s\x{feff}]+|\s+\z", "")
+    text = bare(F.col("value"))
+    text = F.when(F.col("first"), F.regexp_replace(text, r"\A\[", "")).otherwise(text)
+    text = F.when(F.col("last"), F.regexp_replace(text, r"\]\z", "")).otherwise(text)
+    records = records.select(bare(text).alias("value")).where(F.col("value") != "")
+    return records.select(F.regexp_replace("value", _STRING + r"|\s+", "$1").alias("value"))
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of headered CSV files: (file_path, line_no, value); line 1 of
-    each file is its header."""
-    raw = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"))
-    return number_lines(raw).drop("block_start")
+    """Records of headered CSV files: (file_path, line_no, value); record 1 of each file is its header."""
+    return read_records(spark, path, csv_format()).select(
+        "file_path", F.col("record_no").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
 def csv_header(lines: DataFrame) -> str:
     """The header shared by all files of a CSV import (one row per file is
     collected; differing headers are an error)."""
-    heads = [r[0] for r in lines.where(F.col("line_no") == 1).select("value").distinct().collect()]
+    heads = [r[0] for r in lines.where(F.col("line_no") == 1).select(F.regexp_replace("value", _BOM, "")).distinct().collect()]
     if not heads:
         raise ValueError("Empty CSV")
     if len(heads) > 1:

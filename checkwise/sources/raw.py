@@ -15,7 +15,7 @@ size grows with the tables:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checkwise.operators.numbering import with_row_number
@@ -243,6 +243,44 @@ def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(blanks)
 
 
+#: Records in one CSV or JSON file of the exports below.
+FILE_RECORDS = 100_000
+BREAK_EVERY = 4            # every fourth CSV record has a line break and quotes in its indicator cell
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> str:
+    """The CSV export as files (folder=<n>/), each with a BOM, its own header and FILE_RECORDS records at most. Cells of
+    every fourth record hold a line break and quotes."""
+    key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    return store.materialize_text(spark, "csv_files", key, lambda: build_csv_files(csv_lines(spark, sf_dir)))
+
+
+def build_csv_files(lines: DataFrame) -> DataFrame:
+    place = F.col("line_no") - 2
+    row = (place % FILE_RECORDS + 2).alias("row")
+    broken = F.regexp_replace("value", " Brand", '\n""Brand""')
+    rows = lines.select(F.floor(place / FILE_RECORDS).cast("long").alias("folder"), row,
+                        F.when(F.col("line_no") % BREAK_EVERY == 0, broken).otherwise(F.col("value")).alias("value"))
+    header = rows.select("folder").distinct().select("folder", F.lit(1).cast("long").alias("row"),
+                                                     F.lit("\ufeff" + CSV_HEADER).alias("value"))
+    return rows.unionByName(header)
+
+
+def history_array_files(spark: SparkSession, sf_dir: str) -> str:
+    """The history export as the legacy system keeps it: files that hold one JSON array each (folder=<n>/)."""
+    key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
+    return store.materialize_text(spark, "history_array", key, lambda: build_history_array(history_lines(spark, sf_dir)))
+
+
+def build_history_array(lines: DataFrame) -> DataFrame:
+    files = F.lit(max(1, lines.count() // FILE_RECORDS))
+    rows = lines.select(F.pmod(F.xxhash64("value"), files).alias("folder"), "value")
+    of_file = Window.partitionBy("folder")
+    rows = rows.withColumn("row", F.row_number().over(of_file.orderBy("value")).cast("long")).withColumn("n", F.count("*").over(of_file))
+    return rows.select("folder", "row", F.concat(F.when(F.col("row") == 1, "[").otherwise(","), "value",
+                                                 F.when(F.col("row") == F.col("n"), "]").otherwise("")).alias("value"))
+
+
 def staff_load_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A staff load: every supplier, each sent twice (the first wins),
     some of them already stored (the stored row wins). Column ``seq`` orders."""

@@ -116,6 +116,18 @@ def materialize(spark: SparkSession, name: str, key: str, build,
     return df
 
 
+def materialize_text(spark: SparkSession, name: str, key: str, build) -> str:
+    """The folder of text files ``name`` for ``key``, written once. ``build()`` returns (folder, row, value): the lines of
+    each folder's one file, in the order of ``row``."""
+    path = f"{work_dir(spark)}/tables/{name}-{key}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+        (build().repartition("folder").sortWithinPartitions("folder", "row").select("folder", "value")
+         .write.partitionBy("folder").text(staging))
+        _publish(spark, staging, path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared work folder (for snapshots, staging)."""
     return f"{work_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"

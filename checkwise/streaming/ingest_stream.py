@@ -14,38 +14,24 @@ anti-join against what earlier epochs stored.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from checkwise.plans import ingest, sinks
-from checkwise.schemas import KPI_ENTRIES, PRESENCE
+from checkwise.schemas import KPI_ENTRIES_STORED, PRESENCE
 
 RAW_SCHEMA = "seq LONG, payload STRING, submitted_by STRING, ip STRING"
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
-    df = sinks.read_table(spark, path)
-    if df is None:
-        return spark.createDataFrame([], schema)
-    return df
-
-
 def process_batch(spark: SparkSession, batch: DataFrame, indicators: DataFrame,
                   paths: sinks.TablePaths, load_id: str) -> None:
-    entries = _stored(spark, paths.entries, KPI_ENTRIES)
-    presence = _stored(spark, paths.presence, PRESENCE)
-    # rows this very load wrote in an earlier attempt must not block its replay
-    if "load_id" in entries.columns:
-        entries = entries.where(F.col("load_id") != load_id)
-    if "load_id" in presence.columns:
-        presence = presence.where(F.col("load_id") != load_id)
-    index = sinks.read_table(spark, paths.batch_index)
-    if index is not None and "entry_month" in entries.columns:
-        index = index.where(F.col("load_id") != load_id)
-    else:
-        index = None
-    result = ingest.ingest_submissions(batch, indicators, entries, presence, batch_index=index)
-    sinks.write_result(result, paths, load_id)
+    def compute(load):
+        # rows this very load wrote in an earlier attempt don't block its replay
+        stored = [load.read(name) for name in (sinks.ENTRIES, sinks.PRESENCE_TABLE)]
+        entries, presence = (df if df is not None else spark.createDataFrame([], schema)
+                             for df, schema in zip(stored, (KPI_ENTRIES_STORED, PRESENCE), strict=True))
+        return ingest.ingest_submissions(batch, indicators, entries, presence, batch_index=load.read(sinks.BATCH_INDEX))
+
+    sinks.run_load(paths.log(spark), load_id, (sinks.ENTRIES, sinks.PRESENCE_TABLE, sinks.BATCH_INDEX), compute)
 
 
 def start(spark: SparkSession, source_dir: str, indicators: DataFrame, paths: sinks.TablePaths,

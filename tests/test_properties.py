@@ -14,16 +14,15 @@ from checkwise.sources import testdata as td
 def test_ingest_twice_equals_once(spark, sf_small):
     subs = raw.submissions(spark, sf_small)
     ind = td.indicators(spark, sf_small)
-    paths = sinks.TablePaths.under(tempfile.mkdtemp(prefix="checkwise-prop-"))
+    log = sinks.TablePaths.under(tempfile.mkdtemp(prefix="checkwise-prop-")).log(spark)
     empty_e = spark.createDataFrame([], KPI_ENTRIES)
     empty_p = spark.createDataFrame([], PRESENCE)
     first = ingest.ingest_submissions(subs, ind, empty_e, empty_p)
     n = first.entries.count()
     assert n > 0
-    sinks.write_result(first, paths, "load-1")
-    stored_e = spark.read.parquet(paths.entries)
-    stored_p = spark.read.parquet(paths.presence)
-    index = spark.read.parquet(paths.batch_index)
+    sinks.write_result(first, log.begin("load-1"))
+    stored_e, stored_p, index = (log.read(t) for t in (sinks.ENTRIES, sinks.PRESENCE_TABLE, sinks.BATCH_INDEX))
+    assert stored_e.count() == n
     second = ingest.ingest_submissions(subs, ind, stored_e, stored_p, batch_index=index)
     assert second.entries.count() == 0
     assert second.presence.count() == 0
