@@ -8,18 +8,21 @@ the counts so far. A phrase is counted for one full cycle from its activation,
 then left alone; the scan ends when the phrases activated last have completed
 theirs. Lengths so overlap in time, and phrases of rare words are never counted.
 
-What is active is decided by running counts in hashed slots. Only the slots
-that newly pass the threshold go to the driver, and only one byte a slot (the
-activation step) goes back to the tasks, so both are bounded by MOST_SLOTS
-whatever the corpus. Phrases that share a slot can only start too early, never
-too late: each still gets exactly one full cycle, and its final count is a
-grouped sum over the phrase's own text. So slots change the work, not the result.
-
-Counting is pre-aggregated in every slice of text (equal 128-bit phrase hashes)
-and again before each shuffle; texts are cut into slices at piece borders, so
-memory does not grow with the length of a text that has any. Joins that look up
-the parts of a phrase read stored tables, so adaptive execution can split the
-side of a very common word.
+The scan counts in hashed slots, one byte a slot: each task adds up its own,
+equal blocks of slots are added in a shuffle, the driver keeps the running
+counts, and the slots' activation steps go back to the tasks. All this is
+bounded by MOST_SLOTS whatever the corpus. Phrases that share a slot can only be
+counted too early or too high, never missed: a last pass counts, exactly and
+each under its own words, all phrases whose slots reached the threshold. So the
+number of slots changes the work, not the result.
+
+The last pass counts under the 64-bit keys of the words (hashes of language and
+word) and keeps every frequent key's words; should two words share a key, all is
+run again with other hashes. Its counts are added up within each task before
+they are shuffled. Texts are cut into slices at piece borders, so memory does
+not grow with the length of a text that has any. Joins that look up the parts of
+a phrase read stored tables, so adaptive execution can split the side of a very
+common word.
 
 Defined cases: a null text is empty, a null language is ``und``; null ids,
 repeated rows and equal texts count as they stand; an empty table gives no rows;
@@ -46,8 +49,14 @@ TOP = 2000
 #: A longer phrase absorbs a part of it that occurs outside it in less than this share (per cent).
 ABSORBED = 50
 SHARDS = 4
-#: Slots of the activation tables: twice the first shard's words, within these bounds (one byte each).
+#: Slots (a byte each, by phrase length): one per 16 bytes of text, within these bounds.
 FEWEST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 25
+#: Slots whose counts travel together.
+BLOCK = 1 << 16
+SLICE_BYTES = 1 << 20
+#: Slots of one length, and rows of the last pass, that a task adds up before it passes them on.
+HELD_SLOTS = 1 << 21
+HELD_ROWS = 1 << 19
 NEVER = 255
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -56,124 +65,261 @@ _FOLD[[ord(c) for c in ".,;:!?"]] = ord("\n")
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in "\n\x0b\x0c\r.,;:!?"]] = True
 
-_COUNTS = "lang string, phrase string, n int, key long, c long"
-
-
-def _slices(at: np.ndarray, data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Byte ranges of about ``most`` bytes that end at a text's end or after a piece's end."""
-    lo, end = 0, len(data)
-    while lo < end:
-        hi = min(lo + most, end)
-        if hi < end:
-            edge = int(at[np.searchsorted(at, hi, "right") - 1])
-            inside = np.flatnonzero(_BREAK[data[lo:hi]])
-            cut = max(edge, lo + int(inside[-1]) + 1 if len(inside) else lo)
-            while cut <= lo:  # one piece longer than a slice: up to its end
-                edge = int(at[np.searchsorted(at, hi, "left")])
-                inside = np.flatnonzero(_BREAK[data[hi:min(hi + most, edge)]])
-                hi = hi + int(inside[0]) + 1 if len(inside) else min(hi + most, edge)
-                cut = hi if len(inside) or hi == edge else lo
-            hi = cut
-        yield lo, hi
-        lo = hi
-
-
-def _joined(w: words.Words, first: np.ndarray, n: int) -> pa.Array:
-    """The n words from each word in ``first``, joined by one space."""
-    at = (first[:, None] + np.arange(n)).ravel()
-    size = (w.end - w.start)[at]
-    length = size + 1  # with the space behind
-    length[n - 1::n] -= 1
-    to = np.concatenate(([0], np.cumsum(length)))
-    place = np.arange(to[-1]) - np.repeat(to[:-1], length)
-    out = w.data[np.minimum(np.repeat(w.start[at], length) + place, len(w.data) - 1)]
-    out[place == np.repeat(size, length)] = 0x20
-    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(to[::n].astype(np.int64)), pa.py_buffer(out)).cast(pa.string())
-
-
 class Active:
-    """Activation steps by slot, for phrases of 1 .. longest - 1 words, as of one step."""
+    """Activation steps by slot, for phrases of 1 .. longest - 1 words, and the slots that reached the threshold, as of one step."""
 
-    def __init__(self, step: int, shards: int, started: list[np.ndarray]):
-        self.step, self.shards, self.started = step, shards, started
+    def __init__(self, step: int, shards: int, started: list[np.ndarray], reached: list[np.ndarray], slots: int, salt: int):
+        self.step, self.shards, self.started, self.reached, self.slots, self.salt = step, shards, started, reached, slots, salt
 
     def counted(self, start: np.ndarray) -> np.ndarray:
         """Which phrases, by activation step, this step counts: those within their full cycle."""
         return (start <= self.step) & (self.step < start + self.shards)
 
-    def start(self, n: int, key: np.ndarray) -> np.ndarray:
-        """The activation step that phrases of n words give to those one word longer."""
-        table = self.started[n - 1]
-        return table[(key & np.uint64(len(table) - 1)).astype(np.int64)].astype(np.int16)
+    def slot(self, n: int, key: np.ndarray) -> np.ndarray:
+        return _slot(self.slots, n, key)
+
+    def begin(self, n: int, slot: np.ndarray) -> np.ndarray:
+        """From which step a phrase of n words lets longer ones be counted."""
+        return self.started[n - 1][slot].astype(np.int16)
+
+    def wanting(self, n: int, slot: np.ndarray) -> np.ndarray:
+        """The slots among these whose count is still below the threshold: no others need counting."""
+        return slot[_bit(self.reached[n - 1], slot) == 0]
+
+
+def _slots(slots: int, n: int) -> int:
+    """Slots for phrases of n words: there are fewer distinct words than phrases."""
+    return max(1, slots // 4) if n == 1 else slots
+
+
+def _slot(slots: int, n: int, key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64(_slots(slots, n) - 1)).astype(np.int64)
+
+
+def _bit(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+
+
+class Reached:
+    """The slots that reached the threshold, as bits by phrase length: no phrase outside them can have."""
 
+    def __init__(self, bits: list[np.ndarray], slots: int, salt: int):
+        self.bits, self.slots, self.salt = bits, slots, salt
 
-def _count(w: words.Words, tongue: np.ndarray, longest: int, active: Active) -> Iterator[tuple]:
-    """(first words, n, key, count) of the active phrases of a slice. tongue: a hash of each word's language."""
-    if not len(w.hash):
-        return
+    def counted(self, start: np.ndarray) -> np.ndarray:
+        return start < NEVER
+
+    def slot(self, n: int, key: np.ndarray) -> np.ndarray:
+        return _slot(self.slots, n, key)
+
+    def begin(self, n: int, slot: np.ndarray) -> np.ndarray:
+        return np.where(_bit(self.bits[n - 1], slot), 0, NEVER).astype(np.int16)
+
+
+def _phrases(w: words.Words, one: np.ndarray, longest: int, active) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n, keys, first words, slots) of the phrases of a slice that ``active`` counts; ``one``: the words' keys."""
     breaks = np.concatenate(([0], np.cumsum(_BREAK[w.data])))
-    piece = breaks[w.start]
-    owner = w.owner()
+    piece, owner = breaks[w.start], w.owner()
     follows = (piece[1:] == piece[:-1]) & (owner[1:] == owner[:-1])
-    key, check = words.mix(w.hash ^ tongue, 1), words.mix(w.second() + tongue, 2)
-    first, start = np.arange(len(key)), np.zeros(len(key), np.int16)
-    one_key, one_check = key, check
+    key, first, start = one, np.arange(len(one)), np.zeros(len(one), np.int16)
     for n in range(1, longest + 1):
-        if n > 1:
-            # a phrase of n words: the n-1 from its first word, and the n-1 from its second
-            place = np.full(len(one_key) + 1, -1)
+        slot = active.slot(n, key)
+        now = active.counted(start)
+        if now.any():
+            yield n, key[now], first[now], slot[now]
+        if n < longest:
+            # a phrase of n+1 words: the n from its first word, and the n from its second
+            place = np.full(len(one) + 1, -1)
             place[first] = np.arange(len(first))
-            after = place[np.minimum(first + 1, len(one_key))]
+            after = place[np.minimum(first + 1, len(one))]
             ok = after >= 0
             ok[ok] = follows[first[ok]]
-            head, tail = np.flatnonzero(ok), after[ok]
-            begin = active.start(n - 1, key)
-            start = np.maximum(begin[head], begin[tail])
-            last = first[head] + n - 1
-            key, check = (words.mix(a[head] * words._MULT + one[last], 10 + n) for a, one in ((key, one_key), (check, one_check)))
-            first = first[head]
-            never = start >= NEVER
-            if never.any():
-                key, check, first, start = key[~never], check[~never], first[~never], start[~never]
-        now = active.counted(start)
-        if not now.any():
-            continue
-        k, c, f = key[now], check[now], first[now]
-        order = np.argsort(k, kind="stable")
-        k, c, f = k[order], c[order], f[order]
-        new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))))
-        yield f[new], n, k[new], np.diff(np.append(new, len(k)))
+            begin = active.begin(n, slot)
+            start = np.maximum(begin, begin[after])
+            head = np.flatnonzero(ok & (start < NEVER))
+            first, start = first[head], start[head]
+            key = words.mix(key[head] * words._MULT + one[first + n], 11 + n)
+
+
+def _word_slices(batch: pa.RecordBatch, salt: int) -> Iterator[tuple[words.Words, np.ndarray, pa.Array, np.ndarray]]:
+    """(words, their keys, languages, each word's language) for slices of (lang, text) rows."""
+    lang = batch.column(0).fill_null("und").dictionary_encode()
+    names, code = lang.dictionary, np.asarray(lang.indices)
+    hashed = np.array([int.from_bytes(hashlib.blake2b(f"{salt} {x}".encode(), digest_size=8).digest(), "little")
+                       for x in names.to_pylist()], np.uint64)
+    at, data = words.text_buffer(batch.column(1))
+    for lo, hi in words.slices_at(at, data, _BREAK, SLICE_BYTES):
+        a, b = int(np.searchsorted(at, lo, "right")) - 1, int(np.searchsorted(at, hi, "left"))
+        w = words.split(_FOLD[data[lo:hi]], np.clip(at[a:b + 1], lo, hi) - lo)
+        if len(w.hash):
+            of_word = code[a + w.owner()]
+            yield w, words.mix(w.hash ^ hashed[of_word], 1 + salt), names, of_word
+
+
+class Tally:
+    """Counts by slot of one phrase length, as sorted slots and counts (saturating at 255)."""
+
+    def __init__(self):
+        self.slots: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, slot: np.ndarray) -> None:
+        slot, count = np.unique(slot, return_counts=True)
+        self.slots.append(slot.astype(np.uint32))
+        self.counts.append(np.minimum(count, 255).astype(np.uint8))
+        self.size += len(slot)
+
+    def merge(self) -> None:
+        slot, count = np.concatenate(self.slots), np.concatenate(self.counts)
+        order = np.argsort(slot, kind="stable")
+        slot, count = slot[order], count[order]
+        at = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+        self.slots, self.counts = [slot[at]], [np.minimum(np.add.reduceat(count, at, dtype=np.int64), 255).astype(np.uint8)]
+        self.size = len(at)
+
+    def blocks(self, n: int) -> Iterator[pa.RecordBatch]:
+        """One row per block of slots: the slots' places in it (two bytes each), then their counts."""
+        self.merge()
+        slot, count = self.slots[0], self.counts[0]
+        edges = np.flatnonzero(np.diff(slot // BLOCK)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(slot)], strict=True):
+            body = (slot[lo:hi] % BLOCK).astype("<u2").tobytes() + count[lo:hi].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([int(slot[lo]) // BLOCK], pa.int32()),
+                                              pa.array([body], pa.binary())], ["n", "block", "counts"])
 
 
 def _counter(longest: int, sent):
+    """Arrow function: (lang, text) -> the slots' counts of one task, in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = sent.value
+        held: dict[int, Tally] = {}
+        for batch in batches:
+            for w, one, _, _ in _word_slices(batch, active.salt):
+                for n, _, _, slot in _phrases(w, one, longest, active):
+                    slot = active.wanting(n, slot)
+                    if not len(slot):
+                        continue
+                    tally = held.setdefault(n, Tally())
+                    tally.add(slot)
+                    if tally.size > HELD_SLOTS:
+                        tally.merge()
+                        if tally.size > HELD_SLOTS // 2:
+                            yield from held.pop(n).blocks(n)
+        for n, tally in held.items():
+            yield from tally.blocks(n)
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: sums of equal blocks that met in one task, one byte a slot."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+    for batch in batches:
+        for n, block, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            size = len(body) // 3
+            place, new = np.frombuffer(body, "<u2", size), np.frombuffer(body, np.uint8, size, 2 * size)
+            total = held.setdefault((n, block), np.zeros(BLOCK, np.uint8))
+            total[place] = np.minimum(total[place].astype(np.int16) + new, 255)
+    for (n, block), counts in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([block], pa.int32()),
+                                          pa.array([counts.tobytes()], pa.binary())], ["n", "block", "counts"])
+
+
+def _scan(corpus: DataFrame, least: int, longest: int, shards: int, slots: int, salt: int) -> Reached:
+    """The cyclic scan: which slots reached ``least``, each phrase counted for one cycle from its activation."""
+    spark = corpus.sparkSession
+    started = [np.full(_slots(slots, n), NEVER, np.uint8) for n in range(1, longest)]
+    running = [np.zeros(_slots(slots, n), np.uint8) for n in range(1, longest + 1)]
+    step, until = 0, shards
+    while step < until:
+        reached = [np.packbits(t >= least, bitorder="little") for t in running]
+        sent = spark.sparkContext.broadcast(Active(step, shards, started, reached, slots, salt))
+        found = corpus.filter(F.col("shard") == step % shards).select("lang", "text").mapInArrow(
+            _counter(longest, sent), "n int, block int, counts binary")
+        total = stored(found.repartition("n", "block").mapInArrow(_added, found.schema), "slots")
+        for r in total.toLocalIterator():
+            block = slice(r.block * BLOCK, (r.block + 1) * BLOCK)
+            now = running[r.n - 1][block]
+            now[:] = np.minimum(now.astype(np.int16) + np.frombuffer(r.counts, np.uint8)[:len(now)], 255)
+            if r.n < longest:
+                start = started[r.n - 1][block]
+                new = (now >= least) & (start == NEVER)
+                start[new] = step + 1
+                if new.any():
+                    until = max(until, step + 1 + shards)
+        sent.destroy()
+        step += 1
+    return Reached([np.packbits(t >= least, bitorder="little") for t in running], slots, salt)
+
+
+def _schema(longest: int) -> str:
+    keys = ", ".join(f"k{i} long" for i in range(1, longest + 1))
+    return f"n int, {keys}, lang string, word string, c long"
+
+
+def _exact(longest: int, sent):
+    """Arrow function: (lang, text) -> counts of the phrases in reached slots (keys of their words; the word itself for
+    n = 1) and of all words of a language (n = 0), added up within the task."""
+    columns = ["n", *[f"k{i}" for i in range(1, longest + 1)], "lang", "word"]
+
+    def rows(n, keys, lang, word, count):
+        size = len(count)
+        blank = [pa.array(np.zeros(size, np.int64))] * (longest - len(keys))
+        none = pa.nulls(size, pa.string())
+        return pa.Table.from_arrays([pa.array(np.full(size, n, np.int32)), *map(pa.array, keys), *blank,
+                                     none if lang is None else lang, none if word is None else word, pa.array(count)], [*columns, "c"])
+
+    def counted(w, one, names, of_word, reached):
+        yield rows(0, [], names, None, np.bincount(of_word, minlength=len(names)).astype(np.int64))
+        for n, key, first, slot in _phrases(w, one, longest, reached):
+            kept = reached.begin(n, slot) < NEVER
+            key, first = key[kept], first[kept]
+            order = np.argsort(key, kind="stable")
+            key, first = key[order], first[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            for i in range(n):  # equal phrase keys of unequal words stay apart
+                new[1:] |= one[first[1:] + i] != one[first[:-1] + i]
+            if n == 1:
+                new[1:] |= of_word[first[1:]] != of_word[first[:-1]]
+            at = np.flatnonzero(new)
+            count, first = np.diff(np.append(at, len(key))), first[at]
+            keys = [one[first + i].view(np.int64) for i in range(n)]
+            if n > 1:
+                yield rows(n, keys, None, None, count)
+            else:
+                word = pa.array([w.data[a:b].tobytes() for a, b in zip(w.start[first], w.end[first], strict=True)], pa.binary())
+                yield rows(n, keys, names.take(pa.array(of_word[first])), word.cast(pa.string()), count)
+
+    def added(held: list[pa.Table]) -> pa.Table:
+        total = pa.concat_tables(held).group_by(columns, use_threads=False).aggregate([("c", "sum")])
+        return total.select([*columns, "c_sum"]).rename_columns([*columns, "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached, held, size = sent.value, [], 0
         for batch in batches:
-            lang = batch.column(0).fill_null("und").dictionary_encode()
-            names = lang.dictionary
-            hashed = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little")
-                               for x in names.to_pylist()], np.uint64)
-            code = np.asarray(lang.indices)
-            at, data = words.text_buffer(batch.column(1))
-            for lo, hi in _slices(at, data, words.SLICE_BYTES):
-                a, b = int(np.searchsorted(at, lo, "right")) - 1, int(np.searchsorted(at, hi, "left"))
-                w = words.split(_FOLD[data[lo:hi]], np.clip(at[a:b + 1], lo, hi) - lo)
-                of_word = code[a + w.owner()]
-                for first, n, key, count in _count(w, hashed[of_word], longest, active):
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array(of_word[first])), _joined(w, first, n),
-                         pa.array(np.full(len(first), n, np.int32)), pa.array(key.view(np.int64)), pa.array(count)],
-                        ["lang", "phrase", "n", "key", "c"])
+            for w, one, names, of_word in _word_slices(batch, reached.salt):
+                for table in counted(w, one, names, of_word, reached):
+                    held.append(table)
+                    size += len(table)
+                if size > HELD_ROWS:
+                    held = [added(held)]
+                    if len(held[0]) > HELD_ROWS // 2:
+                        yield from held.pop().to_batches(max_chunksize=1 << 16)
+                    size = sum(map(len, held))
+        if held:
+            yield from added(held).to_batches(max_chunksize=1 << 16)
 
     return run
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang",
-                  text_col: str = "text", shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(counts, totals): counts(lang, phrase, n, c) holds all phrases of 1 .. longest words with c >= least,
-    totals(lang, words) all word occurrences."""
-    if shards * longest >= NEVER:
-        raise ValueError("shards * longest must stay below 255")
+                  text_col: str = "text", shards: int = SHARDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, vocabulary, totals). counts(n, k1 .. k<longest>, c): all phrases of 1 .. longest words with c >= least, as
+    the keys of their words (0 behind the last); vocabulary(key, lang, word): the words among them; totals(lang, words)."""
+    if shards * longest >= NEVER or not 0 < least < 256:
+        raise ValueError("shards * longest must stay below 255 and the threshold between 1 and 255")
     spark = docs.sparkSession
     ship(spark)
     dealt = shared_dir(spark, "shards")
@@ -181,57 +327,25 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
                  (F.monotonically_increasing_id() % shards).cast("int").alias("shard"))
      .write.partitionBy("shard").parquet(dealt))
     corpus = spark.read.schema("lang string, text string, shard int").parquet(dealt)
-
-    base, paths, slots, running = shared_dir(spark, "phrases"), [], FEWEST_SLOTS, None
-    started = [np.full(slots, NEVER, np.uint8) for _ in range(longest - 1)]
-    step, until = 0, shards
-    while step < until:
-        sent = spark.sparkContext.broadcast(Active(step, shards, started))
-        counted = (corpus.filter(F.col("shard") == step % shards).select("lang", "text")
-                   .mapInArrow(_counter(longest, sent), _COUNTS).groupBy("key", "n", "lang", "phrase").agg(F.sum("c").alias("c")))
-        paths.append(f"{base}/step={step}")
-        counted.write.parquet(paths[-1])
-        sent.unpersist()
-        now = spark.read.schema(counted.schema).parquet(paths[-1])
-        if step == 0 and longest > 1:
-            slots = _slots(now.filter("n = 1").count())
-            started = [np.full(slots, NEVER, np.uint8) for _ in range(longest - 1)]
-        running, reached = _running(running, now, slots, least, longest)
-        for n, slot in reached:
-            started[n - 1][slot] = step + 1
-            until = max(until, step + 1 + shards)
-        step += 1
-
-    every = spark.read.schema(counted.schema).parquet(*paths)
-    counts = stored(every.groupBy("lang", "phrase", "n").agg(F.sum("c").alias("c")).filter(F.col("c") >= least), "counts")
-    totals = stored(every.filter("n = 1").groupBy("lang").agg(F.sum("c").alias("words")), "totals")
-    return counts, totals
-
-
-def _slots(distinct: int) -> int:
-    return min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (2 * distinct).bit_length()))
-
-
-def _running(before: DataFrame | None, now: DataFrame, slots: int, least: int,
-             longest: int) -> tuple[DataFrame, list[tuple[int, np.ndarray]]]:
-    """The running counts by slot after a step, and the slots that reached ``least`` in it, by phrase length."""
-    slot = F.col("key").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")
-    new = now.filter(F.col("n") < longest).select("n", slot, F.col("c").alias("new"), F.lit(0).cast("long").alias("old"))
-    if before is not None:
-        new = new.unionByName(before.select("n", "slot", F.lit(0).cast("long").alias("new"), F.col("c").alias("old")))
-    total = new.groupBy("n", "slot").agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
-    after = stored(total.select("n", "slot", (F.col("new") + F.col("old")).alias("c"), "old"), "running")
-    passed = after.filter((F.col("c") >= least) & (F.col("old") < least)).select("n", "slot").toArrow()
-    n, at = (np.asarray(passed.column(i)) for i in (0, 1))
-    return after.drop("old"), [(int(k), at[n == k]) for k in np.unique(n)]
-
-
-def _words(phrase: str) -> Column:
-    return F.split(phrase, " ")
-
-
-def _part(at, n) -> Column:
-    return F.array_join(F.slice("w", at, n), " ")
+    size = corpus.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (size // 16).bit_length()))
+    keys = [f"k{i}" for i in range(1, longest + 1)]
+    for salt in range(9):
+        reached = spark.sparkContext.broadcast(_scan(corpus, least, longest, shards, slots, salt))
+        exact = corpus.select("lang", "text").mapInArrow(_exact(longest, reached), _schema(longest))
+        exact = stored(exact.groupBy("n", *keys, "lang", "word").agg(F.sum("c").alias("c")).filter(f"n = 0 or c >= {least}"), "counts")
+        vocabulary = exact.filter("n = 1").select(F.col("k1").alias("key"), "lang", "word")
+        if not vocabulary.groupBy("key").count().filter("count > 1").head(1):
+            break
+    else:
+        raise RuntimeError("words share a key under every salt")
+    totals = exact.filter("n = 0").select("lang", F.col("c").alias("words"))
+    return exact.filter("n > 0").select("n", *keys, "c"), vocabulary, totals
+
+
+def _phrase(first: int, last: int, longest: int) -> list[Column]:
+    """The keys of the words first .. last of a phrase as a phrase of its own."""
+    return [(F.col(f"k{first + i}") if first + i <= last else F.lit(0).cast("long")).alias(f"k{i + 1}") for i in range(longest)]
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, absorbed: int = ABSORBED,
@@ -241,29 +355,46 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     a, l, r: occurrences of the phrase and of the two parts of its lowest-scoring cut;
     score: floor(10^6 * a * a / (l * r)); n: words of the language.
     """
-    counts, totals = phrase_counts(docs, least, longest, lang_col, text_col, shards)
-    candidates = counts.filter("n > 1").select("lang", "phrase", "n", F.col("c").alias("a"), _words("phrase").alias("w"))
-    parts = counts.select("lang", F.col("phrase").alias("part"), F.col("c").alias("f"))
-
-    cut = candidates.select("lang", "phrase", "a", "n", "w", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
-    cut = cut.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("head"),
-                     _part(F.col("k") + 1, F.col("n") - F.col("k")).alias("tail"))
-    cut = (cut.join(parts.select("lang", F.col("part").alias("head"), F.col("f").alias("l")), ["lang", "head"])
-           .join(parts.select("lang", F.col("part").alias("tail"), F.col("f").alias("r")), ["lang", "tail"]))
+    counts, word, totals = phrase_counts(docs, least, longest, lang_col, text_col, shards)
+    keys = [f"k{i}" for i in range(1, longest + 1)]
+    cuts, parts = [], []
+    for n in range(2, longest + 1):
+        of = counts.filter(F.col("n") == n)
+        for k in range(1, n):
+            cuts.append(of.select("n", F.lit(k).alias("k"), *keys, F.col("c").alias("a"),
+                                  F.struct(*_phrase(1, k, longest)).alias("head"), F.struct(*_phrase(k + 1, n, longest)).alias("tail")))
+        for m in range(2, n):
+            parts += [of.select(*_phrase(i, i + m - 1, longest), "c") for i in range(1, n - m + 2)]
+    cut = _all(cuts)
+    if cut is None:
+        raise ValueError("phrases have two words at least")
+    for side, name in (("head", "l"), ("tail", "r")):
+        found = counts.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], F.col("c").alias(name))
+        cut = cut.select("*", *[F.col(side)[k].alias(f"{side}_{k}") for k in keys]).drop(side)
+        cut = cut.join(found, [f"{side}_{k}" for k in keys]).drop(*[f"{side}_{k}" for k in keys])
     whole = lambda c: F.col(c).cast("decimal(38,0)")
     cut = cut.withColumns({"up": F.lit(1_000_000).cast("decimal(38,0)") * whole("a") * whole("a"), "down": whole("l") * whole("r")})
-    best = (cut.withColumn("score", F.expr("cast(up div down as long)")).groupBy("lang", "phrase", "a")
+    best = (cut.withColumn("score", F.expr("cast(up div down as long)")).groupBy("n", *keys, "a")
             .agg(F.min(F.struct("score", "k", "l", "r")).alias("best")))
-
-    inside = (candidates.select("lang", "a", "n", "w", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("n") - 1))).alias("m"))
-              .filter("m < n").select("lang", "a", "w", "m", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("m") + 1)).alias("at"))
-              .select("lang", "a", _part(F.col("at"), F.col("m")).alias("phrase"))
-              .groupBy("lang", "phrase").agg(F.max("a").alias("longer")))
-    kept = best.join(inside, ["lang", "phrase"], "left").filter(
-        F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("a")))
-
-    order = W.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select(
+    if parts:
+        longer = _all(parts).groupBy(*keys).agg(F.max("c").alias("longer"))
+        best = best.join(longer, keys, "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("a"))).drop("longer")
+
+    # the language first; only phrases that can be in the report get their words
+    ranked = best.join(word.select(F.col("key").alias("k1"), "lang", F.col("word").alias("w1")), "k1")
+    by_lang = W.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"))
+    ranked = ranked.withColumn("rank", F.rank().over(by_lang)).filter(F.col("rank") <= top).drop("rank")
+    for i in range(2, longest + 1):
+        ranked = ranked.join(word.select(F.col("key").alias(f"k{i}"), F.col("word").alias(f"w{i}")), f"k{i}", "left")
+    named = ranked.withColumn("phrase", F.concat_ws(" ", *[F.col(f"w{i}") for i in range(1, longest + 1)]))
+    ranked = named.withColumn("rank", F.row_number().over(by_lang.orderBy(F.desc("best.score"), F.desc("a"), "phrase")))
+    return ranked.filter(F.col("rank") <= top).join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"),
         F.col("words").alias("n"), F.col("best.score").alias("score"))
+
+
+def _all(frames: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for f in frames:
+        out = f if out is None else out.unionByName(f)
+    return out

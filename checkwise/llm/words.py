@@ -21,8 +21,6 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BYTE_2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULT_2 = np.uint64(0xD1342543DE82EF95)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -53,10 +51,6 @@ class Words:
         """The text's index in the slice, for each word."""
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
-    def second(self) -> np.ndarray:
-        """Another 64 bits per word, from bytes and powers independent of ``hash``."""
-        return _hash(self.data, _SPACE[self.data], self.start, self.end, _BYTE_2, _MULT_2)
-
     def text(self, i: int) -> bytes:
         return self.data[self.text_at[i] : self.text_at[i + 1]].tobytes()
 
@@ -82,6 +76,25 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
+def slices_at(at: np.ndarray, data: np.ndarray, breaks: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about ``most`` bytes that end at a text's end or behind a byte of ``breaks`` (a table of 256 flags)."""
+    lo, end = 0, len(data)
+    while lo < end:
+        hi = min(lo + most, end)
+        if hi < end:
+            edge = int(at[np.searchsorted(at, hi, "right") - 1])
+            inside = np.flatnonzero(breaks[data[lo:hi]])
+            cut = max(edge, lo + int(inside[-1]) + 1 if len(inside) else lo)
+            while cut <= lo:  # no such byte in a whole slice: up to the next
+                edge = int(at[np.searchsorted(at, hi, "left")])
+                inside = np.flatnonzero(breaks[data[hi:min(hi + most, edge)]])
+                hi = hi + int(inside[0]) + 1 if len(inside) else min(hi + most, edge)
+                cut = hi if len(inside) or hi == edge else lo
+            hi = cut
+        yield lo, hi
+        lo = hi
+
+
 def split(data: np.ndarray, text_at: np.ndarray) -> Words:
     space = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -100,7 +113,7 @@ def split(data: np.ndarray, text_at: np.ndarray) -> Words:
     return Words(data, text_at, start, end, at, _hash(data, space, start, end))
 
 
-def _hash(data, space, start, end, byte=_BYTE, mult=_MULT) -> np.ndarray:
+def _hash(data, space, start, end) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
     length = end - start
@@ -109,8 +122,8 @@ def _hash(data, space, start, end, byte=_BYTE, mult=_MULT) -> np.ndarray:
     longest = int(length.max())
     power = np.ones(longest, np.uint64)
     if longest > 1:
-        power[1:] = np.multiply.accumulate(np.full(longest - 1, mult, np.uint64))
-    value = byte[data[~space]] * power[place]
+        power[1:] = np.multiply.accumulate(np.full(longest - 1, _MULT, np.uint64))
+    value = _BYTE[data[~space]] * power[place]
     return mix(np.add.reduceat(value, first) + length.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 

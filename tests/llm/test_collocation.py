@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from checkwise.llm import collocation, words
@@ -71,11 +72,13 @@ def test_phrases_brute(spark, seed, least, shards):
 
 def test_phrases_longer_and_top(spark, monkeypatch):
     """Other lengths, a short report, slices cut inside texts, and slots that all phrases share."""
-    monkeypatch.setattr(words, "SLICE_BYTES", 50)
+    monkeypatch.setattr(collocation, "SLICE_BYTES", 50)
+    monkeypatch.setattr(collocation, "HELD_SLOTS", 20)
+    monkeypatch.setattr(collocation, "HELD_ROWS", 30)
     rows = _random_rows(7, 60)
     assert _found(collocation.collocations(_table(spark, rows, 2), least=4, longest=5, top=7)) == _brute(rows, 4, 5, 7)
-    monkeypatch.setattr(collocation, "FEWEST_SLOTS", 1)
-    monkeypatch.setattr(collocation, "MOST_SLOTS", 1)
+    monkeypatch.setattr(collocation, "FEWEST_SLOTS", 8)
+    monkeypatch.setattr(collocation, "MOST_SLOTS", 8)
     assert _found(collocation.collocations(_table(spark, rows, 3), least=4)) == _brute(rows, 4)
 
 
@@ -85,17 +88,32 @@ def test_phrases_hot_pair_and_empty(spark):
     assert collocation.collocations(_table(spark, rows).limit(0)).collect() == []
 
 
-def test_exact_beyond_64_bits(spark):
+def test_exact_beyond_64_bits(spark, monkeypatch):
     """The score's products: 10^6 * a * a and l * r need more than 64 bits."""
     a, l, r = 3_000_000_019, 5_000_000_029, 7_000_000_001
-    counts = spark.createDataFrame([("en", "p q", 2, a), ("en", "p", 1, l), ("en", "q", 1, r)], "lang string, phrase string, n int, c long")
+    counts = spark.createDataFrame([(2, 8, 9, 0, a), (1, 8, 0, 0, l), (1, 9, 0, 0, r)], "n int, k1 long, k2 long, k3 long, c long")
+    vocabulary = spark.createDataFrame([(8, "en", "p"), (9, "en", "q")], "key long, lang string, word string")
     totals = spark.createDataFrame([("en", l + r)], "lang string, words long")
-    keep = collocation.phrase_counts
-    try:
-        collocation.phrase_counts = lambda *_: (counts, totals)
-        assert _found(collocation.collocations(counts)) == [("en", 1, "p q", a, l, r, l + r, 10**6 * a * a // (l * r))]
-    finally:
-        collocation.phrase_counts = keep
+    monkeypatch.setattr(collocation, "phrase_counts", lambda *_: (counts, vocabulary, totals))
+    assert _found(collocation.collocations(counts)) == [("en", 1, "p q", a, l, r, l + r, 10**6 * a * a // (l * r))]
+
+
+def test_words_that_share_a_key(spark, monkeypatch):
+    """Equal hashes of unlike words are found, and all is run again with others."""
+    exact, salts = collocation._exact, []
+
+    def clashing(longest, sent):
+        salts.append(sent.value.salt)
+        run = exact(longest, sent)
+        if sent.value.salt:
+            return run
+        return lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([5] * len(b)), *b.columns[2:]], b.schema.names)
+                                for b in run(batches))
+
+    monkeypatch.setattr(collocation, "_exact", clashing)
+    rows = _random_rows(9, 40)
+    assert _found(collocation.collocations(_table(spark, rows), least=3)) == _brute(rows, 3)
+    assert salts == [0, 1]
 
 
 def test_slices_end_at_pieces():
@@ -104,7 +122,7 @@ def test_slices_end_at_pieces():
         texts = ["".join(g.choice("ab .\n") for _ in range(g.randrange(0, 40))) for _ in range(g.randrange(1, 8))]
         at = np.cumsum([0] + [len(t) for t in texts])
         data = np.frombuffer("".join(texts).encode(), np.uint8)
-        cuts = list(collocation._slices(at, data, g.randrange(1, 20)))
+        cuts = list(words.slices_at(at, data, collocation._BREAK, g.randrange(1, 20)))
         assert [lo for lo, _ in cuts][1:] == [hi for _, hi in cuts][:-1]
         assert not len(data) or (cuts[0][0] == 0 and cuts[-1][1] == len(data))
         assert all(hi in at or chr(data[hi - 1]) in ".\n" for _, hi in cuts)
