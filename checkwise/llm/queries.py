@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkwise.llm import bpe, collocation, html, linededup, minhash, packing, pii, quality, substring, topk, warc, whitening
+from checkwise.llm import bpe, collocation, html, linededup, minhash, packing, pii, quality, substring, topk, toxicity, warc, whitening
 
 MERGES = "byte_bpe_multi_50k.tiktoken"
 PACKING_VOCABULARY = "byte_bpe_50k.json"
@@ -69,6 +69,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -81,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [op1_pii, op2_minhash_near_dedup, op3_exact_topk, op4_line_dedup, op5_html_extraction, op6_substring_dedup,
-           op7_warc, op8_packing, op9_quality_rules, op10_bpe, op11_phrases, op13_embedding_whitening, pipeline]
+           op7_warc, op8_packing, op9_quality_rules, op10_bpe, op11_phrases, op12_toxicity, op13_embedding_whitening, pipeline]
     return {f.__name__: f for f in ops}
 
 
