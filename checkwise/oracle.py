@@ -99,8 +99,8 @@ _KPI_COLS = """staff_id, staff_name, room_code, is_admin, {batches}
   CAST(tot AS DOUBLE) / 100.0 AS total_kpi"""
 
 
-def _range(d0: str, d1: str, room: str | None = None) -> str:
-    w = f"entry_date BETWEEN DATE '{d0}' AND DATE '{d1}'"
+def _range(d0: str | None, d1: str | None, room: str | None = None) -> str:
+    w = f"entry_date BETWEEN DATE '{d0}' AND DATE '{d1}'" if d0 else "entry_date IS NOT NULL"
     if room:
         w += f" AND room_code = '{room}'"
     return w
@@ -166,15 +166,15 @@ ACTIVE = {
 
 def oracle_sql() -> dict[str, str]:
     q = {
-        "kpi_summary": summary_sql(P.FULL_FROM, P.FULL_TO),
-        "kpi_summary_room": summary_sql(P.FULL_FROM, P.FULL_TO, P.ROOM),
-        "kpi_summary_page": summary_sql(P.FULL_FROM, P.FULL_TO, None, P.PAGE, P.PER_PAGE),
+        "kpi_summary": summary_sql(None, None),
+        "kpi_summary_room": summary_sql(None, None, P.ROOM),
+        "kpi_summary_page": summary_sql(None, None, None, P.PAGE, P.PER_PAGE),
         "kpi_monthly": monthly_sql(*P.month_bounds(P.YEAR, P.MONTH)),
         "kpi_monthly_room": monthly_sql(*P.month_bounds(P.YEAR, P.MONTH), P.ADMIN_ROOM),
-        "top_violations": violations_sql(P.FULL_FROM, P.FULL_TO, None, P.LIMIT),
-        "top_violations_room": violations_sql(P.FULL_FROM, P.FULL_TO, P.ROOM, P.LIMIT),
+        "top_violations": violations_sql(None, None, None, P.LIMIT),
+        "top_violations_room": violations_sql(None, None, P.ROOM, P.LIMIT),
         "daily_report": daily_sql(P.DAY_ISO, P.ROOM),
-        "kpi_bands": bands_sql(P.FULL_FROM, P.FULL_TO),
+        "kpi_bands": bands_sql(None, None),
         "daily_view": f"""WITH d AS ({daily_sql(P.DAY_ISO, P.ROOM)})
 SELECT id, slot_code, coalesce(staff_name, staff_id) AS display_name, scope, indicator_text,
   CASE WHEN check_value = 1 THEN 'Yes' ELSE 'No' END AS check_label, weight,
@@ -399,7 +399,7 @@ _ENTRY_ALL = ("id, batch_id, entry_date, room_code, slot_code, staff_id, scope,
 
 
 def more_sql() -> dict[str, str]:
-    collated = f"""WITH s AS ({summary_sql(P.FULL_FROM, P.FULL_TO)})
+    collated = f"""WITH s AS ({summary_sql(None, None)})
 SELECT staff_id, staff_name, lower(room_code) AS room_code, is_admin, team_kpi, ind_kpi, total_kpi FROM s"""
     ind_cols = ("i.id, i.room_code, i.slot_code, i.scope, i.category, i.indicator_text, "
                 "CAST(i.weight AS DOUBLE) AS weight, i.sort_order")
@@ -464,7 +464,7 @@ SELECT (SELECT max(id) FROM kpi_entries WHERE CAST(substr(batch_id, 3) AS BIGINT
 UNION ALL SELECT 'kpi_batch_presence', COUNT(*), 0 FROM (SELECT DISTINCT batch_id, staff_id FROM old)
 UNION ALL SELECT 'batch_index', COUNT(*), 0 FROM (SELECT DISTINCT batch_id, date_trunc('month', entry_date) AS m FROM old)
 UNION ALL SELECT 'indicators', COUNT(*), 0 FROM indicators""",
-        "export_summary": summary_sql(P.FULL_FROM, P.FULL_TO),
+        "export_summary": summary_sql(None, None),
         "seed_audit": _with() + """SELECT 'anonymous' AS "user", 'seed_config' AS action, '' AS batch_id, '' AS ip,
   (SELECT COUNT(*) FROM rooms) + (SELECT COUNT(*) FROM slots) + (SELECT COUNT(*) FROM staff)
   + (SELECT COUNT(*) FROM indicators) AS rows_saved, CAST(NULL AS VARCHAR) AS note""",

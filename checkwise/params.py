@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import calendar
 
-# Whole data range of the test tables (orders run 1995-01-01 .. 2001-08-01).
-FULL_FROM = "1995-01-01"
-FULL_TO = "2001-12-31"
 ROOM = "AMERICA"
 ADMIN_ROOM = "MIDDLE EAST"
 PAGE = 2

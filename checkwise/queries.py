@@ -21,10 +21,17 @@ from checkwise.sources.commitlog import CommitLog
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _whole_range(entries: DataFrame) -> tuple[str, str]:
+    """The first and the last day that the fact table holds."""
+    first = entries.agg(F.min("entry_date").cast("string").alias("a"), F.max("entry_date").cast("string").alias("b")).first()
+    return (first.a, first.b) if first.a else ("1970-01-01", "1970-01-01")
+
+
 def _summary(room=None, page=None, per_page=None) -> Query:
     def q(spark, sf):
-        return reports.kpi_summary(td.kpi_entries(spark, sf), td.staff(spark, sf), td.rooms(spark, sf),
-                                   P.FULL_FROM, P.FULL_TO, room=room, page=page, per_page=per_page)
+        entries = td.kpi_entries(spark, sf)
+        return reports.kpi_summary(entries, td.staff(spark, sf), td.rooms(spark, sf), *_whole_range(entries),
+                                   room=room, page=page, per_page=per_page)
     return q
 
 
@@ -37,8 +44,8 @@ def _monthly(room=None) -> Query:
 
 def _violations(room=None) -> Query:
     def q(spark, sf):
-        return reports.top_violations(td.kpi_entries(spark, sf), P.FULL_FROM, P.FULL_TO,
-                                      room=room, limit=P.LIMIT)
+        entries = td.kpi_entries(spark, sf)
+        return reports.top_violations(entries, *_whole_range(entries), room=room, limit=P.LIMIT)
     return q
 
 
@@ -70,7 +77,7 @@ def _csv(spark, sf):
 
 def _collated(spark, sf):
     return reports.kpi_summary(raw.entries_with_mixed_keys(spark, sf), td.staff(spark, sf),
-                               td.rooms(spark, sf), P.FULL_FROM, P.FULL_TO,
+                               td.rooms(spark, sf), *_whole_range(td.kpi_entries(spark, sf)),
                                key_collation=P.COLLATION)
 
 
