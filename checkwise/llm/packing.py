@@ -2,12 +2,13 @@
 
 1. Documents become pieces of at most SIZE tokens; their length histogram (at
    most SIZE counts) is all that the driver sees.
-2. Filling largest-first gives a first plan. Where it is not within TOLERANCE of
-   the tokens' own bound, the configuration LP (fewest sequences whose pieces
-   cover the histogram) is solved by column generation, starting from that
-   plan's patterns: the simplex duals price the lengths, a knapsack dynamic
-   program finds the best fillings of one sequence, and the same duals give a
-   lower bound. It ends when the LP is within TOLERANCE of its bound.
+2. Filling largest-first gives a first plan. Unless it needs no more sequences
+   than the tokens themselves (so that no plan can be shorter), the configuration
+   LP (fewest sequences whose pieces cover the histogram) is solved by column
+   generation, starting from that plan's patterns: the simplex duals price the
+   lengths, a knapsack dynamic program finds the best fillings of one sequence,
+   and the same duals give a lower bound. It ends when the LP is within TOLERANCE
+   of its bound, or after MOST_WORK.
 3. Fractional uses are rounded down, then up while pieces last; what is left is
    filled largest-first. The shorter plan counts, a bounded list of patterns.
 4. Pieces are numbered within their length (salted, so a hot length is split)
@@ -19,7 +20,9 @@ packed one by one, repeated ids and rows too; null ids stay null.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from checkwise.llm.bpe import kept_table, shared_file, slice_texts
+from checkwise.llm.bpe import Pieces, shared_file, slice_texts
 from checkwise.llm.common import ship, stored
 
 SIZE = 2048
@@ -40,6 +43,8 @@ TOLERANCE = 0.001
 #: Fillings taken from one knapsack table; pivots between two inversions of the basis.
 FILLINGS = 64
 PIVOTS = 500
+#: Entries of the basis that all pivots together may touch: the driver's work is bounded, and any state is a cover.
+MOST_WORK = 16 << 30
 SALTS = 128
 #: Text of one block.
 BLOCK_BYTES = 4 << 20
@@ -85,6 +90,52 @@ def json_solver(path: str):
     return solve
 
 
+#: Texts of these characters only (and not longer) are encoded from the ranks alone: there, both libraries cut words alike.
+_PLAIN = re.compile("[\n\t -~\u00c0-\u00ff]*")
+PLAIN_CHARS = 200_000
+
+
+def byte_level_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and ids of a byte-level BPE in a tokenizers file (ids rise with the merges' order), without special tokens."""
+    with open(path, encoding="utf-8") as f:
+        content = json.load(f)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+    special = {t["content"] for t in content.get("added_tokens", [])}
+    return {bytes(byte_of[c] for c in token): i for token, i in content["model"]["vocab"].items() if token not in special}
+
+
+class Encoder:
+    """Ids of texts (little-endian 32-bit bytes): plain texts from the ranks, all others by the tokenizers library."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.plain = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_level_ranks(path),
+                                       special_tokens={})
+        self.other = Pieces(json_solver(path))
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for t in texts:
+            if len(t) <= PLAIN_CHARS and _PLAIN.fullmatch(t):
+                yield np.array(self.plain.encode_ordinary(t), "<u4").tobytes()
+            else:
+                yield next(iter(self.other.encode([t])))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def kept_encoder(name: str, path: str) -> Encoder:
+    """The worker's encoder of a vocabulary, kept from task to task."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(path)
+    return _ENCODERS[name]
+
+
 def pieces_of(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32): each document's ids and END_ID, cut to at most ``size``.
 
@@ -94,7 +145,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, size
     name = shared_file(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = kept_table(name, lambda: json_solver(SparkFiles.get(name)))
+        table = kept_encoder(name, SparkFiles.get(name))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for lo, hi, texts in slice_texts(batch.column(1), BLOCK_BYTES):
@@ -219,6 +270,12 @@ def solve_lp(counts: dict[int, int], size: int, start: list[dict[int, int]],
         out = int(ratio.argmin())
         basis[out] = enter
         pivots += 1
+        if pivots * m * m > MOST_WORK:
+            amount = ratio[out]
+            uses -= amount * step
+            uses[out] = amount
+            np.maximum(uses, 0, out=uses)
+            break
         if pivots % PIVOTS:
             amount = ratio[out]
             uses -= amount * step
@@ -274,8 +331,8 @@ def plan(counts: dict[int, int], size: int = SIZE, tolerance: float = TOLERANCE)
     """(pattern, times): patterns of lengths with multiplicities that use up the histogram exactly."""
     left = {int(k): int(v) for k, v in counts.items() if v > 0}
     plain = fill(left, size)
-    if sequences(plain) <= math.ceil(sum(x * n for x, n in left.items()) / size * (1 + tolerance)):
-        return plain
+    if sequences(plain) == math.ceil(sum(x * n for x, n in left.items()) / size):
+        return plain  # no plan can be shorter
     uses, _ = solve_lp(left, size, [p for p, _ in plain], tolerance)
     out = []
     for up in (False, True):
