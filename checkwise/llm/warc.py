@@ -27,10 +27,11 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkwise.llm.common import shared_dir, ship
+from checkwise.llm.common import shared_dir, ship, stored
 
 CRLF = b"\r\n"
 END = b"\r\n\r\n"
@@ -84,11 +85,13 @@ def _plain(url: str | None) -> str:
     return (url or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def records_of(number: int, page_id, url, payload: bytes, refers_to, segment_bytes: int) -> Iterator[bytes]:
-    """The record of one page without its closing CRLF CRLF, and its continuation records."""
+def records_of(place: str, page_id, url, payload: bytes, refers_to, segment_bytes: int) -> Iterator[bytes]:
+    """The record of one page without its closing CRLF CRLF, and its continuation records.
+
+    ``place`` tells rows apart that are equal in every column (the task and the row's number in it)."""
     common = {"WARC_Target_URI": _plain(url), "X_Page_ID": page_id,
               "WARC_Payload_Digest": "sha1:" + base32_sha1(payload)}
-    rid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{number}/{common['WARC_Payload_Digest']}"))
+    rid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{place}/{common['WARC_Payload_Digest']}"))
     if refers_to is not None:
         head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html" + END
         yield _header("revisit", rid, len(head), **common, X_Refers_To_Page=refers_to, X_Payload_Length=len(payload),
@@ -118,17 +121,18 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     # only payloads that occur twice need a reference: the least id per digest is combined map-side
     first = (rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest")
              .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"))
-    joined = (rows.join(first, "digest", "left")
+    # stored, so that both sides of the join are plain shuffles and a very common payload's rows can be split over tasks
+    joined = (rows.join(stored(first, "digests"), "digest", "left")
               .select("page_id", "url", "payload", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("ref")))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+        number, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 out = []
                 part = batch.slice(lo, 256)
                 for page_id, url, payload, ref in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    out.extend(records_of(number, page_id, url, payload, ref, segment_bytes))
+                    out.extend(records_of(f"{task}.{number}", page_id, url, payload, ref, segment_bytes))
                     number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
