@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkwise.plans import config as cfg
-from checkwise.plans import dimensions, imports, ingest, quality, reports, sinks, snapshot
+from checkwise.plans import dimensions, imports, ingest, quality, reports, rollup, sinks, snapshot
 from checkwise.schemas import AUDIT, INDICATORS, KPI_ENTRIES_STORED, PRESENCE, ROOMS, SLOTS, STAFF
 from checkwise.sources import files
 from checkwise.sources.commitlog import CommitLog, Load
@@ -94,6 +94,13 @@ class KpiStore:
 
     # --- reports ---------------------------------------------------------------
     def summary(self, date_from, date_to, room=None, page=1, per_page=50) -> DataFrame:
+        months = (f"{str(date_from)[:7]}-01", f"{str(date_to)[:7]}-01")
+        state = self.log.state(self.version)
+        if state.of(sinks.ENTRIES) and {p.load for p in state.of(sinks.ENTRIES)} == {p.load for p in state.of(rollup.TABLE)}:
+            sums = self.log.read(rollup.TABLE, self.version, months=months)
+            if sums is not None:
+                return rollup.kpi_summary(sums, self.dimension("staff"), self.dimension("rooms"), date_from, date_to,
+                                          room=room, page=page, per_page=per_page)
         return reports.kpi_summary(self._range(date_from, date_to), self.dimension("staff"), self.dimension("rooms"),
                                    date_from, date_to, room=room, page=page, per_page=per_page)
 

@@ -465,6 +465,7 @@ UNION ALL SELECT 'kpi_batch_presence', COUNT(*), 0 FROM (SELECT DISTINCT batch_i
 UNION ALL SELECT 'batch_index', COUNT(*), 0 FROM (SELECT DISTINCT batch_id, date_trunc('month', entry_date) AS m FROM old)
 UNION ALL SELECT 'indicators', COUNT(*), 0 FROM indicators""",
         "export_summary": summary_sql(None, None),
+        "kpi_summary_rollup": summary_sql(None, None),
         "seed_audit": _with() + """SELECT 'anonymous' AS "user", 'seed_config' AS action, '' AS batch_id, '' AS ip,
   (SELECT COUNT(*) FROM rooms) + (SELECT COUNT(*) FROM slots) + (SELECT COUNT(*) FROM staff)
   + (SELECT COUNT(*) FROM indicators) AS rows_saved, CAST(NULL AS VARCHAR) AS note""",

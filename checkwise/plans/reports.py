@@ -87,6 +87,32 @@ def _collated(df: DataFrame, cols: list[str], collation: str | None) -> DataFram
     return df
 
 
+#: Sums of points, in hundredths.
+POINTS = ["team_earned", "team_possible", "ind_earned", "ind_possible"]
+
+
+def point_sums() -> list[Column]:
+    """The aggregates of POINTS over entries."""
+    def pts(scope: str, col: str) -> Column:
+        return F.sum(F.when(F.col("scope") == scope, hundredths(F.col(col)))
+                     .otherwise(F.lit(0).cast("long")))
+
+    return [pts("Team", "earned_points").alias("team_earned"),
+            pts("Team", "possible_points").alias("team_possible"),
+            pts("Individual", "earned_points").alias("ind_earned"),
+            pts("Individual", "possible_points").alias("ind_possible")]
+
+
+def in_range(rows: DataFrame, date_from, date_to, room=None, key_collation: str | None = None) -> DataFrame:
+    """Rows (entries or their roll-up) of an inclusive date range and, if given, of one room."""
+    e = _date_window(rows, parse_report_date(date_from), parse_report_date(date_to))
+    r = _room_param(room)
+    if r is not None:
+        room_col = F.collate(F.col("room_code"), key_collation) if key_collation else F.col("room_code")
+        e = e.where(room_col == r)
+    return e
+
+
 def points_by_staff_room(entries: DataFrame, date_from, date_to, room=None,
                          with_batches: bool = False, key_collation: str | None = None) -> DataFrame:
     """Team/Individual earned and possible points (hundredths) per (staff, room).
@@ -97,27 +123,14 @@ def points_by_staff_room(entries: DataFrame, date_from, date_to, room=None,
     first pre-aggregated by a hash aggregate on the exact (binary) keys; only
     those partial sums — one row per distinct spelling — are re-grouped under
     the collation."""
-    d0, d1 = parse_report_date(date_from), parse_report_date(date_to)
-    e = _date_window(entries, d0, d1)
-    r = _room_param(room)
-    if r is not None:
-        room_col = F.collate(F.col("room_code"), key_collation) if key_collation else F.col("room_code")
-        e = e.where(room_col == r)
-
-    def pts(scope: str, col: str) -> Column:
-        return F.sum(F.when(F.col("scope") == scope, hundredths(F.col(col)))
-                     .otherwise(F.lit(0).cast("long")))
-
-    sums = [pts("Team", "earned_points").alias("team_earned"),
-            pts("Team", "possible_points").alias("team_possible"),
-            pts("Individual", "earned_points").alias("ind_earned"),
-            pts("Individual", "possible_points").alias("ind_possible")]
+    e = in_range(entries, date_from, date_to, room, key_collation)
+    sums = point_sums()
     if key_collation is None:
         aggs = sums + ([F.countDistinct("batch_id").alias("total_batches")] if with_batches else [])
         return e.groupBy("staff_id", "room_code").agg(*aggs)
     keys = ["staff_id", "room_code"] + (["batch_id"] if with_batches else [])
     partial = e.groupBy(*keys).agg(*sums)
-    resum = [F.sum(c).alias(c) for c in ("team_earned", "team_possible", "ind_earned", "ind_possible")]
+    resum = [F.sum(c).alias(c) for c in POINTS]
     if with_batches:
         resum.append(F.countDistinct(F.collate(F.col("batch_id"), key_collation)).alias("total_batches"))
     return (_collated(partial, ["staff_id", "room_code"], key_collation)
@@ -157,6 +170,11 @@ def kpi_summary(entries: DataFrame, staff: DataFrame, rooms: DataFrame, date_fro
     if key_collation is not None:
         for c in ("staff_id", "room_code"):
             k = k.withColumn(c, F.collate(F.lower(F.rtrim(F.col(c))), "UTF8_BINARY"))
+    return summary_of(k, page, per_page)
+
+
+def summary_of(k: DataFrame, page=None, per_page=None) -> DataFrame:
+    """The ordered summary, or one clamped page of it, of rows with their percentages."""
     out = k.orderBy(*_summary_order()).select(*SUMMARY_COLUMNS)
     if page is None and per_page is None:
         return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkwise import params as P
-from checkwise.plans import config, dimensions, imports, ingest, quality, reports, sinks, snapshot
+from checkwise.plans import config, dimensions, imports, ingest, quality, reports, rollup, sinks, snapshot
 from checkwise.schemas import ENTRY_COLUMNS
 from checkwise.sources import files, raw, store
 from checkwise.sources import testdata as td
@@ -166,6 +166,19 @@ def _snapshot_committed(spark, sf):
         "table_name", "n_rows", F.coalesce("n", F.lit(0).cast("long")).alias("damaged_files"))
 
 
+def _summary_rollup(spark, sf):
+    """R1 from the roll-ups of two loads, one of them rewritten (its first version held other answers)."""
+    entries = td.kpi_entries(spark, sf)
+    stored = F.substring("batch_id", 3, 30).try_cast("long") % raw.STORED_EVERY == 0
+    log = CommitLog(spark, store.scratch_path(spark, "rollup"))
+    wrong = entries.where(~stored).withColumn("earned_points", F.lit(0).cast("decimal(8,2)"))
+    for load_id, rows in (("a", entries.where(stored)), ("b", wrong), ("b", entries.where(~stored))):
+        load = log.begin(load_id)
+        load.write(rollup.TABLE, rollup.daily_points(rows), ("entry_month",))
+        load.commit()
+    return rollup.kpi_summary(log.read(rollup.TABLE), td.staff(spark, sf), td.rooms(spark, sf), *_whole_range(entries))
+
+
 def _exported(spark, sf):
     """K4: the summary as JSON Lines, read back."""
     summary = _summary()(spark, sf)
@@ -221,6 +234,7 @@ def queries() -> dict[str, Query]:
         "import_history_array": lambda s, sf: _history_array(s, sf).entries,
         "load_committed": _load_committed,
         "snapshot_committed": _snapshot_committed,
+        "kpi_summary_rollup": _summary_rollup,
         "export_summary": _exported,
         "seed_audit": _seed_audit,
     }

@@ -1,13 +1,14 @@
 """Loads appear all at once or not at all; ids; snapshots of one version."""
 import datetime as dt
 import json
+import random
 import tempfile
 from decimal import Decimal
 
 import pytest
 
 from checkwise.api import KpiStore
-from checkwise.plans import sinks, snapshot
+from checkwise.plans import reports, sinks, snapshot
 from checkwise.schemas import INDICATORS, ROOMS
 from checkwise.sources import commitlog
 from checkwise.sources.commitlog import CommitConflict, CommitLog, Load
@@ -204,3 +205,18 @@ def test_snapshot_of_one_version(spark, tmp_path, monkeypatch):
     assert snapshot.verify(spark, base, day).count() > 0
     with pytest.raises(ValueError, match="damaged"):
         snapshot.restore(back, base, day)
+
+
+def test_rollup_equals_entries(spark):
+    """Random loads, retries and rewrites: the summary from the roll-ups is the summary of the entries."""
+    g = random.Random(8)
+    store = _store(spark)
+    for _ in range(6):
+        batches = [f"B{g.randrange(6)}" for _ in range(g.randrange(1, 4))]
+        store.save_batches(_subs(spark, *batches, present=g.sample(["a", "b", "c"], 2), day=f"0{g.randrange(4, 7)}-0{g.randrange(1, 9)}-2026"),
+                           load_id=f"L{g.randrange(3)}")
+    for d0, d1, room in (("2026-04-01", "2026-06-30", None), ("2026-04-04", "2026-05-05", "Pink"), ("2027-01-01", "2027-01-02", None)):
+        want = reports.kpi_summary(store.entries(), store.dimension("staff"), store.dimension("rooms"), d0, d1, room=room).collect()
+        assert store.summary(d0, d1, room=room).collect() == want
+    files = store.summary("2026-04-01", "2026-06-30").inputFiles()
+    assert any("/kpi_rollup/" in f for f in files) and not any("/kpi_entries/" in f for f in files)
