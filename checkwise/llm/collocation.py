@@ -56,7 +56,7 @@ BLOCK = 1 << 16
 SLICE_BYTES = 1 << 20
 #: Slots of one length, and rows of the last pass, that a task adds up before it passes them on.
 HELD_SLOTS = 1 << 21
-HELD_ROWS = 1 << 19
+HELD_ROWS = 1 << 20
 NEVER = 255
 
 _FOLD = np.arange(256, dtype=np.uint8)
