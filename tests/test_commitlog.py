@@ -42,7 +42,7 @@ class Stopped(Exception):
     pass
 
 
-@pytest.mark.parametrize("at", [0, 2, 5])
+@pytest.mark.parametrize("at", [2, 6])
 def test_stopped_load_is_invisible(spark, monkeypatch, at):
     """Stopped before each table's write, and before the commit: no report sees anything of it; a retry gives the rows."""
     store = _store(spark)
@@ -211,10 +211,10 @@ def test_rollup_equals_entries(spark):
     """Random loads, retries and rewrites: the summary from the roll-ups is the summary of the entries."""
     g = random.Random(8)
     store = _store(spark)
-    for _ in range(6):
+    for _ in range(4):
         batches = [f"B{g.randrange(6)}" for _ in range(g.randrange(1, 4))]
         store.save_batches(_subs(spark, *batches, present=g.sample(["a", "b", "c"], 2), day=f"0{g.randrange(4, 7)}-0{g.randrange(1, 9)}-2026"),
-                           load_id=f"L{g.randrange(3)}")
+                           load_id=f"L{g.randrange(2)}")
     for d0, d1, room in (("2026-04-01", "2026-06-30", None), ("2026-04-04", "2026-05-05", "Pink"), ("2027-01-01", "2027-01-02", None)):
         want = reports.kpi_summary(store.entries(), store.dimension("staff"), store.dimension("rooms"), d0, d1, room=room).collect()
         assert store.summary(d0, d1, room=room).collect() == want
