@@ -116,6 +116,40 @@ def test_words_that_share_a_key(spark, monkeypatch):
     assert salts == [0, 1]
 
 
+def test_thue_morse_words(spark):
+    """Words whose polynomial hashes are equal, whatever the base: one frequent and one rare, and two frequent ones."""
+    x, y = "a", "b"
+    for _ in range(11):
+        x, y = x + y, y + x
+    rows = [("en", f"p {x} q")] * 12 + [("en", f"p {y} q")] * 5 + [("de", f"p {x} q")] * 12 + [("de", f"p {y} q")] * 15
+    assert _found(collocation.collocations(_table(spark, rows))) == _brute(rows, 10)
+
+
+def test_rare_word_that_shares_a_key(spark, monkeypatch):
+    """A word below the threshold under a frequent word's key is found as well."""
+    exact, seen = collocation._exact, []
+
+    def rare_clash(longest, sent):
+        seen.append(sent.value.salt)
+        run = exact(longest, sent)
+        if sent.value.salt:
+            return run
+
+        def clash(batches):
+            for b in run(batches):
+                rare = np.array([w in ("rare", "common") for w in b.column(b.schema.get_field_index("word")).to_pylist()])
+                k1 = np.where(rare, 5, b.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(k1), *b.columns[2:]], b.schema.names)
+        return clash
+
+    monkeypatch.setattr(collocation, "FEWEST_SLOTS", 1)
+    monkeypatch.setattr(collocation, "MOST_SLOTS", 1)
+    monkeypatch.setattr(collocation, "_exact", rare_clash)
+    rows = [("en", "common word")] * 12 + [("en", "rare word")] * 3
+    assert _found(collocation.collocations(_table(spark, rows))) == _brute(rows, 10)
+    assert seen == [0, 1]
+
+
 def test_slices_end_at_pieces():
     g = random.Random(2)
     for _ in range(200):
