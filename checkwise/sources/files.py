@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkwise.operators.records import csv_format, json_array_format, read_records
+from checkwise.operators.records import csv_format, read_elements, read_records
 
 _BOM = "^\ufeff"
 _STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
@@ -27,13 +27,13 @@ def read_history_array(spark: SparkSession, path: str) -> DataFrame:
     """Files holding one JSON array of records each -> one row per record (value = its text without white space outside
     strings, keys in their order)."""
     # what stands before the first record is "[", what stands behind the last "]": both at the array's edge, and only there
-    records = read_records(spark, path, json_array_format())
+    inner, edges = read_elements(spark, path)
     bare = lambda c: F.regexp_replace(c, r"\A[\s\x{feff}]+|\s+\z", "")
     text = bare(F.col("value"))
     text = F.when(F.col("first"), F.regexp_replace(text, r"\A\[", "")).otherwise(text)
     text = F.when(F.col("last"), F.regexp_replace(text, r"\]\z", "")).otherwise(text)
-    records = records.select(bare(text).alias("value")).where(F.col("value") != "")
-    return records.select(F.regexp_replace("value", _STRING + r"|\s+", "$1").alias("value"))
+    edges = edges.select(F.regexp_replace(bare(text), _STRING + r"|\s+", "$1").alias("value"))
+    return inner.unionByName(edges).where(F.col("value") != "")
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:

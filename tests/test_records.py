@@ -190,3 +190,53 @@ def test_csv_import_with_line_breaks(spark, tmp_path, split_bytes):
         assert sorted((x.entry_date.day, x.indicator_text, x.check_value) for x in r.entries.collect()) == [
             (21, 'Door\r\nand "window",\nclosed', 0), (22, "Door", 1)]
         assert tuple(r.stats.first()) == (2, 0, 0)
+
+
+def test_csv_maps_on_bytes():
+    """The maps that tasks compute are those of a byte-by-byte automaton."""
+    g = random.Random(5)
+    lines = ["".join(g.choice('a,""é') for _ in range(g.randrange(0, 9))) for _ in range(3000)]
+    e0, e1 = records.csv_ends(pa.array(["x", *lines]).slice(1))
+    assert list(zip(e0.tolist(), e1.tolist(), strict=True)) == [(_after(x, False), _after(x, True)) for x in lines]
+
+
+def test_json_array_every_cut():
+    """The maps and elements of a JSON array whose pieces are dealt to splits anywhere, by the functions that run in the tasks."""
+    g = random.Random(6)
+    for _ in range(300):
+        elements = [{"k": i, "v": _value(g)} if g.randrange(4) else _value(g) for i in range(g.randrange(8))]
+        text = " " + json.dumps(elements, indent=g.choice([None, 1]), ensure_ascii=False) + "\n"
+        pieces = text.split("{")
+        cuts = sorted(g.randrange(1, 20) for _ in range(g.randrange(0, 6)))
+        block = np.searchsorted(cuts, np.arange(len(pieces)), "right")
+        size = g.randrange(1, 5)
+
+        def batches(extra, pieces=pieces, block=block, size=size):
+            for i in range(0, len(pieces), size):
+                here = block[i:i + size].tolist()
+                cols = [pa.array(["f"] * len(here)), pa.array(here), pa.array(["{" + x for x in pieces[i:i + size]])]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([extra[b][j] for b in here]) for j in range(3 if extra else 0))],
+                                                 [str(j) for j in range(6 if extra else 3)])
+
+        start, state, depth = {}, 0, 0
+        for r in (r for b in records._summary(records._json_mapped(batches(None))) for r in b.to_pylist()):
+            start[r["block_start"]] = (state, depth, 0)
+            state, depth = r[f"e{state}"], depth + r[f"d{state}"]
+        assert (state, depth) == (0, 0)
+        inner = [x for b in records._json_elements(False)(batches(start)) for x in b.column(0).to_pylist()]
+        edges, joined = [r for b in records._json_elements(True)(batches(start)) for r in b.to_pylist()], []
+        for r in sorted(edges, key=lambda r: (r["block_start"], r["seq"])):
+            joined = joined + [r["value"]] if not r["open_start"] or not joined else [*joined[:-1], joined[-1] + r["value"]]
+        joined[0] = joined[0].strip()[1:]
+        joined[-1] = joined[-1].strip()[:-1]
+        found = [json.loads(x) for x in [*inner, *joined] if x]
+        assert sorted(map(json.dumps, found)) == sorted(map(json.dumps, elements))
+
+
+def test_maps_are_no_expressions(spark, tmp_path):
+    """The scans compute their maps on bytes: as expressions, they cost more than all the rest."""
+    (tmp_path / "k").write_text("A,B\n1,2\n")
+    inner, _ = records.read_elements(spark, str(tmp_path))
+    for df in (files.read_csv_text(spark, str(tmp_path)).select("line_no"), inner):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and not any(x in plan for x in ("split(", "aggregate(", "regexp_replace("))
