@@ -144,7 +144,7 @@ class KpiStore:
         """I4 from headered CSV files (record numbers per file)."""
         load_id = load_id or f"csv-{uuid.uuid4().hex[:12]}"
         lines = files.read_csv_text(self.spark, path)
-        header = files.csv_header(lines)
+        header = files.read_csv_header(self.spark, path, lines)
         return sinks.run_load(self.log, load_id, (sinks.PRESENCE_TABLE,),
                               lambda load: imports.import_csv(files.csv_data_lines(lines), header, self.presence(load)))
 

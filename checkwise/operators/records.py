@@ -439,3 +439,17 @@ def read_elements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     placed = _placed(pieces, _json_mapped)
     whole = placed.mapInArrow(_json_elements(False), "value string")
     return whole, _joined(placed.mapInArrow(_json_elements(True), _RECORD_DDL), "").select("value", "first", "last")
+
+
+def first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, open): the first line of every file below ``path``, and whether it ends inside quotes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = None
+        for batch in batches:
+            for file, block, rows in _runs(batch):
+                if key != (file, block):
+                    key, value = (file, block), rows.column(2).slice(0, 1)
+                    yield pa.RecordBatch.from_arrays([value, pa.array(csv_ends(value)[0] == 1)], ["value", "open"])
+
+    pieces = read_pieces(spark, path, "\n").where(F.col("block_start") == 0)
+    return pieces.mapInArrow(run, "value string, open boolean")

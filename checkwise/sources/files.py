@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checkwise.operators.records import csv_format, read_elements, read_records
+from checkwise.operators.records import csv_format, first_lines, read_elements, read_records
 
 _BOM = "^\ufeff"
 _STRING = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
@@ -53,5 +53,14 @@ def csv_header(lines: DataFrame) -> str:
     return heads[0]
 
 
+def read_csv_header(spark: SparkSession, path: str, lines: DataFrame) -> str:
+    """``csv_header`` of the records ``lines`` below ``path``, from the files' first lines alone if these are whole records."""
+    heads = first_lines(spark, path).distinct().collect()
+    if any(r.open for r in heads):
+        return csv_header(lines)
+    first = spark.createDataFrame([(1, r.value) for r in heads], "line_no long, value string")
+    return csv_header(first.withColumn("value", F.regexp_replace("value", "\r$", "")))
+
+
 def csv_data_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line_no") > 1)

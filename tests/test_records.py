@@ -240,3 +240,12 @@ def test_maps_are_no_expressions(spark, tmp_path):
     for df in (files.read_csv_text(spark, str(tmp_path)).select("line_no"), inner):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and not any(x in plan for x in ("split(", "aggregate(", "regexp_replace("))
+
+
+@pytest.mark.parametrize("text", ["﻿A,B\r\r\n1,2\r\n", '"A\nx",B\n1,2\n', 'A"x,B\n1\n', "A,B"])
+def test_header_from_the_first_lines(spark, tmp_path, split_bytes, text):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text(text, newline="")
+    split_bytes(4)
+    lines = files.read_csv_text(spark, str(tmp_path))
+    assert files.read_csv_header(spark, str(tmp_path), lines) == files.csv_header(lines)
