@@ -165,3 +165,23 @@ def test_slices_end_at_pieces():
 def test_registered(spark, sf_small, registered):
     rows = [(r.lang, r.text) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()]
     assert _found(registered["op11_phrases"](spark, sf_small)) == _brute(rows, 10)
+
+
+def test_last_pass_adds_up_and_passes_on_by_words():
+    """Phrases met in several slices leave a task as one row each, equal first words side by side; equal keys of unequal words stay apart."""
+    held = collocation.Phrases(2)
+    held.add(np.array([9, 7, 9], np.uint64), np.array([[2, 1, 2], [5, 5, 5]], np.uint64))
+    held.add(np.array([9, 7, 7], np.uint64), np.array([[2, 1, 3], [5, 5, 5]], np.uint64))
+    held.merge()
+    (_, of_word, count), = held.parts
+    assert sorted(zip(*of_word.tolist(), count.tolist(), strict=True)) == [(1, 5, 2), (2, 5, 3), (3, 5, 1)]
+
+
+def test_last_pass_reads_larger_tasks(spark, monkeypatch):
+    """The last pass reads the shards in fewer tasks than the scan, so that more equal phrases meet before the shuffle."""
+    seen, frame = [], type(spark.range(0))
+    coalesce = frame.coalesce
+    monkeypatch.setattr(frame, "coalesce", lambda self, n: seen.append(n) or coalesce(self, n))
+    rows = [("en", "very common pair")] * 40
+    assert _found(collocation.collocations(_table(spark, rows))) == _brute(rows, 10)
+    assert seen == [2 * spark.sparkContext.defaultParallelism]
