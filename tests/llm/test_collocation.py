@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -185,3 +186,48 @@ def test_last_pass_reads_larger_tasks(spark, monkeypatch):
     rows = [("en", "very common pair")] * 40
     assert _found(collocation.collocations(_table(spark, rows))) == _brute(rows, 10)
     assert seen == [2 * spark.sparkContext.defaultParallelism]
+
+
+def test_last_pass_adds_up_without_a_second_copy():
+    """Adding up what a task holds takes less than twice its size beside it (a worker shares its executor's memory)."""
+    g, held = np.random.default_rng(3), collocation.Phrases(3)
+    for _ in range(20):
+        held.add(g.integers(0, 2**63, 20_000, np.uint64), g.integers(0, 2**63, (3, 20_000), np.uint64))
+    size = sum(x.nbytes for part in held.parts for x in part)
+    tracemalloc.start()
+    held.merge()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held.size == 400_000 and peak < 2 * size
+
+
+def test_vocabulary_adds_up():
+    """Words met in several slices leave a task as one row each; unlike words or languages under one key stay apart."""
+    held = collocation.Vocabulary()
+    for key, lang, word, count in [([7, 9], ["en", "en"], ["a", "b"], [2, 3]), ([9, 7], ["en", "en"], ["b", "c"], [4, 5]), ([9], ["de"], ["b"], [6])]:
+        held.add(np.array(key, np.uint64), pa.array(lang), pa.array(word), np.array(count, np.int64))
+    held.merge()
+    (key, lang, word, count), = held.parts
+    assert sorted(zip(key.tolist(), lang.to_pylist(), word.to_pylist(), count.tolist(), strict=True)) == [
+        (7, "en", "a", 2), (7, "en", "c", 5), (9, "de", "b", 6), (9, "en", "b", 7)]
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    """Every task hands its freed memory back at its end, and the words it passes on early, for want of room, are still whole."""
+    given = []
+    monkeypatch.setattr(collocation, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(collocation, "HELD_WORDS", 1)
+    monkeypatch.setattr(collocation, "SLICE_BYTES", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", None, "de", "en"]), pa.array(["a b. a", "a", "b,b", "b"])], ["lang", "text"])
+    full = lambda size: [np.full(size, 255, np.uint8)] * 2
+    sent = type("Sent", (), {"value": collocation.Reached(full(8), 64, 0)})
+    seen = Counter()
+    for b in collocation._exact(2, sent)(iter([batch])):
+        for r in b.to_pylist():
+            seen[r["n"], r["lang"], r["word"]] += r["c"]
+    assert given and seen == {(0, "en", None): 4, (0, "und", None): 1, (0, "de", None): 2, (1, "en", "a"): 2, (1, "en", "b"): 2,
+                              (1, "und", "a"): 1, (1, "de", "b"): 2, (2, None, None): 1}
+    given.clear()
+    sent.value = collocation.Active(0, 1, [np.zeros(16, np.uint8)], full(8), 64, 0)
+    assert list(collocation._counter(2, sent)(iter([batch]))) == [] and given == [1]
+    assert list(collocation._added(iter([]))) == [] and given == [1, 1]
