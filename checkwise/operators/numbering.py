@@ -21,18 +21,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checkwise.session import work_dir
+from checkwise.session import shuffles_freed, work_dir
+
+
+def in_order(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``df`` sorted, each row with its partition and place: what ``numbered`` takes once it was written and read back."""
+    return (df.orderBy(*order)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id()))
 
 
 def with_row_number(df: DataFrame, order: list[Column | str], name: str = "row_no") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/scratch/numbered-{uuid.uuid4().hex}"
-    (df.orderBy(*order)
-     .withColumn("_pid", F.spark_partition_id())
-     .withColumn("_mid", F.monotonically_increasing_id())
-     .write.parquet(path))
+    with shuffles_freed(spark):
+        in_order(df, order).write.option("compression", "zstd").parquet(path)
     schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_mid", T.LongType())])
-    tagged = spark.read.schema(schema).parquet(path)
+    return numbered(spark.read.schema(schema).parquet(path), name)
+
+
+def numbered(tagged: DataFrame, name: str = "row_no") -> DataFrame:
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -15,11 +15,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checkwise.session import work_dir
+from checkwise.session import shuffles_freed, work_dir
 
 _LAYOUT_VERSION = "v2"
 #: Tables derived from fewer bytes are dealt evenly to the cores when written.
 SPREAD_BELOW = 32 << 20
+#: Of the parquet files in the work folder.
+COMPRESSION = "zstd"
 _CODE_HASH: str | None = None
 # Resolved read-back frames of finished tables, per session and path. A
 # finished table never changes (its key changes instead), so the file listing
@@ -118,7 +120,8 @@ def materialize(spark: SparkSession, name: str, key: str, build,
         w = df.write.mode("overwrite")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(staging)
+        with shuffles_freed(spark):
+            w.option("compression", COMPRESSION).parquet(staging)
         _publish(spark, staging, path)
     reader = spark.read
     if schema is not None:
@@ -134,12 +137,34 @@ def materialize_text(spark: SparkSession, name: str, key: str, build) -> str:
     path = f"{work_dir(spark)}/tables/{name}-{key}"
     if not exists(spark, f"{path}/_SUCCESS"):
         staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
-        (build().repartition("folder").sortWithinPartitions("folder", "row").select("folder", "value")
-         .write.partitionBy("folder").text(staging))
+        files = build().repartition("folder").sortWithinPartitions("folder", "row").select("folder", "value")
+        with shuffles_freed(spark):
+            files.write.partitionBy("folder").text(staging)
         _publish(spark, staging, path)
     return path
 
 
+def materialize_lines(spark: SparkSession, name: str, key: str, build, records: int) -> str:
+    """The folder of text files ``name`` for ``key``, written once: the rows of each partition of ``build()`` (value), in
+    their order, ``records`` to a file."""
+    path = f"{work_dir(spark)}/tables/{name}-{key}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        staging = f"{path}.staging-{uuid.uuid4().hex[:12]}"
+        with shuffles_freed(spark):
+            build().write.option("maxRecordsPerFile", records).text(staging)
+        _publish(spark, staging, path)
+    return path
+
+
+def stored_copy(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, computed once and read back from a fresh folder under the shared work folder."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffles_freed(spark):
+        df.write.option("compression", COMPRESSION).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared work folder (for snapshots, staging)."""
     return f"{work_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"

@@ -9,7 +9,7 @@ input folder, partitioned by month and sorted by (room_code, entry_date).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkwise.functions.scoring import earned_points
@@ -113,10 +113,27 @@ def derive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (k % 50 != 0).cast("int").alias("active")))
 
 
-def entries_unmaterialised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact rows as a plan over the input tables (one row per line item)."""
-    li = table(spark, sf_dir, "lineitem").select(
+def entries_unmaterialised(spark: SparkSession, sf_dir: str, of_orders: Column | None = None) -> DataFrame:
+    """The fact rows as a plan over the input tables (one row per line item). ``of_orders``: a test of ``l_orderkey``, only
+    the rows of these orders; their ids are those among all rows."""
+    # surrogate id: 1..N over the full line key, numbered without a global window
+    li = with_row_number(_lines(spark, sf_dir), list(LINE_KEY), "_id")
+    return _entries(spark, sf_dir, li if of_orders is None else li.where(of_orders))
+
+
+def entries_without_id(spark: SparkSession, sf_dir: str, of_orders: Column) -> DataFrame:
+    """The fact rows of the orders that pass the test of ``l_orderkey``, without their ids: nothing is sorted or written."""
+    li = _lines(spark, sf_dir).where(of_orders)
+    return _entries(spark, sf_dir, li.withColumn("_id", F.lit(None).cast("long"))).drop("id")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+
+
+def _entries(spark: SparkSession, sf_dir: str, li: DataFrame) -> DataFrame:
+    """The entries of numbered lines (``_id``)."""
     o = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
@@ -125,8 +142,6 @@ def entries_unmaterialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     ind = derive_indicators(spark, sf_dir).select(
         F.col("id").alias("indicator_id"), "scope", "indicator_text", "category", "weight")
     check = F.when(F.col("l_returnflag") == "R", 0).otherwise(1)
-    # surrogate id: 1..N over the full line key, numbered without a global window
-    li = with_row_number(li, list(LINE_KEY), "_id")
     # customers join the orders before the lines do, which are shuffled once less
     ctx = (o.join(c, o.o_custkey == c.c_custkey)
            .join(n, c.c_nationkey == n.n_nationkey)
@@ -156,11 +171,14 @@ def kpi_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     Stored layout: ``entry_month=YYYY-MM-01/`` folders, rows sorted by
     (room_code, entry_date) inside, so date ranges prune folders and room/date
     predicates skip row groups."""
+    return stored_fact_table(spark, sf_dir, "kpi_entries", lambda: entries_unmaterialised(spark, sf_dir))
+
+
+def stored_fact_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     names = ["lineitem", "orders", "customer", "nation", "region", "part"]
     key = store.input_key(spark, [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
     return store.materialize(
-        spark, "kpi_entries", key,
-        lambda: entries_unmaterialised(spark, sf_dir),
+        spark, name, key, build,
         # id makes the range order total, so a hot (month, room, day) still
         # splits across write tasks
         partition_by=["entry_month"], sort_within=["room_code", "entry_date", "id"],
