@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from checkwise.operators.numbering import with_row_number
+from checkwise.operators.numbering import in_order, numbered
 from checkwise.sources import store
 from checkwise.sources import testdata as td
 
@@ -217,12 +217,22 @@ def _csv_quote(c: Column) -> Column:
 
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The CSV export's data lines (line_no, value); the header is record 1.
-    Written once per input folder and read back."""
+    Their texts are written once per input folder, in order, and numbered as they are read back."""
     key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
-    return store.materialize(spark, "csv_lines", key, lambda: build_csv_lines(spark, sf_dir))
+    return number_csv_lines(store.materialize(spark, "csv_lines", key, lambda: build_csv_lines(spark, sf_dir), spread=False))
+
+
+def number_csv_lines(rows: DataFrame) -> DataFrame:
+    """(line_no, value) of the rows that ``build_csv_lines`` put in order, and the blank lines between them."""
+    k = F.col("k")
+    line_no = 1 + k + F.floor((k - 1) / CSV_BLANK_EVERY).cast("long")
+    line = F.struct(line_no.alias("line_no"), "value")
+    blank = F.struct((line_no + 1).alias("line_no"), F.lit(",,,,,,,,").alias("value"))
+    return numbered(rows, "k").select(F.inline(F.when(k % CSV_BLANK_EVERY == 0, F.array(line, blank)).otherwise(F.array(line))))
 
 
 def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of the data rows, sorted, with what numbers them (``operators/numbering``)."""
     x = _lines_with_context(spark, sf_dir)
     o, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     d = F.date_add(F.col("o_orderdate").cast("date"), CSV_DATE_SHIFT_DAYS)
@@ -244,13 +254,7 @@ def build_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.when(pk % 79 == 0, F.lit("1500")).otherwise(
                  F.concat(F.col("w").cast("string"), F.when(pk % 3 == 0, F.lit(" pts")).otherwise(F.lit(""))))]
     data = x.select(*td.LINE_KEY, F.concat_ws(",", *cells).alias("value"))
-    numbered = with_row_number(data, list(td.LINE_KEY), "k")
-    k = F.col("k")
-    line_no = 1 + k + F.floor((k - 1) / CSV_BLANK_EVERY).cast("long")
-    rows = numbered.select(line_no.alias("line_no"), "value")
-    blanks = (numbered.where(k % CSV_BLANK_EVERY == 0)
-              .select((line_no + 1).alias("line_no"), F.lit(",,,,,,,,").alias("value")))
-    return rows.unionByName(blanks)
+    return in_order(data, list(td.LINE_KEY)).drop(*td.LINE_KEY)
 
 
 #: Records in one CSV or JSON file of the exports below.
