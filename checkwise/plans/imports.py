@@ -31,6 +31,7 @@ from checkwise.operators.dedup import insert_ignore
 from checkwise.operators.parsing import freeze_columns, parse_csv_columns, parse_json_columns
 from checkwise.schemas import (ENTRY_COLUMNS, HISTORY_STRING_KEYS, HISTORY_VARIANT_KEYS, LIMITS,
                                MAX_WEIGHT, POINTS, SCOPES, WEIGHT)
+from checkwise.sources.store import stored_copy
 
 # What each import writes as submitted_by / audit action, and
 # the audit notes.
@@ -55,7 +56,7 @@ CSV_ALIASES = {
 
 class ImportResult:
     """Outputs of one import run, derived on first use from the per-row status
-    frame (``materialize`` checkpoints that frame once for a write).
+    frame (``materialize`` stores a copy of that frame once for a write).
 
     * ``entries``  ENTRY_COLUMNS rows to append
     * ``presence`` new (batch_id, staff_id) rows
@@ -68,7 +69,7 @@ class ImportResult:
         self._rows, self._user, self._stored_presence, self._note = rows, user, stored_presence, note
 
     def materialize(self) -> "ImportResult":
-        self._rows = self._rows.checkpoint(eager=True)
+        self._rows = stored_copy(self._rows, "imported")
         for name in ("entries", "presence", "stats", "rejects", "audit"):
             self.__dict__.pop(name, None)
         return self
