@@ -15,7 +15,12 @@ size grows with the tables:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checkwise.operators.numbering import in_order, numbered
@@ -281,18 +286,33 @@ def build_csv_files(lines: DataFrame) -> DataFrame:
 
 
 def history_array_files(spark: SparkSession, sf_dir: str) -> str:
-    """The history export as the legacy system keeps it: files that hold one JSON array each (folder=<n>/)."""
+    """The history export as the legacy system keeps it: files that hold one JSON array each, of FILE_RECORDS records at most."""
     key = _key(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"])
-    return store.materialize_text(spark, "history_array", key, lambda: build_history_array(history_lines(spark, sf_dir)))
-
-
-def build_history_array(lines: DataFrame) -> DataFrame:
-    files = F.lit(max(1, lines.count() // FILE_RECORDS))
-    rows = lines.select(F.pmod(F.xxhash64("value"), files).alias("folder"), "value")
-    of_file = Window.partitionBy("folder")
-    rows = rows.withColumn("row", F.row_number().over(of_file.orderBy("value")).cast("long")).withColumn("n", F.count("*").over(of_file))
-    return rows.select("folder", "row", F.concat(F.when(F.col("row") == 1, "[").otherwise(","), "value",
-                                                 F.when(F.col("row") == F.col("n"), "]").otherwise("")).alias("value"))
+    return store.materialize_lines(spark, "history_array", key, lambda: build_history_array(build_history_lines(spark, sf_dir)), FILE_RECORDS)
+
+
+def build_history_array(lines: DataFrame, records: int = FILE_RECORDS) -> DataFrame:
+    """The lines of the files: each task closes an array every so many records and behind its last one, so the texts are
+    neither sorted nor shuffled for it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, last = 0, None  # the last record waits: it closes the array if none follows
+        for batch in batches:
+            for lo in range(0, len(batch), records):
+                values = batch.column(0).slice(lo, records)
+                values = pa.concat_arrays([last, values]) if last is not None else values
+                if len(values) > 1:
+                    yield marked(values.slice(0, len(values) - 1), place, False)
+                place, last = place + len(values) - 1, values.slice(len(values) - 1)
+        if last is not None:
+            yield marked(last, place, True)
+
+    def marked(values: pa.Array, place: int, end: bool) -> pa.RecordBatch:
+        at = (place + np.arange(len(values))) % records
+        before = pc.if_else(pa.array(at == 0), "[", ",")
+        behind = pc.if_else(pa.array((at == records - 1) | end), "]", "")
+        return pa.RecordBatch.from_arrays([pc.binary_join_element_wise(before, values, behind, "")], ["value"])
+
+    return lines.select("value").mapInArrow(run, "value string")
 
 
 def staff_load_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
